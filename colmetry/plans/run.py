@@ -179,9 +179,11 @@ def _execute(store, stored, chosen, tables, planned, run_id, scratch, threads, c
 
     folders = [f"{scratch}/relation-{i:06d}" for i in range(len(chosen))]
     staged = spark.read.parquet(*folders)
+    # A dimension listed twice was computed once and repeated; the first copy is checked.
+    first = _without_repeats(staged, by_id)
     checked = _checked_relations(stored.relations, by_id)
-    violations = {r.check: r.n for r in validate(staged, checked).groupBy("check").agg(F.count(F.lit(1)).alias("n")).collect()}
-    counted = staged.groupBy("unique_id", "dimension_name").agg(F.count(F.lit(1)).alias("n")).collect()
+    violations = {r.check: r.n for r in validate(first, checked).groupBy("check").agg(F.count(F.lit(1)).alias("n")).collect()}
+    counted = first.groupBy("unique_id", "dimension_name").agg(F.count(F.lit(1)).alias("n")).collect()
     rows = {(r.unique_id, r.dimension_name): r.n for r in counted}
     done = _task_outcomes(planned, by_id, rows, False)
     if violations:
@@ -206,6 +208,18 @@ def _checked_relations(relations: DataFrame, by_id: dict[str, Profile]) -> DataF
     return ran.join(flags, "unique_id")
 
 
+def _without_repeats(staged: DataFrame, by_id: dict[str, Profile]) -> DataFrame:
+    repeats = [
+        (unique_id, order)
+        for unique_id, p in by_id.items()
+        for order, name in enumerate(p.dimensions, start=1) if name in p.dimensions[:order - 1]
+    ]
+    if not repeats:
+        return staged
+    listed = staged.sparkSession.createDataFrame(repeats, "unique_id string, dimension_order int")
+    return staged.join(listed, ["unique_id", "dimension_order"], "left_anti")
+
+
 def _task_outcomes(planned, by_id, rows, ended: bool) -> list[TaskResult]:
     done = []
     failed_first: set[str] = set()

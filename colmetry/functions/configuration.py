@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, functions as F
 
 from colmetry.schema import COMPUTATION_VERSION, PROFILING_TYPE
@@ -22,40 +24,48 @@ def byte_size(text: Column) -> Column:
     Decimal units are powers of 1000 and binary ones of 1024, in any case. NULL when the text is no
     size, or not a positive whole number of bytes.
     """
-    trimmed = F.trim(text)
     sized = r"^(\d*)(?:\.(\d*?)0*)?\s*([A-Za-z]+)$"
-    whole, fraction = F.regexp_extract(trimmed, sized, 1), F.regexp_extract(trimmed, sized, 2)
     units = F.create_map(*[F.lit(item) for name, size in BYTE_UNITS.items() for item in (name, size)])
-    unit = F.try_element_at(units, F.upper(F.regexp_extract(trimmed, sized, 3))).cast("decimal(19,0)")
-    # amount = digits / scale, kept as two whole numbers so that the product is exact.
-    digits = F.concat(whole, fraction).try_cast("decimal(19,0)")
-    scale = F.rpad(F.lit("1"), F.length(fraction) + 1, "0").try_cast("decimal(19,0)")
-    product = F.try_multiply(digits, unit)
-    bytes_named = F.when(product % scale == 0, F.try_divide(product, scale).try_cast("bigint"))
-    size = F.when(trimmed.rlike(r"^\d+$"), trimmed.try_cast("bigint")).otherwise(bytes_named)
-    return F.when(size > 0, size)
+
+    def parts(trimmed: Column) -> Column:
+        whole, fraction, unit = (F.regexp_extract(trimmed, sized, i) for i in (1, 2, 3))
+        return F.struct(F.concat(whole, fraction).alias("digits"), F.length(fraction).alias("places"), F.upper(unit).alias("unit"))
+
+    def whole_bytes(amount: Column) -> Column:
+        return F.when(amount["product"] % amount["scale"] == 0, F.try_divide(amount["product"], amount["scale"]).try_cast("bigint"))
+
+    def named(found: Column) -> Column:
+        # amount = digits / scale, kept as two whole numbers so that the product is exact.
+        unit = F.try_element_at(units, found["unit"]).cast("decimal(19,0)")
+        return _let(F.struct(
+            F.try_multiply(found["digits"].try_cast("decimal(19,0)"), unit).alias("product"),
+            F.rpad(F.lit("1"), found["places"] + 1, "0").try_cast("decimal(19,0)").alias("scale"),
+        ), whole_bytes)
+
+    def parsed(trimmed: Column) -> Column:
+        return F.when(trimmed.rlike(r"^\d+$"), trimmed.try_cast("bigint")).otherwise(_let(parts(trimmed), named))
+
+    return _let(_let(F.trim(text), parsed), lambda size: F.when(size > 0, size))
 
 
 def profiling_struct(raw: Column) -> Column:
     """Settings with their defaults filled in; a wrong setting raises when the row is read."""
-    limit = raw["max_bytes_billed"]
+    limit, where = raw["max_bytes_billed"], raw["where"]
     values = F.coalesce(raw["max_dimension_values"], F.lit(DEFAULT_MAX_DIMENSION_VALUES).cast("bigint"))
-    where = F.regexp_replace(raw["where"], r"^\s+|\s+$", "")
-    struct = F.struct(
+    return F.struct(
         F.coalesce(raw["enabled"], F.lit(False)).alias("enabled"),
         F.coalesce(raw["dimensions"], F.array().cast("array<string>")).alias("dimensions"),
-        _required(values > 0, values, "max_dimension_values must be greater than 0").alias("max_dimension_values"),
-        _required(
-            limit.isNull() | byte_size(limit).isNotNull(), byte_size(limit),
-            "max_bytes_billed must be a byte count or a size such as '10 GB' or '8 GiB'",
-        ).alias("max_bytes_billed"),
+        F.when(values > 0, values).otherwise(
+            _refuse("max_dimension_values must be greater than 0").cast("bigint")
+        ).alias("max_dimension_values"),
+        F.coalesce(byte_size(limit), F.when(limit.isNotNull(), _refuse(
+            "max_bytes_billed must be a byte count or a size such as '10 GB' or '8 GiB'"
+        ).cast("bigint"))).alias("max_bytes_billed"),
         F.coalesce(raw["treat_empty_string_as_null"], F.lit(False)).alias("treat_empty_string_as_null"),
-        _required(
-            where.isNull() | (where != ""), where,
-            "where must be a non-empty SQL condition without the WHERE keyword",
-        ).alias("where"),
+        F.coalesce(F.nullif(F.regexp_replace(where, r"^\s+|\s+$", ""), F.lit("")), F.when(where.isNotNull(), _refuse(
+            "where must be a non-empty SQL condition without the WHERE keyword"
+        ).cast("string"))).alias("where"),
     )
-    return struct.cast(PROFILING_TYPE)
 
 
 def default_profiling() -> Column:
@@ -81,5 +91,10 @@ def result_signature() -> Column:
     return F.sha2(F.concat_ws(":", F.lit(COMPUTATION_VERSION), text), 256)
 
 
-def _required(condition: Column, value: Column, message: str) -> Column:
-    return F.when(condition, value).otherwise(F.raise_error(F.lit(message)))
+def _refuse(message: str) -> Column:
+    return F.raise_error(F.lit(message))
+
+
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often the body uses it."""
+    return F.element_at(F.transform(F.array(value), body), 1)

@@ -75,5 +75,5 @@ def scanned_bytes(df: DataFrame) -> int | None:
     leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves().iterator()
     total = 0
     while leaves.hasNext():
-        total += int(leaves.next().stats().sizeInBytes().toString())
+        total += int(str(leaves.next().stats().sizeInBytes()))
     return total if total < (1 << 62) else None

@@ -37,15 +37,15 @@ def byte_size(text: Column) -> Column:
     def named(found: Column) -> Column:
         # amount = digits / scale, kept as two whole numbers so that the product is exact.
         unit = F.try_element_at(units, found["unit"]).cast("decimal(19,0)")
-        return _let(F.struct(
+        return let(F.struct(
             F.try_multiply(found["digits"].try_cast("decimal(19,0)"), unit).alias("product"),
             F.rpad(F.lit("1"), found["places"] + 1, "0").try_cast("decimal(19,0)").alias("scale"),
         ), whole_bytes)
 
     def parsed(trimmed: Column) -> Column:
-        return F.when(trimmed.rlike(r"^\d+$"), trimmed.try_cast("bigint")).otherwise(_let(parts(trimmed), named))
+        return F.when(trimmed.rlike(r"^\d+$"), trimmed.try_cast("bigint")).otherwise(let(parts(trimmed), named))
 
-    return _let(_let(F.trim(text), parsed), lambda size: F.when(size > 0, size))
+    return let(let(F.trim(text), parsed), lambda size: F.when(size > 0, size))
 
 
 def profiling_struct(raw: Column) -> Column:
@@ -95,6 +95,6 @@ def _refuse(message: str) -> Column:
     return F.raise_error(F.lit(message))
 
 
-def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """``body`` of a value that is computed once, however often the body uses it."""
     return F.element_at(F.transform(F.array(value), body), 1)

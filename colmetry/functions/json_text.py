@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from colmetry.functions.configuration import profiling_struct
+from colmetry.functions.configuration import let, profiling_struct
 from colmetry.schema import COLUMNS_TYPE, SCHEMA_VERSION, normalize_type_col
 
 # Limits and flags may be stored as text or as JSON numbers; a string field reads both.
@@ -51,7 +51,7 @@ def decode_relations(models: DataFrame) -> DataFrame:
         strings("tests_json").alias("tests"),
         strings("upstream_ids_json").alias("upstream_ids"),
         normal_columns(columns).alias("columns"),
-        profiling_struct(F.from_json("profiling_json", _PROFILING_TEXT, _STRICT)).alias("profiling"),
+        let(F.from_json("profiling_json", _PROFILING_TEXT, _STRICT), profiling_struct).alias("profiling"),
         "profiled_at", "profile_version",
     )
 

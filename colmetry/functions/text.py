@@ -60,17 +60,33 @@ def decimal_order_key(text: Column) -> Column:
     their digits complemented and end in a character above every digit, which reverses their order.
     Minus zero equals zero. Text that is not a plain decimal has no key.
     """
-    pattern = r"^([+-]?)0*(\d+?)(?:\.(\d*?)0*)?$"
-    whole = F.regexp_extract(text, pattern, 2)
-    fraction = F.regexp_extract(text, pattern, 3)
-    size = F.lpad(F.length(whole).cast("string"), 6, "0")
-    body = F.concat(size, whole, fraction)
-    negative = (F.regexp_extract(text, pattern, 1) == "-") & ~((whole == "0") & (fraction == ""))
-    reversed_body = F.concat(F.translate(body, "0123456789", "9876543210"), F.lit("~"))
-    return F.when(
-        text.rlike(r"^[+-]?\d+(\.\d+)?$"),
-        F.when(negative, F.concat(F.lit("0"), reversed_body)).otherwise(F.concat(F.lit("1"), body)),
-    )
+    unsigned = F.ltrim(text, F.lit("+-"))
+    whole = F.ltrim(F.substring_index(unsigned, ".", 1), F.lit("0"))
+    whole = F.when(whole == "", F.lit("0")).otherwise(whole)
+    fraction = F.when(
+        F.contains(unsigned, F.lit(".")), F.rtrim(F.substring_index(unsigned, ".", -1), F.lit("0"))
+    ).otherwise(F.lit(""))
+    body = F.concat(F.lpad(F.length(whole).cast("string"), 6, "0"), whole, fraction)
+    zero = F.lit("0000010")
+    return F.when(text.rlike(r"^[+-]?\d+(\.\d+)?$"), (
+        F.when(body == zero, F.lit("10000010"))
+        .when(text.startswith("-"), F.concat(F.lit("0"), F.translate(body, *_COMPLEMENT), F.lit("~")))
+        .otherwise(F.concat(F.lit("1"), body))
+    ))
+
+
+_COMPLEMENT = ("0123456789", "9876543210")
+
+
+def decimal_from_key(key: Column) -> Column:
+    """The decimal text an order key stands for, without padding zeros or a plus sign."""
+    negative = key.startswith("0")
+    body = F.when(negative, F.translate(F.rtrim(key, F.lit("~")), *_COMPLEMENT)).otherwise(key)
+    size = F.substring(body, 2, 6).cast("int")
+    whole = F.substr(body, F.lit(8), size)
+    fraction = F.substr(body, size + 8)
+    number = F.when(fraction == "", whole).otherwise(F.concat_ws(".", whole, fraction))
+    return F.when(negative, F.concat(F.lit("-"), number)).otherwise(number)
 
 
 def decode_int(text: Column, data_type: Column) -> Column:

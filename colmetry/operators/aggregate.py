@@ -23,7 +23,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 
 from colmetry.errors import ProfileError
-from colmetry.functions.text import decimal_text, distinct_key, float_text, timestamp_text, value_text
+from colmetry.functions.text import (
+    decimal_from_key, decimal_order_key, decimal_text, distinct_key, float_text, timestamp_text, value_text,
+)
 from colmetry.operators.metrics import Metric, metrics_for
 from colmetry.schema import ProfiledColumn, resolve_columns, resolve_dimension
 
@@ -100,10 +102,14 @@ def _row_pass(
     source = df.select(
         *[k.value.alias(f"_d{i}") for i, k in enumerate(_distinct(keys))],
         *[c.value.alias(f"_c{c.order}") for c in columns],
+        *[decimal_order_key(c.value).alias(f"_k{c.order}") for c in columns if c.text_decimal],
     )
     plan = [(c, m, f"_c{c.order}_{m.name}") for c in columns for m in metrics_for(c, added)]
     aggregates = [F.count(F.lit(1)).alias("record_count")]
-    aggregates += [m.aggregate(F.col(f"_c{c.order}")).alias(name) for c, m, name in plan]
+    for c, m, name in plan:
+        # Decimals kept as text are compared by their order key, which spells the number out again.
+        by_key = c.text_decimal and m.name != "non_null"
+        aggregates.append(m.aggregate(F.col(f"_{'k' if by_key else 'c'}{c.order}")).alias(name))
     if not keys:
         slices = source.agg(*aggregates)
         return _row_metrics(_as_overall(slices), columns, added)
@@ -130,7 +136,11 @@ def _row_metrics(slices: DataFrame, columns: Sequence[ProfiledColumn], added: Se
         low, high = found.get("min_value"), found.get("max_value")
         double = c.data_type == "FLOAT64"
         ranged = low is not None and not double
-        text = timestamp_text if c.data_type == "TIMESTAMP" else lambda value: value.cast("string")
+        text = (
+            decimal_from_key if c.text_decimal
+            else timestamp_text if c.data_type == "TIMESTAMP"
+            else lambda value: value.cast("string")
+        )
         rows.append(F.struct(
             *_identity(c),
             F.coalesce(found["non_null"], zero).alias("_non_null"),

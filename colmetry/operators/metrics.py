@@ -12,7 +12,6 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, functions as F
 
-from colmetry.functions.text import decimal_order_key
 from colmetry.schema import RANGE_TYPES, SUPPORTED_TYPES, ProfiledColumn
 
 
@@ -45,11 +44,6 @@ MIN_VALUE = Metric("min_value", RANGE_TYPES, F.min, F.min)
 MAX_VALUE = Metric("max_value", RANGE_TYPES, F.max, F.max)
 TRUE_COUNT = Metric("true_count", ("BOOL",), F.count_if, F.sum)
 
-_TEXT_MIN = Metric("min_value", ("BIGNUMERIC",), lambda c: F.min_by(c, decimal_order_key(c)),
-                   lambda c: F.min_by(c, decimal_order_key(c)))
-_TEXT_MAX = Metric("max_value", ("BIGNUMERIC",), lambda c: F.max_by(c, decimal_order_key(c)),
-                   lambda c: F.max_by(c, decimal_order_key(c)))
-
 # Metrics every profile reports beside the counts derived from NON_NULL.
 STANDARD = (MIN_VALUE, MAX_VALUE, TRUE_COUNT)
 
@@ -57,5 +51,5 @@ STANDARD = (MIN_VALUE, MAX_VALUE, TRUE_COUNT)
 def metrics_for(column: ProfiledColumn, added: Iterable[Metric] = ()) -> list[Metric]:
     """The metrics computed for one non-string column."""
     if column.text_decimal:
-        return [NON_NULL, _TEXT_MIN, _TEXT_MAX]
+        return [NON_NULL, MIN_VALUE, MAX_VALUE]
     return [m for m in (NON_NULL, *STANDARD, *added) if column.data_type in m.types]

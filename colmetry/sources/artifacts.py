@@ -141,14 +141,15 @@ def _entries(manifests: DataFrame) -> DataFrame:
         F.raise_error(F.lit("manifest metadata.project_name is missing")),
     )
 
-    def exploded(field: str, is_source: bool) -> DataFrame:
-        return manifests.select(
-            "project", name.alias("project_name"), F.lit(is_source).alias("is_source"),
-            F.posexplode(F.map_values(field)).alias("position", "node"),
-        )
-
-    both = exploded("nodes", False).unionByName(exploded("sources", True))
-    return both.withColumn("unique_id", F.col("node.unique_id"))
+    def listed(field: str, is_source: bool) -> Column:
+        nodes = F.coalesce(F.map_values(field), F.array().cast(f"array<{NODE}>"))
+        return F.transform(nodes, lambda node, place: F.struct(
+            F.lit(is_source).alias("is_source"), place.alias("position"), node.alias("node")
+        ))
+
+    # Both kinds leave one generator, so a manifest is parsed once.
+    both = F.concat(listed("nodes", False), listed("sources", True))
+    return manifests.select("project", name.alias("project_name"), F.inline(both)).withColumn("unique_id", F.col("node.unique_id"))
 
 
 def _catalog_columns(catalogs: DataFrame) -> DataFrame:

@@ -170,7 +170,8 @@ def _is_current(models: DataFrame, metrics: DataFrame, check_metrics: bool = Tru
         raise StorageError("inconsistent profile storage schema versions")
     if versioned[0]:
         for df in (models, metrics) if check_metrics else (models,):
-            other = ~F.col("schema_version").eqNullSafe(F.lit(SCHEMA_VERSION))
+            # Row groups whose statistics hold the known version only are not even read.
+            other = (F.col("schema_version") != SCHEMA_VERSION) | F.col("schema_version").isNull()
             if df.where(other).limit(1).count():
                 raise StorageError("unsupported profile storage schema version")
         if "unique_id" not in metrics.columns:

@@ -32,6 +32,8 @@ from colmetry.schema import ProfiledColumn, resolve_columns, resolve_dimension
 # Partial aggregates with more output fields than spark.sql.codegen.maxFields (100) lose whole-stage
 # code generation; thirty columns with three buffers each stay below it.
 COLUMNS_PER_PASS = 30
+# Strings a row is turned into by one pass over string columns: columns times slice sets.
+CELLS_PER_PASS = 60
 
 SLICE_KEYS = ("dimension_order", "dimension_name", "dimension_value")
 METRIC_COLUMNS = (
@@ -80,8 +82,12 @@ def profile_columns(
     if wide:
         # Text buffers rule out hash aggregation, so these stay out of the other columns' pass.
         passes.append(_row_pass(source, keys, wide, added_metrics))
-    if strings:
-        passes.append(_string_pass(source, keys, strings, treat_empty_string_as_null, added_metrics, digest_long_strings))
+    strings_per_pass = max(1, CELLS_PER_PASS // (len(set(dimensions)) + 1))
+    for start in range(0, len(strings), strings_per_pass):
+        passes.append(_string_pass(
+            source, keys, strings[start:start + strings_per_pass], treat_empty_string_as_null, added_metrics,
+            digest_long_strings,
+        ))
     return reduce(DataFrame.unionByName, passes)
 
 
@@ -114,7 +120,7 @@ def _row_pass(
         slices = source.agg(*aggregates)
         return _row_metrics(_as_overall(slices), columns, added)
 
-    grouped, place = _group(source, len(_distinct(keys)), [], aggregates)
+    grouped, place = _group(source, len(_distinct(keys)), aggregates)
     # Every row is in exactly one slice of the first dimension, so merging those slices gives
     # Overall; the condition sits inside the aggregates to leave the grouped plan as it is, which
     # lets both branches read one exchange.
@@ -188,37 +194,44 @@ def _string_pass(
     source = df.select(
         *[k.value.alias(name) for k, name in zip(distinct, held)],
         *[
-            (distinct_key(c.value) if digest_long_strings else c.value).alias(str(i))
+            (distinct_key(c.value) if digest_long_strings else c.value).alias(f"_c{i}")
             for i, c in enumerate(columns)
         ],
     )
-    cells = source.unpivot(held, [str(i) for i in range(len(columns))], "_column", "_text")
-    counted = F.count(F.lit(1)).alias("_rows")
-    if keys:
-        groups, place = _group(cells, len(distinct), ["_column", "_text"], [counted], with_overall=True)
-    else:
-        groups, place = cells.groupBy("_column", "_text").agg(counted), F.lit(-1)
-    groups = groups.select(place.alias("_place"), *held, "_column", "_text", "_rows")
+    # One cell per slice set and column: which one it is (as a number, so that keys stay narrow), the
+    # value of that dimension and the string.
+    absent = {name: F.lit(None).cast(source.schema[name].dataType) for name in held}
+    cells = [
+        F.struct(
+            F.lit(place * len(columns) + i).alias("_cell"),
+            *[(F.col(name) if k + 1 == place else absent[name]).alias(name) for k, name in enumerate(held)],
+            F.col(f"_c{i}").alias("_text"),
+        )
+        for place in range(len(held) + 1) for i in range(len(columns))
+    ]
+    groups = source.select(F.inline(F.array(*cells))).groupBy("_cell", *held, "_text").agg(
+        F.count(F.lit(1)).alias("_rows")
+    )
 
     # A group of no rows per column keeps the Overall slice of an empty table.
-    nothing = df.sparkSession.range(1, numPartitions=1).select(
-        F.lit(-1).alias("_place"),
-        *[F.lit(None).cast(source.schema[name].dataType).alias(name) for name in held],
-        F.explode(F.array(*[F.lit(str(i)) for i in range(len(columns))])).alias("_column"),
+    nothing = df.sparkSession.range(len(columns), numPartitions=1).select(
+        F.col("id").cast("int").alias("_cell"),
+        *[absent[name].alias(name) for name in held],
         F.lit(None).cast("string").alias("_text"),
         F.lit(0).cast("bigint").alias("_rows"),
     )
     text = F.col("_text")
     present = text.isNotNull() & (text != "") if treat_empty_string_as_null else text.isNotNull()
-    slices = groups.unionByName(nothing).groupBy("_place", *held, "_column").agg(
+    slices = groups.unionByName(nothing).groupBy("_cell", *held).agg(
         F.sum("_rows").alias("record_count"),
         F.sum(F.when(text.isNull(), F.col("_rows")).otherwise(0)).alias("null_count"),
         F.sum(F.when(text == "", F.col("_rows")).otherwise(0)).alias("empty_string_count"),
         F.count_if(present).alias("distinct_count"),
     )
     counts = ["record_count", "null_count", "empty_string_count", "distinct_count"]
-    named = _name_slices(slices, keys, F.col("_place"), ["_column", *counts], with_overall=True)
-    column = F.element_at(F.array(*[F.struct(*_identity(c)) for c in columns]), F.col("_column").cast("int") + 1)
+    place = F.floor(F.col("_cell") / len(columns)) - 1
+    named = _name_slices(slices, keys, place, ["_cell", *counts], with_overall=True)
+    column = F.element_at(F.array(*[F.struct(*_identity(c)) for c in columns]), F.col("_cell") % len(columns) + 1)
     missing = F.col("null_count")
     if treat_empty_string_as_null:
         missing = missing + F.col("empty_string_count")
@@ -239,33 +252,21 @@ def _distinct(keys: Sequence[ProfiledColumn]) -> list[ProfiledColumn]:
     return list(dict.fromkeys(keys))
 
 
-def _group(
-    df: DataFrame, dimensions: int, also: Sequence[str], aggregates: Sequence[Column], with_overall: bool = False
-) -> tuple[DataFrame, Column]:
-    """Group by each dimension in turn (and by ``also``), all in one aggregate.
+def _group(df: DataFrame, dimensions: int, aggregates: Sequence[Column]) -> tuple[DataFrame, Column]:
+    """Group by each dimension in turn, all in one aggregate.
 
-    Returns the groups and an expression for the dimension a group belongs to, -1 for Overall.
+    Returns the groups and an expression for the place of the dimension a group belongs to.
     """
     held = [f"_d{i}" for i in range(dimensions)]
-    if dimensions == 1 and not with_overall:
-        return df.groupBy(*held, *also).agg(*aggregates), F.lit(0)
-    sets = [[name, *also] for name in held]
-    if with_overall:
-        sets.insert(0, list(also))
-    keys = [*held, *also]
-    grouped = df.groupingSets([[F.col(n) for n in one] for one in sets], *[F.col(n) for n in keys]).agg(
-        F.grouping_id().alias("_set"), *aggregates
-    )
+    if dimensions == 1:
+        return df.groupBy(*held).agg(*aggregates), F.lit(0)
+    keys = [F.col(name) for name in held]
+    grouped = df.groupingSets([[key] for key in keys], *keys).agg(F.grouping_id().alias("_set"), *aggregates)
     # grouping_id has one bit per key, most significant first, set when the key is left out.
-    marks = {
-        sum(1 << (len(keys) - 1 - i) for i, key in enumerate(keys) if key not in one):
-            held.index(one[0]) if one[0] in held else -1
-        for one in sets if one
-    }
-    if with_overall and not also:
-        raise ValueError("an Overall set needs other keys")
+    everything = (1 << dimensions) - 1
     place = reduce(
-        lambda chosen, mark: chosen.when(F.col("_set") == mark[0], F.lit(mark[1])), marks.items(), F
+        lambda chosen, i: chosen.when(F.col("_set") == everything - (1 << (dimensions - 1 - i)), F.lit(i)),
+        range(dimensions), F,
     )
     return grouped, place
 

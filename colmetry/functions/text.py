@@ -85,7 +85,7 @@ def decimal_from_key(key: Column) -> Column:
     size = F.substring(body, 2, 6).cast("int")
     whole = F.substr(body, F.lit(8), size)
     fraction = F.substr(body, size + 8)
-    number = F.when(fraction == "", whole).otherwise(F.concat_ws(".", whole, fraction))
+    number = F.when(fraction == "", whole).otherwise(F.concat(whole, F.lit("."), fraction))
     return F.when(negative, F.concat(F.lit("-"), number)).otherwise(number)
 
 

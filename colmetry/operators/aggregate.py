@@ -3,9 +3,9 @@
 Two kinds of pass run over the table and each reads its own columns only, so a columnar table is
 read about once however many dimensions are asked for:
 
-* the *row pass* covers non-string columns. It is one grouping-sets aggregate over the dimensions
-  whose buffers all have fixed width, so every task emits one small row per slice. Overall is rolled
-  up from the slices of the first dimension.
+* the *row pass* covers non-string columns. It is one aggregate over all dimensions whose buffers have
+  fixed width, so every task emits one small row per slice. Overall is rolled up from the slices of
+  the first dimension, out of the same exchange.
 * the *string pass* covers string columns. Rows become (dimension value, column, string) groups with
   a count, which are deduplicated by a partial aggregate before they are shuffled; from these groups
   come the distinct, null and empty counts at once. The shuffle key holds the string itself, so one
@@ -255,20 +255,23 @@ def _distinct(keys: Sequence[ProfiledColumn]) -> list[ProfiledColumn]:
 def _group(df: DataFrame, dimensions: int, aggregates: Sequence[Column]) -> tuple[DataFrame, Column]:
     """Group by each dimension in turn, all in one aggregate.
 
-    Returns the groups and an expression for the place of the dimension a group belongs to.
+    Returns the groups and an expression for the place of the dimension a group belongs to. Rows are
+    repeated by a generator rather than by grouping sets, as two uses of the latter do not share
+    their exchange.
     """
     held = [f"_d{i}" for i in range(dimensions)]
     if dimensions == 1:
         return df.groupBy(*held).agg(*aggregates), F.lit(0)
-    keys = [F.col(name) for name in held]
-    grouped = df.groupingSets([[key] for key in keys], *keys).agg(F.grouping_id().alias("_set"), *aggregates)
-    # grouping_id has one bit per key, most significant first, set when the key is left out.
-    everything = (1 << dimensions) - 1
-    place = reduce(
-        lambda chosen, i: chosen.when(F.col("_set") == everything - (1 << (dimensions - 1 - i)), F.lit(i)),
-        range(dimensions), F,
-    )
-    return grouped, place
+    measured = [name for name in df.columns if name not in held]
+    sets = [
+        F.struct(F.lit(place).alias("_place"), *[
+            (F.col(name) if i == place else F.lit(None).cast(df.schema[name].dataType)).alias(name)
+            for i, name in enumerate(held)
+        ])
+        for place in range(dimensions)
+    ]
+    repeated = df.select(*measured, F.inline(F.array(*sets)))
+    return repeated.groupBy("_place", *held).agg(*aggregates), F.col("_place")
 
 
 def _as_overall(row: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from colmetry import profile_columns
 from colmetry.operators import views
 from suite.expected_sql import profile_sql
 from suite.inputs import (
-    DECIMAL_LINES, DECIMAL_TYPES, DIRTY_EVENTS, DIRTY_TYPES, LINEITEM_TYPES, ORDERS_BY_DAY, ORDERS_BY_DAY_TYPES, listed,
+    DECIMAL_LINES, DECIMAL_TYPES, DIRTY_EVENTS, DIRTY_TYPES, LINEITEM_TYPES, ORDERS_BY_DAY, listed,
     table,
 )
 

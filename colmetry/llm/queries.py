@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from colmetry.llm import chat, line_quality, simhash
+from colmetry.llm import chat, context_mixing, line_quality, simhash
 from colmetry.llm.texts import plain
 
 
@@ -13,6 +13,10 @@ def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def op1_context_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    return context_mixing.score_documents(_table(spark, folder, "documents"))
+
+
 def op6_line_quality(spark: SparkSession, folder: str) -> DataFrame:
     judged = line_quality.judge(_table(spark, folder, "documents"))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "left_chars")
@@ -20,22 +24,22 @@ def op6_line_quality(spark: SparkSession, folder: str) -> DataFrame:
 
 _LINE_FAILS = "\n    OR ".join([
     r"(len(regexp_extract_all(line, '[|»›•]| > ')) >= 2 AND 4 * len(regexp_extract_all(line, '[|»›•]| > ')) > len(w))",
-    r"len(list_filter(range(1, len(w) - 2), i -> w[i] = w[i + 1] AND w[i] = w[i + 2] AND w[i] = w[i + 3])) > 0",
-    r"10 * len(list_filter(w, x -> regexp_matches(x, '([#*$%&<>|]|[!?]{2,})$'))) > 3 * len(w)",
+    r"len(list_filter(range(1, len(w) - 2), lambda i: w[i] = w[i + 1] AND w[i] = w[i + 2] AND w[i] = w[i + 3])) > 0",
+    r"10 * len(list_filter(w, lambda x: regexp_matches(x, '([#*$%&<>|]|[!?]{2,})$'))) > 3 * len(w)",
     r"NOT regexp_matches(line, '\p{L}')",
     r"(len(w) > 10 AND NOT regexp_matches(line, '[.!?…:;。]'))",
     "regexp_matches(lower(line), '" + "|".join(line_quality.BOILERPLATE) + "')",
 ])
 _OP6_SQL = rf"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
-w AS (SELECT r, doc_id, t, list_filter(regexp_split_to_array(t, '[\x20\x09-\x0D]+'), x -> x <> '') AS w FROM d),
+w AS (SELECT r, doc_id, t, list_filter(regexp_split_to_array(t, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM d),
 n AS (SELECT r, doc_id, t, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars,
   len(regexp_extract_all(t, '[#*$%&|<>]')) AS n_symbols FROM w),
 g AS (SELECT r, i, array_to_string(w[i:i + 4], ' ') AS s FROM (SELECT r, w, unnest(range(1, len(w) - 3)) AS i FROM w)),
 p AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY r, s) AS c FROM g) WHERE c > 1),
 c AS (SELECT r, sum(least(5, coalesce(following - i, 5))) AS n_repeat_words
   FROM (SELECT r, i, lead(i) OVER (PARTITION BY r ORDER BY i) AS following FROM p) GROUP BY r),
-l AS (SELECT r, line, list_filter(regexp_split_to_array(line, '[\x20\x09-\x0D]+'), x -> x <> '') AS w
+l AS (SELECT r, line, list_filter(regexp_split_to_array(line, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w
   FROM (SELECT r, unnest(string_split(t, chr(10))) AS line FROM d) WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
 j AS (SELECT r, count(*) - count(DISTINCT line) AS n_dup_lines,
   coalesce(sum(length(array_to_string(w, ''))) FILTER (WHERE NOT (
@@ -86,5 +90,5 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text |
 FROM m GROUP BY conv_id
 """
 
-QUERIES = {"op6_line_quality": op6_line_quality, "op7_simhash": op7_simhash, "op10_chat": op10_chat}
+QUERIES = {"op1_context_mixing": op1_context_mixing, "op6_line_quality": op6_line_quality, "op7_simhash": op7_simhash, "op10_chat": op10_chat}
 SQL = {"op6_line_quality": _OP6_SQL, "op10_chat": _OP10_SQL}

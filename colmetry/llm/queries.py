@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from colmetry.llm import chat, context_mixing, language, line_quality, simhash, toxicity
-from colmetry.llm.texts import plain
+from colmetry.llm import (
+    chat, context_mixing, decontamination, language, line_quality, mixing, secret_scan, simhash, toxicity, training_order,
+)
+from colmetry.llm.texts import scratch
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -17,10 +19,24 @@ def op1_context_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return context_mixing.score_documents(_table(spark, folder, "documents"))
 
 
+def op2_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    mixed = mixing.mix(_table(spark, folder, "documents"))
+    return mixed.select("doc_id", F.col("_source").alias("source"), F.col("_lang").alias("lang"), F.col("_topic").alias("topic"),
+                        F.col("_weight").alias("weight"), F.col("_probability").alias("probability"), F.col("_kept").alias("kept"))
+
+
 def op3_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return toxicity.score_documents(_table(spark, folder, "documents"), _table(spark, folder, "labels"))
 
 
+def op4_training_order(spark: SparkSession, folder: str) -> DataFrame:
+    return training_order.materialise(_table(spark, folder, "documents"), f"{scratch(spark)}/shards")[0]
+
+
+def op5_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
+    return secret_scan.scan(_table(spark, folder, "documents"))
+
+
 def op6_line_quality(spark: SparkSession, folder: str) -> DataFrame:
     judged = line_quality.judge(_table(spark, folder, "documents"))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "left_chars")
@@ -62,6 +78,10 @@ def op7_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, folder, "documents"))
 
 
+def op8_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    return decontamination.find(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"))
+
+
 def op9_language(spark: SparkSession, folder: str) -> DataFrame:
     return language.identify(_table(spark, folder, "documents"))
 
@@ -98,6 +118,8 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text |
 FROM m GROUP BY conv_id
 """
 
-QUERIES = {"op1_context_mixing": op1_context_mixing, "op3_toxicity": op3_toxicity, "op6_line_quality": op6_line_quality,
-    "op7_simhash": op7_simhash, "op9_language": op9_language, "op10_chat": op10_chat}
+QUERIES = {q.__name__: q for q in (
+    op1_context_mixing, op2_mixing, op3_toxicity, op4_training_order, op5_secret_scan, op6_line_quality, op7_simhash,
+    op8_decontamination, op9_language, op10_chat,
+)}
 SQL = {"op6_line_quality": _OP6_SQL, "op10_chat": _OP10_SQL}

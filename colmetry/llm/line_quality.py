@@ -91,7 +91,9 @@ def judge(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", min_
 
 def clean(documents: DataFrame, min_left: int = MIN_LEFT) -> DataFrame:
     """Documents that are kept, with the text of the lines that stay; all columns of ``documents``, in order."""
-    judged = judge(documents.select(F.struct("*").alias("row"), "text"), "row", "text", min_left).where("kept")
+    judged = judge(documents.select(F.struct("*").alias("row"), "text"), "row", "text", min_left)
+    # The optimizer would move the condition below the steps of judge() and nest them all in it; it stops at a random column.
+    judged = judged.withColumn("stop", F.rand(0)).where(F.col("kept") & (F.col("stop") >= 0))
     replaced = {"text": F.col("clean_text")}
     if "n_chars" in documents.columns:
         replaced["n_chars"] = F.length("clean_text").cast(documents.schema["n_chars"].dataType)

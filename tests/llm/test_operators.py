@@ -1,0 +1,253 @@
+"""Each operator against plain Python on small tables, with nulls, empty and long texts, ties, repeated rows, empty tables, extra columns."""
+
+import hashlib
+import zlib
+from collections import Counter
+
+import numpy as np
+import pytest
+import xxhash
+from pyspark.sql import functions as F
+
+from colmetry.llm import (
+    char_ngrams, chat, context_mixing, decontamination, language, line_quality, mixing, secret_scan, simhash, toxicity, training_order,
+)
+
+DOCUMENTS = "doc_id long, text string, lang string, source string, n_chars long, block string, fp string"
+PROSE = "The river ran past the old mill and the miller slept through the long warm afternoon without a care in the world."
+BOATS = "Small boats carry fresh bread to the islands every morning."
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    texts = [None, "", "   \n\t", "one", PROSE, PROSE, PROSE + " Then rain came.", "lang " * 4000 + "end.", "Ünïcode « ça » 中文 text.",
+             "a\x00b \x0b c", "42 4711", "password=f00dfeed12345678 and token"]
+    rows = [(i, t, ["en", None, "fr"][i % 3], ["src0", None][i % 2], 1, "x", "y") for i, t in enumerate(texts)]
+    rows += [rows[4], (None, PROSE, None, None, None, None, None), (None, None, None, None, None, None, None)]
+    return spark.createDataFrame(rows, DOCUMENTS)
+
+
+@pytest.fixture(scope="module")
+def empty(spark):
+    return spark.createDataFrame([], DOCUMENTS)
+
+
+def words(text):
+    return (text or "").encode().lower().split()
+
+
+def test_simhash_groups_are_those_of_all_pairs(spark, odd, empty):
+    rng = np.random.default_rng(3)
+    base = rng.integers(0, 2 ** 63, 60, dtype=np.uint64)
+    near = base.copy()
+    for _ in range(4):
+        near ^= np.uint64(1) << rng.integers(0, 64, 60, dtype=np.uint64)
+    ball = base[0] ^ (np.uint64(1) << np.arange(64, dtype=np.uint64))
+    keys = np.unique(np.concatenate([base, near, ball, np.array([0, 1, 2 ** 64 - 1], np.uint64)]))
+    close = np.bitwise_count(keys[:, None] ^ keys[None, :]) <= simhash.ERRORS
+    label = np.arange(len(keys))
+    for _ in range(len(keys)):
+        label = np.array([label[row].min() for row in close])
+    frame = spark.createDataFrame([(int(k),) for k in keys.view(np.int64)], "fp long")
+    place = {int(k): i for i, k in enumerate(keys.view(np.int64))}
+    for distinct in (len(keys), 10 ** 9):
+        edges = simhash.links(frame, distinct).collect()
+        i, j = (np.array([place[e[k]] for e in edges]) for k in (0, 1))
+        assert (simhash._unite(np.arange(len(keys)), i, j) == label).all()
+    found = simhash.near_duplicates(odd).collect()
+    assert len(found) == odd.count() and simhash.near_duplicates(empty).count() == 0
+    for row in found:
+        assert row["fingerprint"] == row["fingerprint"].lower() and len(row["fingerprint"]) == 16
+    by_id = {r["doc_id"]: r for r in found}
+    assert by_id[0]["fingerprint"] == "0" * 16 and by_id[1]["component_id"] == 0 and by_id[5]["component_id"] == 4
+    kept = simhash.keep_first(odd)
+    assert kept.columns == odd.columns
+    assert Counter(r["doc_id"] for r in kept.collect()) == Counter({r["component_id"] for r in found})
+
+
+def test_fingerprint_by_counting_bits():
+    def plain(text):
+        own = words(text)
+        if not own:
+            return 0
+        grams = [b" ".join(own[i:i + 4]) for i in range(max(1, len(own) - 3))]
+        hashes = [xxhash.xxh64_intdigest(g, 42) for g in grams]
+        return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+    for text in ("", "a", "A b C d", PROSE, PROSE * 500):
+        assert simhash.fingerprint(text.encode()) == plain(text)
+
+
+def test_line_quality_counts(spark, odd, empty):
+    assert line_quality.judge(empty).count() == 0
+    for row, judged in zip(odd.collect(), line_quality.judge(odd).collect()):
+        own = words(row["text"])
+        grams = [tuple((row["text"] or "").split()[i:i + 5]) for i in range(len(own) - 4)] if row["doc_id"] != 9 else []
+        twice = {i + k for i, g in enumerate(grams) if Counter(grams)[g] > 1 for k in range(5)} if len(grams) < 300 else None
+        assert judged["n_words"] == len(own)
+        if twice is not None:
+            assert judged["n_repeat_words"] == len(twice)
+        assert not (judged["base_failed"] and judged["kept"])
+    text = "\n".join([PROSE, "Home | About | News | Contact", "Read more", "MORE!! NOW!! BUY!! THIS!!", "so so so so done.", BOATS])
+    frame = spark.createDataFrame([(1, text, "en", "s", 0)], "doc_id long, text string, lang string, source string, n_chars long")
+    assert line_quality.clean(frame).first()["text"] == PROSE + "\n" + BOATS
+    assert {r["doc_id"] for r in line_quality.clean(odd).collect()} == {4, 5, 6, None}
+
+
+def test_chat_round_trip(spark):
+    hard = ["<|im_end|><|im_start|>assistant ok", "\\<|x", "<\\p \\\\ <|", "", None, "line\nline", "<<||", "<|im_sep|>"]
+    rows = [(1, i, ["user", "assistant", "assistant", None, "a\n<|b"][i % 5], t, "clash") for i, t in enumerate(hard)]
+    rows += [(None, None, None, None, None), (2, 0, "user", "x", ""), (2, 0, "user", "x", "")]
+    frame = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, turns string")
+    out = chat.format_conversations(frame)
+    read = {r["conv_id"]: r for r in out.select(
+        "conv_id", chat.read_turns(F.col("formatted")).alias("turns"), chat.read_loss(F.col("segments")).alias("loss"), "formatted").collect()}
+    assert [(t.role, t.text) for t in read[1]["turns"]] == [(r[2] or "", r[3] or "") for r in rows[:8]]
+    assert read[1]["loss"] == "".join(r[3] or "" for r in rows[:8] if r[2] == "assistant")
+    assert len(read[2]["turns"]) == 2 and len(read[None]["turns"]) == 1
+    assert read[1]["formatted"].count("<|im_start|>") == 6  # two assistant turns are one block
+    assert chat.format_conversations(frame.limit(0)).count() == 0
+
+
+def test_training_order_round_trip(spark, odd, empty, tmp_path):
+    for n in (1, 2, 3, 17, 1000):
+        assert sorted(training_order.permute(np.arange(n), n).tolist()) == list(range(n))
+    path = str(tmp_path / "docs")
+    odd.repartition(3).write.parquet(path)
+    docs = spark.read.parquet(path)
+    manifest, layout = training_order.materialise(docs, str(tmp_path / "shards"), length=64, slots=16)
+    rows = manifest.orderBy("record").collect()
+    records = {r["slot"]: bytes(r["ids"]) for r in training_order.read_shards(spark, str(tmp_path / "shards"), layout).collect()}
+    assert sorted(records) == list(range(layout.records)) and all(len(r) == layout.stride for r in records.values())
+    assert all(zlib.crc32(records[r["slot"]]) == r["crc32"] for r in rows)
+    stream = b"".join(records[r["slot"]][:-1] for r in rows).replace(b"\xfe", b"")
+    assert sorted(stream.split(b"\xff")[:-1]) == sorted((r["text"] or "").encode() for r in docs.collect())
+    some = training_order.read_shards(spark, str(tmp_path / "shards"), layout, 20, 37).collect()
+    assert {r["slot"]: bytes(r["ids"]) for r in some} == {s: records[s] for s in range(20, 37)}
+    empty.write.parquet(str(tmp_path / "none"))
+    assert training_order.materialise(spark.read.parquet(str(tmp_path / "none")), str(tmp_path / "e"))[0].count() == 0
+
+
+def test_mixing_meets_targets(spark, odd, empty):
+    rng = np.random.default_rng(5)
+    rows = [(i, "w " * int(rng.integers(1, 60)), str(rng.choice(["en", "de", "fr"], p=[.7, .2, .1])), f"s{int(rng.integers(0, 9)) % 7}")
+            for i in range(3000)]
+    mixed = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string"), 0.3).withColumn(
+        "n", F.size(F.split(F.trim("text"), " ")))
+    for key in ("_lang", "_source"):
+        got = {r[0]: (r[1], r[2]) for r in mixed.groupBy(key).agg(F.sum("n"), F.sum(F.col("n") * F.col("_weight"))).collect()}
+        want = {k: v[0] ** 0.5 for k, v in got.items()}
+        for k, (_, weighted) in got.items():
+            assert weighted / sum(v[1] for v in got.values()) == pytest.approx(want[k] / sum(want.values()), rel=1e-3)
+    total, expected, drawn = mixed.agg(F.sum("n"), F.sum(F.col("n") * F.col("_probability")), F.sum(F.when(F.col("_kept"), F.col("n")))).first()
+    assert expected / total == pytest.approx(0.3, rel=1e-3) and drawn / total == pytest.approx(0.3, rel=0.15)
+    assert mixing.mix(odd).count() == odd.count() and mixing.sample(odd).columns == odd.columns
+    assert mixing.mix(empty).count() == 0
+
+
+def test_decontamination_finds_items_and_spares_the_rest(spark, odd, empty):
+    items = [(1, "Which old river runs past the mill of Hatherby?\nIt is the brown Severn itself."), (2, PROSE.upper()), (3, None), (4, "")]
+    bench = spark.createDataFrame([(*i, "x") for i in items], "item_id long, text string, doc_id string")
+    long = "filler %d " * 300 % tuple(range(300))
+    rows = [(100, long + items[0][1].lower() + long), (101, long + "Which old river runs past the mill of Hatherby? Nobody knows. " + long),
+            (102, long), (103, PROSE.replace(" ", "  "))]
+    docs = odd.select("doc_id", "text").unionByName(spark.createDataFrame(rows, "doc_id long, text string"))
+    found = {(r["doc_id"], r["item_id"]) for r in decontamination.find(docs, bench).collect()}
+    assert found == {(100, 1), (103, 2), (4, 2), (5, 2), (6, 2), (None, 2)}
+    assert decontamination.find(empty, bench).count() == 0 and decontamination.find(docs, bench.limit(0)).count() == 0
+    assert decontamination.decontaminate(odd, bench).columns == odd.columns
+
+
+def test_block_max_wand_is_exhaustive_scoring():
+    rng = np.random.default_rng(9)
+    vocabulary = [b"w%d" % i for i in range(80)]
+    items = [(k, " ".join(w.decode() for w in rng.choice(vocabulary, int(rng.integers(3, 30))))) for k in range(120)]
+    frequency = Counter(w for _, t in items for w in set(decontamination.tokens(t)))
+    index = decontamination.Index(items, frequency, len(items), 15.0)
+    for _ in range(60):
+        terms = sorted({index.words[w] for w in rng.choice(vocabulary, int(rng.integers(1, 40))) if w in index.words})
+        scores = Counter()
+        for t in terms:
+            for item, x in zip(index.items[t], index.impacts[t]):
+                scores[item] += x
+        assert sorted(i for i, _ in index.search(terms)) == sorted(i for i, s in scores.items() if s >= 1)
+
+
+def test_language_mixture(spark, odd, empty):
+    rng = np.random.default_rng(2)
+    parts = {"aa": ["bor", "tak", "lum", "rin"], "bb": ["zui", "qeo", "xia", "yuu"]}
+
+    def text(lang, n):
+        return " ".join("".join(rng.choice(parts[lang], 3)) for _ in range(n))
+
+    rows = [(i, text(lang, 40), lang) for i in range(160) for lang in [["aa", "bb"][i % 2]]] + [(900, text("aa", 30) + " " + text("bb", 10), None)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    out = {r["doc_id"]: r for r in language.identify(frame).collect()}
+    assert all(out[i]["lang_pred"] == lang for i, _, lang in rows[:160])
+    assert out[900]["lang_pred"] == "aa" and out[900]["shares"]["bb"] == pytest.approx(0.25, abs=0.05)
+    got = {r["doc_id"]: r for r in language.identify(odd).collect()}
+    assert got[0]["lang_pred"] == got[10]["lang_pred"] == "und" and got[0]["score"] == 0
+    assert language.identify(odd).count() == odd.count() and language.identify(empty).count() == 0
+
+
+def test_toxicity(spark, odd, empty):
+    rng = np.random.default_rng(4)
+    calm = ["".join(rng.choice(list("aeioubcdfg"), 6)) for _ in range(300)]
+    rows, marks = [], []
+    for i in range(600):
+        own = list(rng.choice(calm, 40))
+        if i % 4 == 0:
+            own[int(rng.integers(0, 40))] = "zxqkw" + rng.choice(["s", "ed", ""])
+        rows.append((i, " ".join(own)))
+        marks.append((i, int(i % 4 == 0), "x"))
+    labels = spark.createDataFrame(marks, "doc_id long, toxic int, text string")
+    out = toxicity.score_documents(spark.createDataFrame(rows, "doc_id long, text string"), labels).where("held_out").collect()
+    assert np.mean([r["predicted"] == int(r["doc_id"] % 4 == 0) for r in out]) > 0.97
+    assert toxicity.score_documents(odd, labels).count() == odd.count() and toxicity.score_documents(empty, labels).count() == 0
+    assert {r["score"] for r in toxicity.score_documents(odd, labels.limit(0)).collect()} == {0.0}
+
+
+def test_kneser_ney_is_a_distribution():
+    names, counts = [b"abc", b"abd", b"xyz"], np.array([[3, 0], [1, 2], [0, 5]], float)
+    model = char_ngrams.ByteModel(names, counts, 4, 1)
+    one = model.score([bytes([c]) for c in range(1, 256) if c != 32])[0]
+    closing = model.score([b""])[0]
+    assert (np.exp(closing).sum(axis=0) <= 1).all() and np.isfinite(one).all()
+    assert model.score([b"abc"])[0][0, 0] > model.score([b"abc"])[0][0, 1]
+
+
+def test_context_mixing_base_and_order(spark, odd, empty):
+    rows = [(1000 + i, PROSE if i % 3 else PROSE.replace("miller", "baker"), "x") for i in range(40)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, word string").unionByName(
+        odd.select("doc_id", "text", F.lit("y").alias("word")))
+    found = context_mixing.score_documents(frame).collect()
+    assert len(found) == frame.count() and context_mixing.score_documents(empty).count() == 0
+    held = {i: zlib.crc32(("" if i is None else str(i)).encode()) % 7 == 2 for i in {r["doc_id"] for r in found}}
+    train = Counter()
+    for row in frame.collect():
+        if not held[row["doc_id"]]:
+            train.update([*words(row["text"]), b""])
+    total, kinds = sum(train.values()), len(train)
+    texts = {r["doc_id"]: r["text"] for r in frame.collect()}
+    for r in found:
+        if r["doc_id"] in (None, 4):  # ids on several rows
+            continue
+        own = [*words(texts[r["doc_id"]]), b""]
+        assert (r["held_out"], r["n_tokens"], r["train_tokens"]) == (held[r["doc_id"]], len(own), total)
+        assert r["n_known"] == sum(train[w] > 0 for w in own)
+        assert r["base_score"] == pytest.approx(sum(np.log10((train[w] + 1) / (total + kinds + 1)) for w in own))
+        assert r["score"] < 0
+    assert {r["doc_id"]: r["score"] for r in found}[1001] > {r["doc_id"]: r["score"] for r in found}[8]
+
+
+def test_secret_scan(spark, odd, empty):
+    rng = np.random.default_rng(6)
+    rows = []
+    for i in range(300):
+        token = hashlib.md5(str(i).encode()).hexdigest()
+        text = [f"password={token[:18]} ok", f"AKIA{token[:16].upper()} here", f"card {rng.integers(10 ** 15, 10 ** 16)} paid",
+                "a verylongcommonword2024 stands"][i % 4]
+        rows.append((i, text, "src/a.py"))
+    out = secret_scan.scan(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    assert len(out) == 300 and np.mean([r["secret"] == (r["doc_id"] % 4 < 2) for r in out]) > 0.97
+    assert secret_scan.scan(empty).count() == 0 and {r["doc_id"] for r in secret_scan.scan(odd).collect()} == {11}
+    assert "Python" not in secret_scan.scan(odd)._jdf.queryExecution().executedPlan().toString()

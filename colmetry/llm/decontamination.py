@@ -3,7 +3,7 @@
 Words are lower-case runs without punctuation. Passages are ``PASSAGE`` words long and start every half of that, so all of a document
 is queried. An item matches a passage if its BM25 score is at least ``SHARE`` of what the item itself would reach in a passage of that
 length. Impacts are divided by each item's own threshold, so one threshold, 1, serves all: a passage whose greatest impacts together
-stay below 1 is dropped at once, the others walk the posting lists, pivoting on list maxima and skipping blocks by block maxima.
+stay below 1, over all items and then over every one of ``RANGES`` or more ranges of items, is dropped at once, the others walk the posting lists, pivoting on list maxima and skipping blocks by block maxima.
 Hits are verified on the document's text around the passage: ``OVERLAP`` of the five-word shingles of the question and of the answer
 have to be there. An item's answer is its last line, else its last sentence; an item of one sentence is all question.
 
@@ -29,8 +29,8 @@ from pyspark.sql import functions as F
 from colmetry.llm.texts import plain, stage
 
 PASSAGE, SHARE, OVERLAP, SHINGLE = 128, 0.5, 0.8, 5
-K1, B, BLOCK = 1.2, 0.75, 16
-INDEX_CHARS = 32 << 20
+K1, B, BLOCK, RANGES = 1.2, 0.75, 16, 32
+INDEX_CHARS, BOUNDS = 32 << 20, 1 << 23
 WORDS_AT_ONCE = 400_000
 _ASCII = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
 _MARKS = re.compile("[ -¿ -⁯　-〿]".encode("utf-8").decode("utf-8"))
@@ -79,6 +79,11 @@ class Index:
         self.impacts = [[x for _, x in own] for own in lists.values()]
         self.greatest = np.array([max(own) for own in self.impacts])
         self.blocks = [_block_maxima(i, x) for i, x in zip(self.items, self.impacts)]
+        # Greatest impacts by word over each of a few ranges of items, for bounds of many passages at once.
+        ranges = min(max(1, len(items)), max(RANGES, BOUNDS // max(1, len(self.words))))
+        self.ranges = np.zeros((len(self.words), ranges), np.float32)
+        for t, (own, impacts) in enumerate(zip(self.items, self.impacts)):
+            np.maximum.at(self.ranges[t], np.array(own) * ranges // len(items), impacts)
 
     def search(self, terms: list[int]) -> list[tuple[int, float]]:
         """Items with a score of at least 1 and their scores, by block-max WAND over distinct ``terms``."""
@@ -145,7 +150,7 @@ def search_passages(index: Index, split: list[list[bytes]]) -> Iterator[tuple[in
     bound = np.bincount(window, index.greatest[term], int(windows.sum()))
     starts = np.searchsorted(window, np.arange(len(bound) + 1))
     text = np.repeat(np.arange(len(split)), windows)
-    for w in np.flatnonzero(bound >= 1):
+    for w in _open_windows(index, bound, window, term, starts):
         terms = term[starts[w]:starts[w + 1]]
         seen = terms.tobytes()
         if seen not in found_before:
@@ -154,6 +159,18 @@ def search_passages(index: Index, split: list[list[bytes]]) -> Iterator[tuple[in
             yield int(text[w]), int(w - first[text[w]]) * step, item, float(score)
 
 
+def _open_windows(index: Index, bound: np.ndarray, window: np.ndarray, term: np.ndarray, starts: np.ndarray) -> Iterator[int]:
+    """Windows whose greatest impacts reach 1 within some range of items; the margin covers rounding."""
+    likely = np.flatnonzero(bound >= 1 - 1e-4)
+    at_once = max(16, (1 << 22) // (64 * index.ranges.shape[1]))
+    for at in range(0, len(likely), at_once):
+        some = likely[at:at + at_once]
+        pairs = np.concatenate([np.arange(starts[w], starts[w + 1]) for w in some])
+        sizes = starts[some + 1] - starts[some]
+        within = np.add.reduceat(index.ranges[term[pairs]], np.cumsum(sizes) - sizes, axis=0).max(axis=1)
+        yield from some[within >= 1 - 1e-4].tolist()
+
+
 def find(documents: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id",
          item_text: str = "text") -> DataFrame:
     """One row per document id and item that is verified: id, item id, bm25 (over the item's threshold), question_overlap,

@@ -61,7 +61,7 @@ def profile_columns(
     treat_empty_string_as_null: bool = False,
     added_metrics: Sequence[Metric] = (),
     columns_per_pass: int = COLUMNS_PER_PASS,
-    digest_long_strings: bool = True,
+    digest_strings: bool = False,
 ) -> DataFrame:
     """Metrics of every supported column, Overall and by each dimension, as a lazy DataFrame.
 
@@ -86,16 +86,16 @@ def profile_columns(
     for start in range(0, len(strings), strings_per_pass):
         passes.append(_string_pass(
             source, keys, strings[start:start + strings_per_pass], treat_empty_string_as_null, added_metrics,
-            digest_long_strings,
+            digest_strings,
         ))
     return reduce(DataFrame.unionByName, passes)
 
 
 def string_cardinality(
-    df: DataFrame, columns: Sequence[ProfiledColumn], treat_empty_string_as_null: bool, digest_long_strings: bool = True
+    df: DataFrame, columns: Sequence[ProfiledColumn], treat_empty_string_as_null: bool, digest_strings: bool = False
 ) -> dict[str, int]:
     """Exact distinct counts of a few string columns over the whole table (one row each)."""
-    counted = _string_pass(df, [], columns, treat_empty_string_as_null, (), digest_long_strings)
+    counted = _string_pass(df, [], columns, treat_empty_string_as_null, (), digest_strings)
     return {r.column_name: r.distinct_count for r in counted.select("column_name", "distinct_count").collect()}
 
 
@@ -187,14 +187,14 @@ def _string_pass(
     columns: Sequence[ProfiledColumn],
     treat_empty_string_as_null: bool,
     added: Sequence[Metric],
-    digest_long_strings: bool,
+    digest_strings: bool,
 ) -> DataFrame:
     distinct = _distinct(keys)
     held = [f"_d{i}" for i in range(len(distinct))]
     source = df.select(
         *[k.value.alias(name) for k, name in zip(distinct, held)],
         *[
-            (distinct_key(c.value) if digest_long_strings else c.value).alias(f"_c{i}")
+            (distinct_key(c.value) if digest_strings else c.value).alias(f"_c{i}")
             for i, c in enumerate(columns)
         ],
     )
@@ -217,7 +217,7 @@ def _string_pass(
     nothing = df.sparkSession.range(len(columns), numPartitions=1).select(
         F.col("id").cast("int").alias("_cell"),
         *[absent[name].alias(name) for name in held],
-        F.lit(None).cast("string").alias("_text"),
+        F.lit(None).cast(groups.schema["_text"].dataType).alias("_text"),
         F.lit(0).cast("bigint").alias("_rows"),
     )
     text = F.col("_text")

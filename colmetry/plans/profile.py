@@ -47,7 +47,7 @@ def guard_dimensions(
     where: str | None = None,
     treat_empty_string_as_null: bool = False,
     max_dimension_values: int = MAX_DIMENSION_VALUES,
-    digest_long_strings: bool = True,
+    digest_strings: bool = False,
 ) -> tuple[list[str], list[DimensionSkip]]:
     """Dimensions to run and string dimensions to skip for having too many distinct values.
 
@@ -61,7 +61,7 @@ def guard_dimensions(
     strings = list(dict.fromkeys(c for c in resolved if c.data_type == "STRING"))
     if not strings:
         return list(dimensions), []
-    found = string_cardinality(row_scope(df, where), strings, treat_empty_string_as_null, digest_long_strings)
+    found = string_cardinality(row_scope(df, where), strings, treat_empty_string_as_null, digest_strings)
     over = {name: count for name, count in found.items() if count > max_dimension_values}
     kept = [name for name in dimensions if name not in over]
     return kept, [DimensionSkip(name, over[name], max_dimension_values) for name in dimensions if name in over]
@@ -77,7 +77,7 @@ def profile(
     max_dimension_values: int = MAX_DIMENSION_VALUES,
     added_metrics: Sequence[Metric] = (),
     columns_per_pass: int = COLUMNS_PER_PASS,
-    digest_long_strings: bool = True,
+    digest_strings: bool = False,
 ) -> Profile:
     """Overall and per-dimension metrics of a table.
 
@@ -87,12 +87,12 @@ def profile(
     columns = None if columns is None else list(columns)
     kept, skipped = guard_dimensions(
         df, dimensions, columns=columns, where=where, treat_empty_string_as_null=treat_empty_string_as_null,
-        max_dimension_values=max_dimension_values, digest_long_strings=digest_long_strings,
+        max_dimension_values=max_dimension_values, digest_strings=digest_strings,
     )
     profiled, unsupported = resolve_columns(df, columns)
     metrics = profile_columns(
         df, kept, columns=columns, where=where, treat_empty_string_as_null=treat_empty_string_as_null,
-        added_metrics=added_metrics, columns_per_pass=columns_per_pass, digest_long_strings=digest_long_strings,
+        added_metrics=added_metrics, columns_per_pass=columns_per_pass, digest_strings=digest_strings,
     )
     covered = tuple((c.name, c.data_type) for c in profiled)
     return Profile(metrics, covered, tuple(kept), tuple(unsupported), tuple(skipped))

@@ -114,7 +114,7 @@ def test_columns_split_over_passes_give_the_same_result(spark):
 def test_long_strings_are_counted_exactly_with_and_without_digest(spark):
     table = spark.range(300).selectExpr("concat(repeat('w', 200), id % 37) AS t", "cast(id % 2 AS string) AS k")
     digest, plain = (
-        {(r.dimension_value, r.column_name): r.distinct_count for r in profile(table, ["k"], digest_long_strings=on).metrics.collect()}
+        {(r.dimension_value, r.column_name): r.distinct_count for r in profile(table, ["k"], digest_strings=on).metrics.collect()}
         for on in (True, False)
     )
     assert digest == plain and digest[None, "t"] == 37

@@ -188,7 +188,7 @@ register(
 def overall_all_tables(spark, folder) -> DataFrame:
     """Overall of every table given."""
     found = None
-    for name in ("region", "nation", "supplier", "part", "pages", "conversations", "benchmark", "labels"):
+    for name in TABLE_TYPES:
         rows = profile_columns(table(spark, folder, name)).withColumn("table_name", F.lit(name))
         found = rows if found is None else found.unionByName(rows)
     return found
@@ -204,6 +204,12 @@ TABLE_TYPES = {
     "conversations": [("conv_id", "INT64"), ("turn", "INT64"), ("role", "STRING"), ("text", "STRING")],
     "benchmark": [("item_id", "INT64"), ("text", "STRING")],
     "labels": [("doc_id", "INT64"), ("quality", "INT64"), ("toxic", "INT64")],
+    "customer": [("c_custkey", "INT64"), ("c_name", "STRING"), ("c_nationkey", "INT64"), ("c_acctbal", "FLOAT64"), ("c_mktsegment", "STRING")],
+    "orders": ORDERS_TYPES,
+    "lineitem": LINEITEM_TYPES,
+    "events": [("event_id", "INT64"), ("ts", "DATETIME"), ("user_id", "INT64"), ("event_type", "STRING"), ("value", "FLOAT64"), ("props", "STRING")],
+    "documents": [("doc_id", "INT64"), ("text", "STRING"), ("lang", "STRING"), ("source", "STRING"), ("n_chars", "INT64")],
+    "embeddings": [("vec_id", "INT64"), ("label", "INT64")],
 }
 register("overall_all_tables", overall_all_tables, " UNION ALL ".join(
     f"SELECT *, '{name}' AS table_name FROM ({profile_sql(f'SELECT * FROM {name}', kinds)})"

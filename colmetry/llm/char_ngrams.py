@@ -8,6 +8,9 @@ classes are one, so that rare expressions are smoothed alike in every class.
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterable, Iterator
+from functools import reduce
+
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -15,30 +18,61 @@ from pyspark.sql import functions as F
 from colmetry.llm.texts import plain, words
 
 DISCOUNT = 0.75
-MEMO = 300_000
+MEMO, FRESH, WORDS_AT_ONCE = 200_000, 20_000, 200_000
+
+
+def draw(marks: DataFrame, labels: list, per_class: int, seed: int) -> DataFrame:
+    """At most ``per_class`` ids of each label, those least by a hash: columns picked_id, picked_label, k (place of the label).
+
+    ``marks`` has columns doc_id and label. Ids are drawn before any text is read, and the result is small enough to broadcast.
+    """
+    parts = []
+    for k, label in enumerate(labels):
+        own = marks.where(F.col("label") == label).select("doc_id").distinct()
+        parts.append(own.orderBy(F.xxhash64(F.lit(seed), "doc_id"), "doc_id").limit(per_class).select(
+            F.col("doc_id").alias("picked_id"), F.lit(label).alias("picked_label"), F.lit(k).alias("k")))
+    return reduce(DataFrame.unionByName, parts)
+
 
+def drawn_texts(texts: DataFrame, drawn: DataFrame) -> DataFrame:
+    """One text (the least) for each drawn id: columns doc_id, k, text. ``texts`` has doc_id, text and, if ids don't settle it, label."""
+    same = F.col("doc_id").eqNullSafe(F.col("picked_id"))
+    if "label" in texts.columns:
+        same = same & (F.col("label") == F.col("picked_label"))
+    # Bounded by labels times ids per label.
+    return texts.join(F.broadcast(drawn), same).groupBy("doc_id", "k").agg(F.min(plain("text")).alias("text"))
 
-def class_words(labelled: DataFrame, per_class: int) -> tuple[list[bytes], np.ndarray, list]:
-    """Words of a bounded sample with their counts by class (array [words, classes]), and the classes in order.
 
-    ``labelled`` has columns doc_id, text, label; at most ``per_class`` rows of each label are used, those least by a hash of the id.
+def labels_of(marks: DataFrame) -> list:
+    """The labels in order; there are few."""
+    return sorted(r["label"] for r in marks.where(F.col("label").isNotNull()).select("label").distinct().collect())
+
+
+def class_words(texts: DataFrame, marks: DataFrame, labels: list, per_class: int) -> tuple[list[bytes], np.ndarray]:
+    """Words of the texts of at most ``per_class`` ids of each label, with their counts by label (array [words, labels]).
+
     The sample bounds what the driver holds.
     """
-    spark = labelled.sparkSession
-    labels = sorted(r["label"] for r in labelled.where(F.col("label").isNotNull()).select("label").distinct().collect())
     if not labels:
-        return [], np.zeros((0, 0)), []
-    picked = None
-    for label in labels:
-        rows = labelled.where(F.col("label") == label).select(
-            F.xxhash64(F.lit(7), "doc_id").alias("order"), F.lit(labels.index(label)).alias("k"), plain("text").alias("text"))
-        rows = rows.orderBy("order", "text").limit(per_class)
-        picked = rows if picked is None else picked.unionByName(rows)
+        return [], np.zeros((0, 0))
+    picked = drawn_texts(texts, draw(marks, labels, per_class, 7))
     counted = picked.select("k", F.explode(words(F.lower("text"))).alias("word")).groupBy("word").agg(
         *(F.count(F.when(F.col("k") == k, 1)).alias(f"n{k}") for k in range(len(labels)))).toPandas()
-    del spark
-    names = [w.encode("utf-8") for w in counted["word"]]
-    return names, counted[[f"n{k}" for k in range(len(labels))]].to_numpy(np.float64), labels
+    return [w.encode("utf-8") for w in counted["word"]], counted[[f"n{k}" for k in range(len(labels))]].to_numpy(np.float64)
+
+
+def split_parts(texts: Iterable[str], split: Callable[[str], list[bytes]]) -> Iterator[tuple[int, list[list[bytes]]]]:
+    """Runs of texts as words, with the place of the first: a run ends once it has ``WORDS_AT_ONCE`` words, so memory does not depend on
+    how many texts a batch has."""
+    first, run, held = 0, [], 0
+    for text in texts:
+        run.append(split(text))
+        held += len(run[-1])
+        if held >= WORDS_AT_ONCE:
+            yield first, run
+            first, run, held = first + len(run), [], 0
+    if run:
+        yield first, run
 
 
 def _grams(names: list[bytes], order: int) -> tuple[np.ndarray, np.ndarray]:
@@ -123,7 +157,8 @@ class Memo:
             self.__init__(self.model)
         fresh = sorted({w for t in texts for w in t if w not in self.place})
         if fresh:
-            rows, sizes = self.model.score(fresh)
+            found = [self.model.score(fresh[at:at + FRESH]) for at in range(0, len(fresh), FRESH)]
             self.place.update(zip(fresh, range(len(self.rows), len(self.rows) + len(fresh))))
-            self.rows, self.sizes = np.concatenate([self.rows, rows]), np.concatenate([self.sizes, sizes])
+            self.rows = np.concatenate([self.rows, *(rows for rows, _ in found)])
+            self.sizes = np.concatenate([self.sizes, *(sizes for _, sizes in found)])
         return [np.fromiter(map(self.place.__getitem__, t), np.int64, len(t)) for t in texts]

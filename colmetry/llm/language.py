@@ -19,12 +19,12 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from colmetry.llm.char_ngrams import ByteModel, Memo, class_words
+from colmetry.llm.char_ngrams import ByteModel, Memo, class_words, labels_of, split_parts
 from colmetry.llm.texts import fold, plain
 
 FOLDS, HELD_OUT = 4, 2
 PER_LANGUAGE, ORDER = 1500, 5
-ROUNDS, WORDS_AT_ONCE = 12, 400_000
+ROUNDS = 12
 _LETTER = re.compile(r"[^\W\d_]")
 
 
@@ -77,19 +77,18 @@ def identify(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", l
     spark = documents.sparkSession
     rows = documents.select(F.col(doc_id).alias("doc_id"), (fold(F.col(doc_id), folds) == held_out).alias("held_out"),
                             plain(text).alias("text"), F.col(lang).cast("string").alias("label"))
-    names, counts, labels = class_words(rows.where(~F.col("held_out")).select("doc_id", "text", "label"), PER_LANGUAGE)
+    learned = rows.where(~F.col("held_out")).select("doc_id", "text", "label")
+    labels = labels_of(learned)
+    names, counts = class_words(learned, learned, labels, PER_LANGUAGE)
     model = spark.sparkContext.broadcast(ByteModel(names, counts, ORDER, 0) if len(names) else None)
     prior = np.full(max(1, len(labels)), 1 / max(1, len(labels)), np.float32)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         memo = Memo(model.value) if model.value else None
         for batch in batches:
-            split = [t.lower().encode("utf-8").split() if memo and _LETTER.search(t) else [] for t in batch["text"]]
-            sizes = np.fromiter(map(len, split), np.int64, len(split))
-            parts = np.cumsum(sizes) // WORDS_AT_ONCE
-            for part in np.unique(parts):
-                at = np.flatnonzero(parts == part)
-                yield answer(batch.iloc[at], [split[i] for i in at], sizes[at], memo)
+            for first, split in split_parts(batch["text"], lambda t: t.lower().encode("utf-8").split() if memo and _LETTER.search(t) else []):
+                sizes = np.fromiter(map(len, split), np.int64, len(split))
+                yield answer(batch.iloc[first:first + len(split)], split, sizes, memo)
 
     def answer(batch: pd.DataFrame, split: list, sizes: np.ndarray, memo: Memo | None) -> pd.DataFrame:
         predicted, score, found = ["und"] * len(batch), np.zeros(len(batch)), [{} for _ in split]

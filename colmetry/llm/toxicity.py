@@ -20,8 +20,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from colmetry.llm.char_ngrams import ByteModel, Memo, class_words
-from colmetry.llm.texts import fold, plain
+from colmetry.llm.char_ngrams import ByteModel, Memo, class_words, draw, drawn_texts, labels_of, split_parts
+from colmetry.llm.texts import fold, plain, stage
 
 FOLDS, HELD_OUT = 3, 1
 PER_CLASS, ORDER, SHARED, LEAST = 3000, 6, 2, 2
@@ -66,30 +66,31 @@ def score_documents(documents: DataFrame, labels: DataFrame, doc_id: str = "doc_
     rows = documents.select(F.col(doc_id).alias("doc_id"), (fold(F.col(doc_id), folds) == held_out).alias("held_out"), plain(text).alias("text"))
     marks = labels.select(F.col(doc_id).alias("doc_id"), F.col(label).cast("int").alias("label")).where("label in (0, 1)")
     marks = marks.groupBy("doc_id").agg(F.max("label").alias("label"))
-    labelled = rows.where(~F.col("held_out")).join(marks, "doc_id").select("doc_id", "text", "label", (
-        F.pmod(F.xxhash64(F.lit(3), "doc_id"), F.lit(4)) == 0).alias("curve"))
-    names, counts, classes = class_words(labelled.where(~F.col("curve")).select("doc_id", "text", "label"), PER_CLASS)
+    # Ids and labels only: no text is shuffled.
+    known = stage(rows.where(~F.col("held_out")).select("doc_id").distinct().join(marks, "doc_id").withColumn(
+        "curve", F.pmod(F.xxhash64(F.lit(3), "doc_id"), F.lit(4)) == 0))
+    counted, judged = known.where(~F.col("curve")), known.where("curve")
+    texts, classes = rows.select("doc_id", "text"), labels_of(counted)
+    names, counts = class_words(texts, counted, classes, PER_CLASS)
     model = spark.sparkContext.broadcast(ByteModel(names, counts, ORDER, SHARED, LEAST) if classes == [0, 1] else None)
 
-    def describe(texts: pd.Series, memo: Memo) -> np.ndarray:
-        split = [t.lower().encode("utf-8").split() for t in texts]
+    def describe(batch: pd.Series, memo: Memo) -> np.ndarray:
         out = []
-        for at in memo.look_up(split):
-            pair = memo.rows[at]
-            out.append(features(pair[:, 1] - pair[:, 0], memo.sizes[at]))
+        for _, split in split_parts(batch, lambda t: t.lower().encode("utf-8").split()):
+            for at in memo.look_up(split):
+                pair = memo.rows[at]
+                out.append(features(pair[:, 1] - pair[:, 0], memo.sizes[at]))
         return np.array(out).reshape(len(out), len(STRETCHES) + 3)
 
     curve = None
-    if model.value:
-        drawn = labelled.where("curve and label = 1").orderBy(F.xxhash64("doc_id"), "text").limit(PER_CLASS).unionByName(
-            labelled.where("curve and label = 0").orderBy(F.xxhash64("doc_id"), "text").limit(PER_CLASS))
-
+    if model.value and labels_of(judged) == [0, 1]:
         def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             memo = Memo(model.value)
             for batch in batches:
-                yield pd.DataFrame({"label": batch["label"], "x": list(describe(batch["text"], memo))})
+                yield pd.DataFrame({"label": batch["k"], "x": list(describe(batch["text"], memo))})
 
-        seen = drawn.select("label", "text").repartition(8).mapInPandas(measure, "label int, x array<double>").toPandas()
+        seen = drawn_texts(texts, draw(judged, [0, 1], PER_CLASS, 7)).select("k", "text").mapInPandas(
+            measure, "label int, x array<double>").toPandas()
         if seen["label"].nunique() == 2:
             curve = logistic(np.stack(seen["x"]), seen["label"].to_numpy(np.float64))
 

@@ -86,8 +86,8 @@ def with_descriptions(metrics: DataFrame, columns: DataFrame) -> DataFrame:
 # -- summaries over the slices of a dimension --------------------------------------------------------
 
 
-def range_summary(metrics: DataFrame) -> DataFrame:
-    """Per column and dimension, the spread of its metric over the slices.
+def range_summary(metrics: DataFrame, family: str = "all") -> DataFrame:
+    """Per column of a family and dimension, the spread of its metric over the slices, and the number of slices of the dimension.
 
     STRING: least and greatest distinct count. BOOL: least and greatest true rate, 0 for an empty
     slice. Otherwise the least minimum and greatest maximum as text, NULLs ignored: integers and
@@ -110,10 +110,9 @@ def range_summary(metrics: DataFrame) -> DataFrame:
         )
 
     true_rate = F.when(kind == "BOOL", rate(F.coalesce("true_count", F.lit(0)), F.col("record_count")))
-    return metrics.where("dimension_name IS NOT NULL").groupBy(
+    spread = of_family(metrics, family).where("dimension_name IS NOT NULL").groupBy(
         *DIMENSION, "column_order", "column_name", "column_type"
     ).agg(
-        F.count(F.lit(1)).alias("slices"),
         F.min("distinct_count").alias("min_distinct"),
         F.max("distinct_count").alias("max_distinct"),
         F.min(true_rate).alias("min_true_rate"),
@@ -121,6 +120,8 @@ def range_summary(metrics: DataFrame) -> DataFrame:
         extreme("min_value", F.min, F.min_by).alias("min_value"),
         extreme("max_value", F.max, F.max_by).alias("max_value"),
     )
+    # Slices of the dimension, also those that lack the column.
+    return spread.join(values_per_dimension(metrics).withColumnRenamed("values", "slices"), list(DIMENSION))
 
 
 def slices(metrics: DataFrame) -> DataFrame:
@@ -134,9 +135,15 @@ def temporal_dimensions(metrics: DataFrame, columns: DataFrame | None = None) ->
     It is when every non-NULL value looks like a date and there is one, or when the declared column
     (``columns``: unique_id, name, data_type) has a temporal type.
     """
+    return _temporal(metrics, columns).drop("_latest")
+
+
+def _temporal(metrics: DataFrame, columns: DataFrame | None) -> DataFrame:
+    """Per dimension, whether it is temporal and its greatest non-NULL value with the record count, in one aggregate."""
     value = F.col("dimension_value")
     found = metrics.where("dimension_name IS NOT NULL").groupBy(*DIMENSION).agg(
-        F.coalesce(F.bool_and(value.rlike(r"^\d{4}-\d{2}-\d{2}$")), F.lit(False)).alias("temporal")
+        F.coalesce(F.bool_and(value.rlike(r"^\d{4}-\d{2}-\d{2}$")), F.lit(False)).alias("temporal"),
+        F.max(F.when(value.isNotNull(), F.struct("dimension_value", "record_count"))).alias("_latest"),
     )
     if columns is None:
         return found
@@ -144,17 +151,13 @@ def temporal_dimensions(metrics: DataFrame, columns: DataFrame | None = None) ->
         "unique_id", F.col("name").alias("dimension_name"), F.lit(True).alias("_declared")
     ).distinct()
     return found.join(declared, list(DIMENSION), "left").select(
-        *DIMENSION, (F.col("temporal") | F.coalesce("_declared", F.lit(False))).alias("temporal")
+        *DIMENSION, (F.col("temporal") | F.coalesce("_declared", F.lit(False))).alias("temporal"), "_latest"
     )
 
 
 def latest_slice(metrics: DataFrame, columns: DataFrame | None = None) -> DataFrame:
     """The greatest non-NULL value of each temporal dimension, with its record count."""
-    temporal = temporal_dimensions(metrics, columns).where("temporal").select(*DIMENSION)
-    greatest = metrics.where("dimension_name IS NOT NULL AND dimension_value IS NOT NULL").groupBy(*DIMENSION).agg(
-        F.max(F.struct("dimension_value", "record_count")).alias("_latest")
-    )
-    return greatest.join(temporal, list(DIMENSION), "left_semi").select(*DIMENSION, "_latest.*")
+    return _temporal(metrics, columns).where("temporal AND _latest IS NOT NULL").select(*DIMENSION, "_latest.*")
 
 
 def row_share(metrics: DataFrame) -> DataFrame:
@@ -257,7 +260,7 @@ BREAKDOWN_KEYS = ("dimension", "rows", "missing", "distinct", "true", "min", "ma
 
 
 def breakdown(metrics: DataFrame, key: str | None = None, descending: bool = True, temporal: bool = False) -> DataFrame:
-    """Slices of one column and dimension sorted by a metric, NULL last in both directions.
+    """Slices of one column and dimension sorted by a metric, NULL last in both directions, equal ones in slice order.
 
     Minima and maxima sort by value: numbers as numbers, decimals exactly, other types as text. With
     no key a temporal dimension is newest first and any other keeps its order.
@@ -287,4 +290,5 @@ def breakdown(metrics: DataFrame, key: str | None = None, descending: bool = Tru
             "distinct": F.col("distinct_count"),
             "true": true_rate,
         }[key]]
-    return metrics.orderBy(*[c.desc_nulls_last() if descending else c.asc_nulls_last() for c in by])
+    ties = F.coalesce("dimension_value", F.lit("")), F.col("dimension_value").isNotNull()
+    return metrics.orderBy(*[c.desc_nulls_last() if descending else c.asc_nulls_last() for c in by], *ties)

@@ -91,15 +91,18 @@ def run(
     stored = store.read()
     # Each relation is a table with jobs of its own, so the driver walks over the relations.
     chosen = planning.enabled_relations(stored.relations, select).orderBy("name", "unique_id").collect()
-    tables = {relation.unique_id: read(spark, relation) for relation in chosen}
+    tables, unreadable = _read_tables(spark, chosen, read)
     planned = _plan(chosen, tables)
     run_id = uuid4().hex
 
+    if unreadable:
+        outcomes = {relation.unique_id: unreadable.get(relation.unique_id) for relation in chosen}
+        return _record(store, RunResult(run_id, False, tuple(_task_outcomes(planned, outcomes, {}, True))))
     blocked = _over_limit(planned)
     if blocked:
         done = [replace(t, status="skipped", error=(
-            "relation estimated bytes exceed max_bytes_billed" if t.unique_id in blocked
-            else "plan contains another relation over max_bytes_billed"
+            f"the tasks of {t.name} are estimated to exceed its max_bytes_billed of {t.max_bytes_billed}" if t.unique_id in blocked
+            else "left out as another relation of the plan is over its max_bytes_billed"
         )) for t in planned]
         return _record(store, RunResult(run_id, False, tuple(done)))
 
@@ -110,15 +113,31 @@ def run(
         files.delete(spark, scratch)
 
 
+def _read_tables(spark: SparkSession, chosen: list[Row], read: TableReader) -> tuple[dict[str, DataFrame], dict[str, str]]:
+    """Tables by relation, and error texts of relations whose table is missing, lacks a declared column or does not fit its type."""
+    tables, unreadable = {}, {}
+    for relation in chosen:
+        try:
+            table = read(spark, relation)
+            resolve_columns(table, _declared(relation))
+            # Conditions that the table cannot answer show up here, before any job.
+            row_scope(table, relation.profiling.where)
+            tables[relation.unique_id] = table
+        except Exception as error:  # noqa: BLE001 - reported per task
+            unreadable[relation.unique_id] = str(error) or type(error).__name__
+    return tables, unreadable
+
+
 def _plan(chosen: list[Row], tables: dict[str, DataFrame]) -> list[TaskResult]:
     planned: list[TaskResult] = []
     for relation in chosen:
-        settings, table = relation.profiling, tables[relation.unique_id]
-        columns, _ = resolve_columns(table, _declared(relation))
-        for name in settings.dimensions:
-            resolve_dimension(columns, name)
-        limit = settings.max_bytes_billed
-        size = None if limit is None else files.scanned_bytes(row_scope(table, settings.where))
+        settings, table = relation.profiling, tables.get(relation.unique_id)
+        limit, size = settings.max_bytes_billed, None
+        if table is not None:
+            columns, _ = resolve_columns(table, _declared(relation))
+            for name in settings.dimensions:
+                resolve_dimension(columns, name)
+            size = None if limit is None else files.scanned_bytes(row_scope(table, settings.where))
         for dimension in [None, *settings.dimensions]:
             planned.append(TaskResult(
                 len(planned), relation.unique_id, relation.name, dimension, estimated_bytes=size, max_bytes_billed=limit,
@@ -226,13 +245,13 @@ def _task_outcomes(planned, by_id, rows, ended: bool) -> list[TaskResult]:
     for task in planned:
         outcome = by_id[task.unique_id]
         if outcome is None:
-            done.append(replace(task, status="skipped", error="not executed because another relation failed"))
+            done.append(replace(task, status="skipped", error="not run, as another relation failed"))
         elif isinstance(outcome, str):
             # The tasks of a relation share their scans and fail as one.
             first = task.unique_id not in failed_first
             failed_first.add(task.unique_id)
             done.append(replace(task, status="failed" if first else "skipped",
-                                error=outcome if first else "not executed because an earlier item failed"))
+                                error=outcome if first else "not run, as an earlier task of this relation failed"))
         else:
             skip = next((s for s in outcome.skipped_dimensions if s.dimension == task.dimension), None)
             if skip:

@@ -73,16 +73,9 @@ class ProfiledColumn:
 
     @property
     def value(self) -> Column:
-        """The column in the Spark type its label stands for."""
-        source = column_ref(self.name)
-        if self.text_decimal:
-            return source
-        natural = type_label(self.spark_type)
-        if natural == self.data_type:
-            # Every integral type is INT64 and every float is FLOAT64.
-            widened = {"INT64": "bigint", "FLOAT64": "double"}.get(self.data_type)
-            return source.cast(widened) if widened else source
-        return source.cast(_CAST_TARGETS[self.data_type])
+        """The column in a Spark type that holds all its values under the label."""
+        target = exact_type(self.spark_type, self.data_type)
+        return column_ref(self.name).cast(target) if target else column_ref(self.name)
 
     @property
     def text_decimal(self) -> bool:
@@ -90,11 +83,27 @@ class ProfiledColumn:
         return self.data_type == "BIGNUMERIC" and isinstance(self.spark_type, T.StringType)
 
 
-_CAST_TARGETS = {
-    "STRING": "string", "INT64": "bigint", "FLOAT64": "double", "NUMERIC": "decimal(38,9)",
-    "BIGNUMERIC": "decimal(38,18)", "BOOL": "boolean", "DATE": "date",
-    "DATETIME": "timestamp_ntz", "TIMESTAMP": "timestamp",
-}
+def exact_type(actual: T.DataType, label: str) -> str | None:
+    """Spark type to read a column of type ``actual`` in under a declared label without losing anything.
+
+    '' leaves the column as it is: decimals keep their digits whatever the label. None means that some value could change or fail.
+    """
+    own = type_label(actual)
+    decimal = isinstance(actual, T.DecimalType)
+    if own == label:
+        # Every integral type is INT64 and every float is FLOAT64.
+        return {"INT64": "bigint", "FLOAT64": "double"}.get(label, "")
+    if label in ("NUMERIC", "BIGNUMERIC"):
+        if decimal or (label == "BIGNUMERIC" and own == "STRING"):
+            return ""
+        return "decimal(20,0)" if own == "INT64" else None
+    if label == "INT64" and decimal:
+        return "bigint" if actual.scale == 0 and actual.precision <= 18 else None
+    if label == "FLOAT64" and isinstance(actual, (T.ByteType, T.ShortType, T.IntegerType)):
+        return "double"
+    if label == "DATETIME" and own == "DATE":
+        return "timestamp_ntz"
+    return "string" if label == "STRING" and own is not None else None
 
 
 def column_ref(name: str) -> Column:
@@ -144,9 +153,12 @@ def resolve_columns(
     """Supported columns in order, and the names skipped for their type.
 
     ``declared`` is (name, type, description) in display order, as imported metadata has it; without
-    it the DataFrame's own schema is used.
+    it the DataFrame's own schema is used. Declared names are found as Spark finds them, without regard to case unless
+    ``spark.sql.caseSensitive`` is set, and are reported as declared.
     """
     by_name = {field.name: field.dataType for field in df.schema.fields}
+    sensitive = df.sparkSession.conf.get("spark.sql.caseSensitive") == "true"
+    folded = {} if sensitive else {name.lower(): kind for name, kind in by_name.items()}
     if declared is None:
         wanted = [(name, type_label(kind) or "UNKNOWN", "") for name, kind in by_name.items()]
     else:
@@ -157,11 +169,14 @@ def resolve_columns(
         if label not in SUPPORTED_TYPES:
             skipped.append(name)
             continue
-        if name not in by_name:
-            raise ProfileError(f"declared column not found in the table: {name}")
-        profiled.append(ProfiledColumn(len(profiled), name, label, description, by_name[name]))
+        actual = by_name.get(name, folded.get(name.lower()))
+        if actual is None:
+            raise ProfileError(f"the table has no column {name!r}, which is declared as {label}")
+        if exact_type(actual, label) is None:
+            raise ProfileError(f"column {name!r} is declared as {label} but holds {actual.simpleString()}, which does not always fit")
+        profiled.append(ProfiledColumn(len(profiled), name, label, description, actual))
     if not profiled:
-        raise ProfileError("no supported columns found")
+        raise ProfileError(f"none of the {len(wanted)} columns has a type that can be profiled")
     return profiled, skipped
 
 

@@ -15,7 +15,7 @@ from colmetry.sources import files
 
 PROFILING = (
     "struct<enabled:boolean,dimensions:array<string>,max_dimension_values:bigint,"
-    "max_bytes_billed:string,treat_empty_string_as_null:boolean,where:string>"
+    "max_bytes_billed:string,treat_empty_string_as_null:boolean,where:variant>"
 )
 NODE = (
     "struct<unique_id:string,resource_type:string,package_name:string,name:string,alias:string,"
@@ -108,7 +108,7 @@ def relations(manifests: DataFrame, catalogs: DataFrame) -> DataFrame:
         F.coalesce("tests", no_strings).alias("tests"),
         F.array_distinct(dependencies).alias("upstream_ids"),
         normal_columns(_merged_columns(node["columns"], F.col("catalog_columns"))).alias("columns"),
-        profiling_struct(node["config"]["meta"]["profiling"]).alias("profiling"),
+        profiling_struct(_with_text_condition(node["config"]["meta"]["profiling"], node["unique_id"])).alias("profiling"),
         F.lit(None).cast("string").alias("profiled_at"),
         F.lit(None).cast("int").alias("profile_version"),
     )
@@ -160,6 +160,15 @@ def _catalog_columns(catalogs: DataFrame) -> DataFrame:
     return both.select("project", "is_source", "unique_id", F.col("_entry.columns").alias("catalog_columns"))
 
 
+def _with_text_condition(raw: Column, unique_id: Column) -> Column:
+    """Settings whose ``where`` is text; a number or a truth value is refused, as it would pass for a condition."""
+    where = raw["where"]
+    kind = F.schema_of_variant(where)
+    return raw.withField("where", F.when(kind == "STRING", F.try_variant_get(where, "$", "string")).when(
+        where.isNotNull() & (kind != "VOID"),
+        F.raise_error(F.concat(F.lit("where of "), unique_id, F.lit(" has to be the text of a condition"))).cast("string")))
+
+
 def _merged_columns(declared: Column, listed: Column) -> Column:
     """Declared and cataloged columns of one node: catalog order first, then manifest order.
 

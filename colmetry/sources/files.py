@@ -62,18 +62,24 @@ def replace_text(spark: SparkSession, path: str, text: str) -> None:
 
 
 def scratch_root(spark: SparkSession, fallback: str) -> str:
-    """The shared folder named by the session for intermediate tables, else ``fallback``."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or fallback).rstrip("/")
+    """The shared folder named for intermediate tables, by setting or by ``setCheckpointDir``, else ``fallback``."""
+    named = spark._jsc.sc().getCheckpointDir()
+    return (spark.conf.get("spark.checkpoint.dir", None) or (named.get() if named.isDefined() else None) or fallback).rstrip("/")
 
 
 def scanned_bytes(df: DataFrame) -> int | None:
-    """Bytes of the files a DataFrame reads, after partition pruning; None if any source has no files.
+    """Bytes of the files a DataFrame reads, after partition pruning; None if any source is no file scan.
 
-    The numbers come from the file listing Spark holds for the plan already, so no job runs.
-    Reading only some columns or row groups is not accounted for, so the figure errs high.
+    The sizes are those of the files each scan selects, as listed; optimizer statistics are not used and no job runs. Rows that
+    Spark holds as literals are no bytes read. Reading only some columns or row groups is not accounted for, so the figure errs high.
     """
-    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves().iterator()
+    leaves = df._jdf.queryExecution().sparkPlan().collectLeaves().iterator()
     total = 0
     while leaves.hasNext():
-        total += int(str(leaves.next().stats().sizeInBytes()))
-    return total if total < (1 << 62) else None
+        leaf = leaves.next()
+        kind = leaf.getClass().getSimpleName()
+        if kind == "FileSourceScanExec":
+            total += leaf.selectedPartitions().totalFileSize()
+        elif kind not in ("LocalTableScanExec", "EmptyRelationExec"):
+            return None
+    return total

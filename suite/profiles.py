@@ -167,6 +167,34 @@ register(
         descriptions={"c_mktsegment": "segment", "c_custkey": "key", "c_nationkey": "as text"},
     ),
 )
+# Decimals keep their digits under either label, and a declared name may differ in case.
+_WIDER = ["CAST(l_extendedprice AS DECIMAL(38,9)) AS price", "CAST(CAST(l_tax AS DECIMAL(20,4)) / 1 AS DECIMAL(38,20)) AS tax", "l_linenumber"]
+register(
+    "declared_wider_types",
+    lambda spark, folder: profile_columns(
+        table(spark, folder, "lineitem").selectExpr(*_WIDER),
+        columns=[("PRICE", "BIGNUMERIC", ""), ("Tax", "NUMERIC", ""), ("l_linenumber", "NUMERIC", "")]),
+    profile_sql(
+        'SELECT price AS "PRICE", tax AS "Tax", CAST(l_linenumber AS DECIMAL(20,0)) AS l_linenumber FROM '
+        f"({listed(_WIDER, 'lineitem')})",
+        [("PRICE", "BIGNUMERIC"), ("Tax", "NUMERIC"), ("l_linenumber", "NUMERIC")]),
+)
+# Whole texts, whatever their length, are the strings that are counted.
+register(
+    "distinct_long_text",
+    lambda spark, folder: profile_columns(table(spark, folder, "documents").select("text", "lang"), ["lang"]),
+    profile_sql("SELECT text, lang FROM documents", [("text", "STRING"), ("lang", "STRING")], ["lang"]),
+)
+# A collated column counts by its own equality, here without regard to case.
+register(
+    "collated_profile",
+    lambda spark, folder: profile_columns(table(spark, folder, "documents").selectExpr(
+        "CASE WHEN doc_id % 2 = 0 THEN upper(lang) ELSE lang END COLLATE UTF8_LCASE AS lang", "text COLLATE UTF8_LCASE AS text"
+    )).select("column_name", "record_count", "null_count", "distinct_count"),
+    " UNION ALL ".join(
+        f"SELECT '{name}' AS column_name, COUNT(*) AS record_count, COUNT(*) - COUNT({name}) AS null_count, "
+        f"COUNT(DISTINCT lower({name})) AS distinct_count FROM documents" for name in ("lang", "text")),
+)
 NEGATIVES = Metric("negative_count", ("FLOAT64", "INT64"), lambda c: F.count_if(c < 0), F.sum)
 register(
     "added_metric",

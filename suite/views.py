@@ -44,10 +44,13 @@ INDIMENSION = "dimension_name IS NOT NULL"
 
 over_dirty(
     "string_range_by_dim",
-    lambda m: views.range_summary(views.of_family(m, "string")).select(
+    # A slice that lacks the column is still one of its dimension.
+    lambda m: views.range_summary(m.where("NOT (column_name = 'category' AND coalesce(dimension_value, '') = 'view')"), "string").select(
         "dimension_name", "column_name", "slices", "min_distinct", "max_distinct"),
-    "SELECT dimension_name, column_name, COUNT(*) AS slices, MIN(distinct_count) AS min_distinct, "
-    f"MAX(distinct_count) AS max_distinct FROM m WHERE {INDIMENSION} AND column_type = 'STRING' {BY_COLUMN}",
+    "SELECT dimension_name, 'category' AS column_name, COUNT(*) AS slices, "
+    "MIN(distinct_count) FILTER (WHERE coalesce(dimension_value, '') <> 'view') AS min_distinct, "
+    "MAX(distinct_count) FILTER (WHERE coalesce(dimension_value, '') <> 'view') AS max_distinct "
+    f"FROM m WHERE {INDIMENSION} AND column_name = 'category' GROUP BY dimension_name",
 )
 over_dirty(
     "bool_range_by_dim",
@@ -131,27 +134,47 @@ over_dirty(
 )
 
 
-# Sorted results are compared as sets; the order itself is tested in tests/test_views.py.
+def numbered(ordered: DataFrame) -> DataFrame:
+    """Sorted rows with their position from 0, which results compared as sets would lose."""
+    placed = ordered.withColumn("_id", F.monotonically_increasing_id()).withColumns({
+        "_part": F.shiftright("_id", 33), "_place": F.col("_id").bitwiseAND(F.lit((1 << 33) - 1))})
+    before = placed.groupBy("_part").agg(F.count(F.lit(1)).alias("_rows")).withColumn(
+        "_before", F.expr("sum(_rows) OVER (ORDER BY _part) - _rows"))
+    return placed.join(before.drop("_rows"), "_part").withColumn("position", F.col("_before") + F.col("_place")).drop(
+        "_id", "_part", "_place", "_before")
+
+
 def sorted_amounts(m: DataFrame, key: str | None, descending: bool = True, temporal: bool = False) -> DataFrame:
     rows = views.of_dimension(m, "event_date").where("column_name = 'amount'")
-    return views.breakdown(rows, key, descending, temporal).select("dimension_value", "record_count", "missing_rate", "min_value", "max_value")
+    return numbered(views.breakdown(rows, key, descending, temporal)).select(
+        "position", "dimension_value", "record_count", "missing_rate", "min_value", "max_value")
 
 
-_AMOUNTS = (
-    "SELECT dimension_value, record_count, missing_rate, min_value, max_value FROM m "
-    "WHERE dimension_name = 'event_date' AND column_name = 'amount'"
-)
-over_dirty("breakdown_by_min", lambda m: sorted_amounts(m, "min", False), _AMOUNTS)
-over_dirty("breakdown_by_missing", lambda m: sorted_amounts(m, "missing"), _AMOUNTS)
-over_dirty("breakdown_newest_first", lambda m: sorted_amounts(m, None, temporal=True), _AMOUNTS)
+_SLICES = "coalesce(dimension_value, ''), dimension_value IS NOT NULL"
+
+
+def amounts_by(order: str) -> str:
+    return (
+        f"SELECT ROW_NUMBER() OVER (ORDER BY {order}, {_SLICES}) - 1 AS position, dimension_value, record_count, missing_rate, "
+        "min_value, max_value FROM m WHERE dimension_name = 'event_date' AND column_name = 'amount'"
+    )
+
+
+over_dirty("breakdown_by_min", lambda m: sorted_amounts(m, "min", False), amounts_by("CAST(min_value AS DOUBLE) NULLS LAST"))
+over_dirty("breakdown_by_missing", lambda m: sorted_amounts(m, "missing"), amounts_by("missing_rate DESC NULLS LAST"))
+over_dirty("breakdown_newest_first", lambda m: sorted_amounts(m, None, temporal=True), amounts_by("dimension_value DESC NULLS LAST"))
 over_dirty(
-    "slice_order", lambda m: views.in_slice_order(m).select("dimension_name", "dimension_value", "column_name", "record_count"),
-    "SELECT dimension_name, dimension_value, column_name, record_count FROM m",
+    "slice_order",
+    lambda m: numbered(views.in_slice_order(m)).select("position", "dimension_name", "dimension_value", "column_name", "record_count"),
+    "SELECT ROW_NUMBER() OVER (ORDER BY dimension_name IS NOT NULL, coalesce(dimension_name, ''), "
+    f"{_SLICES}, column_order) - 1 AS position, dimension_name, dimension_value, column_name, record_count FROM m",
 )
 over_dirty(
     "newest_slices_first",
-    lambda m: views.newest_first(views.of_dimension(m, "event_date")).select("dimension_value", "column_name", "record_count"),
-    "SELECT dimension_value, column_name, record_count FROM m WHERE dimension_name = 'event_date'",
+    lambda m: numbered(views.newest_first(views.of_dimension(m, "event_date"))).select(
+        "position", "dimension_value", "column_name", "record_count"),
+    "SELECT ROW_NUMBER() OVER (ORDER BY dimension_value DESC NULLS LAST, column_order) - 1 AS position, dimension_value, "
+    "column_name, record_count FROM m WHERE dimension_name = 'event_date'",
 )
 register(
     "type_family_filter",

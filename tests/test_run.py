@@ -139,10 +139,47 @@ def test_failing_relation_leaves_the_store_unchanged(store, tables, spark):
     first = run(store, read=lambda s, r: broken(s, r) if r.name == "orders" else s.range(1).select(
         F.to_date(F.lit("2026-01-01")).alias("day"), F.raise_error(F.lit("x")).cast("string").alias("kind"), F.lit(1).alias("amount"), F.array().alias("payload")))
     assert [t.status for t in first.tasks] == ["failed", "skipped", "skipped", "skipped"]
-    assert "earlier item" in first.tasks[1].error and "another relation" in first.tasks[3].error
+    assert "earlier task" in first.tasks[1].error and "another relation" in first.tasks[3].error
     assert store.generation() == 1
 
 
+@pytest.mark.parametrize("column, table", [("missing", None), ("id", "double")])
+def test_unreadable_table_is_a_failed_task(store, tables, column, table):
+    def read(session, relation):
+        if relation.name == "orders":
+            return session.table("no_such_table") if table is None else session.range(3).select(F.col("id").cast(table))
+        return tables(session, relation)
+
+    result = run(store, read=read)
+    assert not result.published and store.generation() == 1
+    assert [t.status for t in result.tasks] == ["skipped", "skipped", "skipped", "failed"]
+    assert "no_such_table" in result.tasks[3].error if table is None else "'id' is declared as INT64 but holds double" in result.tasks[3].error
+    assert run_results(store).where("status = 'failed'").count() == 1
+
+
+def test_scan_estimate_is_the_size_of_the_selected_files(spark, tmp_path):
+    from colmetry.sources.files import scanned_bytes
+
+    def size(folder):
+        return sum(os.path.getsize(os.path.join(at, f)) for at, _, fs in os.walk(folder) for f in fs if f.endswith(".parquet"))
+
+    path = str(tmp_path / "grown")
+    spark.range(10).withColumn("p", F.col("id") % 2).write.partitionBy("p").parquet(path)
+    assert scanned_bytes(spark.read.parquet(path).where("id > 3")) == size(path)
+    assert scanned_bytes(spark.read.parquet(path).where("p = 1")) == size(path + "/p=1")
+    assert scanned_bytes(spark.range(3)) is None
+    spark.sql(f"CREATE TABLE grown_table USING parquet LOCATION '{tmp_path / 'table'}' AS SELECT id FROM range(5)")
+    spark.sql("ANALYZE TABLE grown_table COMPUTE STATISTICS FOR ALL COLUMNS")
+    spark.range(100_000).write.mode("append").parquet(str(tmp_path / "table"))
+    spark.sql("REFRESH TABLE grown_table")
+    spark.conf.set("spark.sql.cbo.enabled", "true")
+    try:
+        assert scanned_bytes(spark.table("grown_table")) == size(str(tmp_path / "table"))
+    finally:
+        spark.conf.unset("spark.sql.cbo.enabled")
+        spark.sql("DROP TABLE grown_table")
+
+
 def test_unusable_dimension_aborts_the_plan(spark, tmp_path, tables):
     store = SnapshotStore(spark, str(tmp_path / "s"))
     import_relations(store, ingest_artifacts(spark, write_project(str(tmp_path / "p"), events={"dimensions": ["amount"]})))
@@ -250,7 +287,7 @@ def test_broken_artifacts_raise(spark, tmp_path):
         ingest_artifacts(spark, str(tmp_path / "nowhere")).collect()
 
 
-@pytest.mark.parametrize("setting", [{"where": "  "}, {"max_dimension_values": 0}, {"max_bytes_billed": "5 XB"}, {"max_bytes_billed": "0"}])
+@pytest.mark.parametrize("setting", [{"where": "  "}, {"where": True}, {"where": 5}, {"max_dimension_values": 0}, {"max_bytes_billed": "5 XB"}, {"max_bytes_billed": "0"}])
 def test_wrong_settings_raise(spark, tmp_path, setting):
     folder = write_project(str(tmp_path / "p"), events=setting)
     with pytest.raises(Exception, match=list(setting)[0]):

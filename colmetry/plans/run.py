@@ -251,7 +251,7 @@ def _task_outcomes(planned, by_id, rows, ended: bool) -> list[TaskResult]:
             first = task.unique_id not in failed_first
             failed_first.add(task.unique_id)
             done.append(replace(task, status="failed" if first else "skipped",
-                                error=outcome if first else "not run, as an earlier task of this relation failed"))
+                                error=outcome if first else "not run, as an earlier item of this relation failed"))
         else:
             skip = next((s for s in outcome.skipped_dimensions if s.dimension == task.dimension), None)
             if skip:

@@ -176,7 +176,7 @@ def resolve_columns(
             raise ProfileError(f"column {name!r} is declared as {label} but holds {actual.simpleString()}, which does not always fit")
         profiled.append(ProfiledColumn(len(profiled), name, label, description, actual))
     if not profiled:
-        raise ProfileError(f"none of the {len(wanted)} columns has a type that can be profiled")
+        raise ProfileError(f"no supported columns found among the {len(wanted)} of the table")
     return profiled, skipped
 
 

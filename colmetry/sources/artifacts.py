@@ -147,17 +147,20 @@ def _entries(manifests: DataFrame) -> DataFrame:
             F.lit(is_source).alias("is_source"), place.alias("position"), node.alias("node")
         ))
 
-    # Both kinds leave one generator, so a manifest is parsed once.
+    # Both kinds leave one generator, so each use of the entries parses a manifest once.
     both = F.concat(listed("nodes", False), listed("sources", True))
     return manifests.select("project", name.alias("project_name"), F.inline(both)).withColumn("unique_id", F.col("node.unique_id"))
 
 
 def _catalog_columns(catalogs: DataFrame) -> DataFrame:
-    def exploded(field: str, is_source: bool) -> DataFrame:
-        return catalogs.select("project", F.lit(is_source).alias("is_source"), F.explode(field).alias("unique_id", "_entry"))
+    def listed(field: str, is_source: bool) -> Column:
+        entries = F.map_entries(F.coalesce(field, F.create_map().cast(f"map<string,{CATALOG_NODE}>")))
+        return F.transform(entries, lambda entry: F.struct(
+            F.lit(is_source).alias("is_source"), entry["key"].alias("unique_id"), entry["value"]["columns"].alias("catalog_columns")
+        ))
 
-    both = exploded("nodes", False).unionByName(exploded("sources", True))
-    return both.select("project", "is_source", "unique_id", F.col("_entry.columns").alias("catalog_columns"))
+    # Both kinds leave one generator, so a catalog is parsed once.
+    return catalogs.select("project", F.inline(F.concat(listed("nodes", False), listed("sources", True))))
 
 
 def _with_text_condition(raw: Column, unique_id: Column) -> Column:

@@ -67,6 +67,14 @@ def scratch_root(spark: SparkSession, fallback: str) -> str:
     return (spark.conf.get("spark.checkpoint.dir", None) or (named.get() if named.isDefined() else None) or fallback).rstrip("/")
 
 
+def temporary_folder(spark: SparkSession, path: str) -> str:
+    """Make a folder that goes when the session's JVM ends."""
+    fs, target = _resolve(spark, path)
+    fs.mkdirs(target)
+    fs.deleteOnExit(target)
+    return path
+
+
 def scanned_bytes(df: DataFrame) -> int | None:
     """Bytes of the files a DataFrame reads, after partition pruning; None if any source is no file scan.
 

@@ -14,7 +14,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 from uuid import uuid4
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F
 
 from colmetry.errors import AmbiguousError, NotFoundError, StorageError
 from colmetry.functions.json_text import decode_relations, encode_relations
@@ -79,20 +79,25 @@ class SnapshotStore:
     def read_relations(self) -> DataFrame:
         """Relations only; the metric table is not scanned."""
         folder = self._folder()
-        models, metrics = (self.spark.read.parquet(f"{folder}/{name}") for name in (MODELS, METRICS))
+        models, metrics = _tables(self.spark, folder)
         return _read_models(models, _is_current(models, metrics, check_metrics=False))
 
     def read_relation(self, identifier: str) -> Snapshot:
         """One relation by unique id, or else by name."""
-        snapshot = self.read()
+        models, metrics = _tables(self.spark, self._folder())
+        current = _is_current(models, metrics, check_metrics=False)
+        relations = _read_models(models, current)
         for field in ("unique_id", "name"):
-            found = snapshot.relations.where(F.col(field) == identifier)
+            found = relations.where(F.col(field) == identifier)
             ids = [row.unique_id for row in found.select("unique_id").limit(2).collect()]
             if len(ids) > 1:
                 raise AmbiguousError("ambiguous relation name; use its unique_id")
             if ids:
                 wanted = F.col("unique_id") == ids[0]
-                return Snapshot(found, snapshot.metrics.where(wanted))
+                if current:
+                    metrics = metrics.where(wanted)
+                    _check_version(metrics)
+                return Snapshot(found, _read_metrics(models.where(wanted), metrics, current))
         raise NotFoundError(identifier)
 
     def _folder(self) -> str:
@@ -113,16 +118,21 @@ class SnapshotStore:
         if files.exists(self.spark, folder):
             raise StorageError(f"{folder} exists; another write may be running or was left unfinished")
         try:
-            metric_rows = F.count(F.lit(1))
-            stored_metrics(metrics).write.option("compression", "zstd").parquet(f"{folder}/{METRICS}")
+            rows, given = F.count(F.lit(1)).alias("n"), [Observation(), Observation()]
+            # In the order of lookups, so that statistics confine a relation to few files and row groups.
+            placed = stored_metrics(metrics).orderBy("unique_id", "profile_order", "column_order")
+            placed.observe(given[0], rows).write.option("compression", "zstd").parquet(f"{folder}/{METRICS}")
             written = self.spark.read.schema(STORED_METRICS).parquet(f"{folder}/{METRICS}")
             # Only the new table is read to fill in columns, whatever the input was derived from.
             models = encode_relations(_with_columns(relations, written))
-            models.write.option("compression", "zstd").parquet(f"{folder}/{MODELS}")
+            models.observe(given[1], rows).write.option("compression", "zstd").parquet(f"{folder}/{MODELS}")
             back = read_tables(self.spark, folder)
-            unknown = back.metrics.join(back.relations, "unique_id", "left_anti").agg(metric_rows.alias("n")).first().n
-            if unknown:
-                raise StorageError(f"{unknown} metric rows belong to no relation")
+            known = back.relations.select("unique_id", F.lit(True).alias("_known"))
+            found = back.metrics.join(known, "unique_id", "left").agg(rows, F.count_if(F.col("_known").isNull()).alias("unknown")).first()
+            if found.unknown:
+                raise StorageError(f"{found.unknown} metric rows belong to no relation")
+            self._compare("metric rows", given[0].get["n"], found.n)
+            self._compare("relations", given[1].get["n"], back.relations.count())
             files.replace_text(self.spark, f"{self.path}/current", f"gen-{number:04d}")
         except Exception:
             files.delete(self.spark, folder)
@@ -130,6 +140,11 @@ class SnapshotStore:
         self._forget_old()
         return folder
 
+    @staticmethod
+    def _compare(what: str, given: int, read: int) -> None:
+        if given != read:
+            raise StorageError(f"{given} {what} were written, {read} can be read back")
+
     def _forget_old(self) -> None:
         """Keep the newest generations; a folder that cannot be deleted is left alone."""
         names = files.folder_names(self.spark, f"{self.path}/generations")
@@ -147,20 +162,22 @@ class SnapshotStore:
 
 def read_tables(spark: SparkSession, folder: str) -> Snapshot:
     """Read a pair of stored tables of this or an older format."""
-    models, metrics = (spark.read.parquet(f"{folder}/{name}") for name in (MODELS, METRICS))
+    models, metrics = _tables(spark, folder)
     current = _is_current(models, metrics)
     relations = _read_models(models, current)
-    if current:
-        keyed = metrics
-    else:
+    return Snapshot(relations.orderBy("name", "unique_id"), _read_metrics(models, metrics, current))
+
+
+def _tables(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    return spark.read.parquet(f"{folder}/{MODELS}"), spark.read.parquet(f"{folder}/{METRICS}")
+
+
+def _read_metrics(models: DataFrame, metrics: DataFrame, current: bool) -> DataFrame:
+    """Metric rows of ``models`` in today's columns, in order."""
+    if not current:
         # Before versions metric rows carried the relation's name, which _read_models found unique.
-        names = models.select("model_name", "unique_id")
-        keyed = metrics.drop("unique_id").join(names, "model_name")
-    upgraded = _upgrade_metrics(keyed)
-    return Snapshot(
-        relations.orderBy("name", "unique_id"),
-        upgraded.orderBy("unique_id", "profile_order", "column_order"),
-    )
+        metrics = metrics.drop("unique_id").join(models.select("model_name", "unique_id"), "model_name")
+    return _upgrade_metrics(metrics).orderBy("unique_id", "profile_order", "column_order")
 
 
 def _is_current(models: DataFrame, metrics: DataFrame, check_metrics: bool = True) -> bool:
@@ -170,15 +187,19 @@ def _is_current(models: DataFrame, metrics: DataFrame, check_metrics: bool = Tru
         raise StorageError("inconsistent profile storage schema versions")
     if versioned[0]:
         for df in (models, metrics) if check_metrics else (models,):
-            # Row groups whose statistics hold the known version only are not even read.
-            other = (F.col("schema_version") != SCHEMA_VERSION) | F.col("schema_version").isNull()
-            if df.where(other).limit(1).count():
-                raise StorageError("unsupported profile storage schema version")
+            _check_version(df)
         if "unique_id" not in metrics.columns:
             raise StorageError("profile storage is missing unique_id")
     return versioned[0]
 
 
+def _check_version(df: DataFrame) -> None:
+    # Row groups whose statistics hold the known version only are not even read.
+    other = (F.col("schema_version") != SCHEMA_VERSION) | F.col("schema_version").isNull()
+    if df.where(other).limit(1).count():
+        raise StorageError("unsupported profile storage schema version")
+
+
 def _read_models(models: DataFrame, current: bool) -> DataFrame:
     missing = {
         "profile_version": F.lit(1),
@@ -218,7 +239,11 @@ def stored_metrics(metrics: DataFrame) -> DataFrame:
 
 
 def _with_columns(relations: DataFrame, metrics: DataFrame) -> DataFrame:
-    """Relations without declared columns take them from their first slice."""
+    """Relations without declared columns take them from their first slice; the metrics are read only if there are such."""
+    lacking = relations.where(~F.coalesce(F.size("columns") > 0, F.lit(False))).select("unique_id")
+    if lacking.isEmpty():
+        return relations
+    metrics = metrics.join(lacking, "unique_id", "left_semi")
     first = metrics.groupBy("unique_id").agg(F.min("profile_order").alias("profile_order"))
     found = (
         metrics.join(first, ["unique_id", "profile_order"])

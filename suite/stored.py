@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 from uuid import uuid4
 
 from pyspark.sql import DataFrame, functions as F
@@ -27,9 +26,9 @@ def register(name: str, query, sql: str) -> None:
 
 
 def scratch(spark) -> str:
-    """A new folder in the session's shared folder; a local one only where none is set."""
-    root = files.scratch_root(spark, "")
-    return f"{root}/suite-{uuid4().hex}" if root else tempfile.mkdtemp(prefix="suite-")
+    """A new folder in the session's shared folder, else in the warehouse; removed when the session ends."""
+    root = files.scratch_root(spark, spark.conf.get("spark.sql.warehouse.dir") + "/_scratch")
+    return files.temporary_folder(spark, f"{root}/suite-{uuid4().hex}")
 
 
 def relations(frame: DataFrame, expressions: dict[str, str]) -> DataFrame:

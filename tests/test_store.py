@@ -5,7 +5,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from colmetry import AmbiguousError, NotFoundError, SnapshotStore, StorageError, read_json_catalog
-from colmetry.sources.snapshots import read_tables
+from colmetry.sources import snapshots
+from colmetry.sources.snapshots import Snapshot, read_tables
 
 
 def column(name, kind, **metrics):
@@ -111,6 +112,27 @@ def test_failed_write_leaves_the_old_generation(store, tmp_path, catalog):
     assert os.path.isdir(tmp_path / "store" / "generations" / "gen-0002")
 
 
+@pytest.mark.parametrize("lost", ["metrics", "relations"])
+def test_short_write_is_refused(store, catalog, monkeypatch, lost):
+    def short(spark, folder):
+        whole = read_tables(spark, folder)
+        if lost == "metrics":
+            return Snapshot(whole.relations, whole.metrics.limit(5))
+        return Snapshot(whole.relations.where("name = 'events'"), whole.metrics)
+
+    monkeypatch.setattr(snapshots, "read_tables", short)
+    with pytest.raises(StorageError, match="can be read back"):
+        store.write(catalog.relations, catalog.metrics)
+    assert store.generation() == 1
+
+
+def test_lookup_reads_one_relation_in_stored_order(store, spark):
+    plan = store.read_relation("events").metrics._jdf.queryExecution().executedPlan().toString()
+    assert "EqualTo(unique_id,model.demo.events)" in plan
+    rows = spark.read.parquet(f"{store.location()}/column_profiles.parquet").select("profile_order", "column_order").collect()
+    assert rows == sorted(rows) and len(rows) == 6
+
+
 def test_plain_folder_is_read_until_the_first_generation(spark, store, tmp_path):
     plain = str(tmp_path / "plain")
     for name in ("models", "column_profiles"):

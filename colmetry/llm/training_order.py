@@ -6,8 +6,9 @@ Records are numbered through all partitions, and a Feistel network over the next
 number of records, maps numbers to slots one to one. A shard holds ``slots`` consecutive slots in order, so record s is in shard
 s // slots at byte (s % slots) * stride: a reader can go on from any slot with one seek.
 
-Records are counted in a first pass and built in a second; both see the same partitions, because ``documents`` has to be a plain read of
-files (stage it first if it is not), and a lost task is built again alike. One exchange carries each record to its shard's range.
+Records are cut once and written to the shared folder with their partition and place in it; numbers, shards and manifest all come from
+that table, so it does not matter how ``documents`` would be split if it were read again (after an executor was lost or joined, say).
+One exchange carries each record to its shard's range, and the bytes of the shards must be those of all records.
 Shards go through Spark's text writer (the record end is its line end), so they need only a file system that Spark can reach, and a
 task's files appear when it commits.
 
@@ -30,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from colmetry.llm.texts import plain
+from colmetry.llm.texts import plain, stage
 
 LENGTH, SLOTS, KEY, ROUNDS = 2048, 8192, 0x5DEECE66D, 6
 
@@ -111,54 +112,70 @@ def _records(batches: Iterator[pd.DataFrame], encoder: Encoder, length: int) ->
         yield cut(filled, owners, 1)
 
 
-def plan(documents: DataFrame, length: int = LENGTH, slots: int = SLOTS, key: int = KEY, encoder: Encoder = Encoder(),
-         payload: bool = True) -> tuple[DataFrame, Layout]:
-    """Records of ``documents`` (columns doc_id, text): record, slot, shard, byte_offset, n_ids, doc_ids, crc32, and ``payload`` (the
-    record's bytes without its end id) if asked for."""
-    rows = documents.select("doc_id", plain("text").alias("text"))
+def _cut(documents: DataFrame, length: int, encoder: Encoder) -> DataFrame:
+    """Records with the partition they were cut in and their place in it, written once."""
+    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        part, place = TaskContext.get().partitionId(), 0
+        for table, inside in _records(batches, encoder, length):
+            yield pd.DataFrame({
+                "part": part, "place": np.arange(place, place + len(table)), "n_ids": (table != encoder.fill).sum(axis=1),
+                "doc_ids": inside, "crc32": [zlib.crc32(r.tobytes()) for r in table], "payload": [r[:-1].tobytes() for r in table],
+            })
+            place += len(table)
+
+    ids = documents.schema["doc_id"].dataType.simpleString()
+    return stage(documents.select("doc_id", plain("text").alias("text")).mapInPandas(
+        cut, f"part int, place long, n_ids long, doc_ids array<{ids}>, crc32 long, payload binary"))
+
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ids = 0
+def _number(cut: DataFrame, before: dict[int, int], layout: Layout, key: int, payload: bool) -> DataFrame:
+    def number(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            ids += sum(len(encoder.encode(t)) + 1 for t in batch["text"])
-        yield pd.DataFrame({"part": [TaskContext.get().partitionId()], "records": [-(-ids // (length - 1))]})
+            record = np.fromiter((before[p] for p in batch["part"]), np.int64, len(batch)) + batch["place"].to_numpy()
+            slot = permute(record, layout.records, key)
+            out = {"record": record, "slot": slot, "shard": slot // layout.slots, "byte_offset": slot % layout.slots * layout.stride}
+            yield pd.DataFrame(out | {c: batch[c] for c in batch.columns[2:]})
 
-    counts = {r["part"]: r["records"] for r in rows.mapInPandas(count, "part int, records long").collect()}
+    ids = cut.schema["doc_ids"].dataType.simpleString()
+    schema = f"record long, slot long, shard long, byte_offset long, n_ids long, doc_ids {ids}, crc32 long"
+    return (cut if payload else cut.drop("payload")).mapInPandas(number, schema + (", payload binary" if payload else ""))
+
+
+def _layout(cut: DataFrame, length: int, slots: int, encoder: Encoder) -> tuple[dict[int, int], Layout]:
+    """First number of each partition, and the layout."""
     before, total = {}, 0
-    for part in sorted(counts):
-        before[part], total = total, total + counts[part]
-    layout = Layout(total, length, slots, encoder.width)
+    for r in cut.groupBy("part").agg(F.count("*").alias("n"), F.max("place").alias("last")).orderBy("part").collect():
+        if r["n"] != r["last"] + 1:
+            raise RuntimeError(f"partition {r['part']} has {r['n']} records, numbered up to {r['last']}")
+        before[r["part"]], total = total, total + r["n"]
+    return before, Layout(total, length, slots, encoder.width)
 
-    def build(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        number = before.get(TaskContext.get().partitionId(), 0)
-        for table, inside in _records(batches, encoder, length):
-            record = np.arange(number, number + len(table))
-            number += len(table)
-            slot = permute(record, total, key)
-            out = pd.DataFrame({
-                "record": record, "slot": slot, "shard": slot // slots, "byte_offset": slot % slots * layout.stride,
-                "n_ids": (table != encoder.fill).sum(axis=1), "doc_ids": inside, "crc32": [zlib.crc32(r.tobytes()) for r in table],
-            })
-            if payload:
-                out["payload"] = [r[:-1].tobytes() for r in table]
-            yield out
 
-    ids = documents.schema["doc_id"].dataType.simpleString()
-    schema = f"record long, slot long, shard long, byte_offset long, n_ids long, doc_ids array<{ids}>, crc32 long"
-    return rows.mapInPandas(build, schema + (", payload binary" if payload else "")), layout
+def plan(documents: DataFrame, length: int = LENGTH, slots: int = SLOTS, key: int = KEY, encoder: Encoder = Encoder(),
+         payload: bool = True) -> tuple[DataFrame, Layout]:
+    """Records of ``documents`` (columns doc_id, text): record, slot, shard, byte_offset, n_ids, doc_ids, crc32, and ``payload`` (the
+    record's bytes without its end id) if asked for."""
+    cut = _cut(documents, length, encoder)
+    before, layout = _layout(cut, length, slots, encoder)
+    return _number(cut, before, layout, key, payload), layout
 
 
 def materialise(documents: DataFrame, path: str, length: int = LENGTH, slots: int = SLOTS, key: int = KEY,
                 encoder: Encoder = Encoder()) -> tuple[DataFrame, Layout]:
     """Write the shards below ``path`` (folder shard=K each) and return the manifest of all records, without their bytes."""
-    records, layout = plan(documents, length, slots, key, encoder)
+    cut = _cut(documents, length, encoder)
+    before, layout = _layout(cut, length, slots, encoder)
     shards = -(-layout.records // slots)
     if shards:
         end = np.array([encoder.end], encoder.width).tobytes().decode("latin-1")
-        ranged = records.select("shard", "slot", F.col("payload").cast("string").alias("value")).repartitionById(
+        ranged = _number(cut, before, layout, key, payload=True).select(
+            "shard", "slot", F.col("payload").cast("string").alias("value")).repartitionById(
             shards, F.col("shard").cast("int")).sortWithinPartitions("shard", "slot")
         ranged.select("shard", "value").write.partitionBy("shard").option("lineSep", end).option("encoding", "ISO-8859-1").text(path)
-    return plan(documents, length, slots, key, encoder, payload=False)[0], layout
+        written = documents.sparkSession.read.format("binaryFile").load(path).agg(F.sum("length")).first()[0]
+        if written != layout.records * layout.stride:
+            raise RuntimeError(f"shards hold {written} bytes, not {layout.records} records of {layout.stride}")
+    return _number(cut, before, layout, key, payload=False), layout
 
 
 def read_shards(spark: SparkSession, path: str, layout: Layout, first: int = 0, stop: int | None = None) -> DataFrame:

@@ -251,3 +251,28 @@ def test_secret_scan(spark, odd, empty):
     assert len(out) == 300 and np.mean([r["secret"] == (r["doc_id"] % 4 < 2) for r in out]) > 0.97
     assert secret_scan.scan(empty).count() == 0 and {r["doc_id"] for r in secret_scan.scan(odd).collect()} == {11}
     assert "Python" not in secret_scan.scan(odd)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_training_order_keeps_its_numbers_when_files_are_split_otherwise(spark, tmp_path):
+    path, out = str(tmp_path / "docs"), str(tmp_path / "shards")
+    spark.range(600).select(F.col("id").alias("doc_id"), F.concat(F.lit("text "), F.repeat(F.col("id").cast("string"), 20)).alias(
+        "text")).repartition(12).write.parquet(path)
+    docs, before = spark.read.parquet(path), spark.conf.get("spark.sql.files.maxPartitionBytes")
+    # Shards and manifest are planned under other split sizes, as after the loss of an executor.
+    cls, sizes = type(docs), iter(["1g", "16k", "64k"] * 4)
+    own = cls.mapInPandas
+
+    def split_otherwise(self, *args, **kwargs):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", next(sizes))
+        return own(self, *args, **kwargs)
+
+    cls.mapInPandas = split_otherwise
+    try:
+        manifest, layout = training_order.materialise(docs, out, length=64, slots=64)
+        rows = manifest.collect()
+    finally:
+        cls.mapInPandas = own
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert sorted(r["record"] for r in rows) == sorted(r["slot"] for r in rows) == list(range(layout.records))
+    records = {r["slot"]: bytes(r["ids"]) for r in training_order.read_shards(spark, out, layout).collect()}
+    assert len(records) == layout.records and all(zlib.crc32(records[r["slot"]]) == r["crc32"] for r in rows)

@@ -1,12 +1,11 @@
 """Mixing sources to target weights: iterative proportional fitting of token weights, then sampling by calibrated probabilities.
 
 Documents fall into cells (source, language, topic). The weight of a cell is a product of a source, a language and a topic factor;
-rounds of raking set one kind of factor after the other so that the weighted tokens meet the target shares of sources, languages and
-topics. Documents are kept with probability ``min(1, scale * weight)``, the scale such that the expected tokens are ``budget`` of all.
+rounds of raking set one kind of factor after the other until the weighted tokens meet the target shares of sources, languages and
+topics within ``TOLERANCE``; where targets contradict each other, a warning tells by how much they are missed after ``ROUNDS``. Documents are kept with probability ``min(1, scale * weight)``, the scale such that the expected tokens are ``budget`` of all.
 
-Source targets and factors are columns of a table, however many sources there are: a source's factor needs its own few cells only, and
-these hold at most (languages + 1) * (topics + 1) rows. Language and topic factors live on the driver; beyond the ``CATEGORIES``
-largest, languages or topics form one category, so their number is bounded and no row is left out.
+Every source, language and topic has its own target and factor, however many there are: targets and factors are columns of the table of
+cells, and a round is a few aggregates over it. Up to ``ON_DRIVER`` cells, the same rounds are run on arrays.
 
 Defined cases: nulls in source, language and topic are a category of their own; null text has no tokens; a corpus without tokens has
 weight 1 and probability ``budget``; rows with one id share one draw; an empty table gives no rows; other columns are ignored.
@@ -14,16 +13,18 @@ weight 1 and probability ``budget``; rows with one id share one draw; an empty t
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+import warnings
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from colmetry.llm.texts import plain, stage, words
+from colmetry.llm.texts import delete_staged, plain, stage, words
 
-ROUNDS, TOLERANCE, CATEGORIES = 12, 1e-6, 200
+ROUNDS, TOLERANCE, ON_DRIVER = 1000, 1e-6, 100_000
 BUDGET, POWER = 0.5, 0.5
-OTHER, NONE = "(other)", "(none)"
+NONE = "(none)"
 
 
 def topic_of(text: Column) -> Column:
@@ -42,58 +43,95 @@ def _keys(documents: DataFrame) -> DataFrame:
         F.coalesce(F.col("lang").cast("string"), F.lit(NONE)).alias("_lang"), topic_of(plain("text")).alias("_topic"))
 
 
-def _look(values: Mapping[str, float], key: str, missing: float) -> Column:
-    if not values:
-        return F.lit(missing)
-    pairs = [F.lit(x) for item in values.items() for x in item]
-    return F.coalesce(F.element_at(F.create_map(*pairs), F.col(key)), F.lit(missing))
+def _flattened(cells: DataFrame, key: str, power: float) -> DataFrame:
+    """Targets of all categories (columns ``key``, share): token shares to a power, up to a constant factor."""
+    return cells.groupBy(key).agg(F.pow(F.sum("tokens").cast("double"), F.lit(power)).alias("share"))
 
 
-def _flattened(cells: DataFrame, key: str, power: float) -> dict[str, float]:
-    """Target shares: token shares to a power, for the largest categories."""
-    rows = cells.groupBy(key).agg(F.sum("tokens").alias("n")).where("n > 0").orderBy(F.desc("n"), key).limit(CATEGORIES + 1).collect()
-    shares = {r[key]: float(r["n"]) ** power for r in rows[:CATEGORIES]}
-    if len(rows) > CATEGORIES:
-        shares[OTHER] = float(rows[CATEGORIES]["n"]) ** power
-    total = sum(shares.values())
-    return {k: v / total for k, v in shares.items()}
+def _rake_arrays(cells: pd.DataFrame, rounds: int) -> tuple[np.ndarray, float]:
+    """Weights of cells, and by how much a target was missed before the last round."""
+    codes = {key: pd.factorize(cells[key])[0] for key in ("source", "lang", "topic")}
+    goals, tokens = {}, cells["tokens"].to_numpy(np.float64)
+    for key, code in codes.items():
+        share = np.zeros(code.max() + 1)
+        share[code] = cells[f"{key}_share"]
+        goals[key] = share / (share.sum() or 1.0)
+    factors, moved = {key: np.ones(len(goals[key])) for key in ("lang", "topic")}, np.inf
 
-
-def rake(cells: DataFrame, lang_targets: Mapping[str, float], topic_targets: Mapping[str, float], source_power: float = POWER,
-         source_targets: DataFrame | None = None, rounds: int = ROUNDS) -> DataFrame:
-    """``cells`` (source, lang, topic, tokens) with ``weight``: shares of weighted tokens meet the targets.
-
-    ``source_targets`` has columns source, share; without it shares are token shares to ``source_power``.
-    """
-    if source_targets is None:
-        own = cells.groupBy("source").agg(F.pow(F.sum("tokens").cast("double"), F.lit(source_power)).alias("share"))
-    else:
-        own = source_targets.select("source", F.col("share").cast("double").alias("share"))
-    cells = stage(cells.where("tokens > 0").join(own, "source"))
-    whole = cells.select("source", "share").distinct().agg(F.sum("share")).first()[0]
-    if not whole:
-        return cells.select("source", "lang", "topic", "tokens", F.lit(1.0).alias("weight"))
-    factors = {"lang": dict.fromkeys(lang_targets, 1.0), "topic": dict.fromkeys(topic_targets, 1.0)}
-    targets = {"lang": lang_targets, "topic": topic_targets}
-
-    def weighted() -> DataFrame:
-        rest = _look(factors["lang"], "lang", 1.0) * _look(factors["topic"], "topic", 1.0)
-        met = cells.withColumn("rest", rest)
-        source = F.col("share") / F.lit(whole) / F.sum(F.col("tokens") * F.col("rest")).over(Window.partitionBy("source"))
-        return met.withColumn("weight", source * F.col("rest"))
+    def weights() -> np.ndarray:
+        rest = factors["lang"][codes["lang"]] * factors["topic"][codes["topic"]]
+        met = np.bincount(codes["source"], tokens * rest)
+        return (goals["source"] / np.where(met > 0, met, 1))[codes["source"]] * rest
 
     for _ in range(rounds):
+        moved = 0.0
+        for key, factor in factors.items():
+            met = np.bincount(codes[key], tokens * weights())
+            step = np.where(met > 0, goals[key] / np.where(met > 0, met, 1), 1)
+            factor *= step
+            factor /= factor.max() or 1.0
+            moved = max(moved, float(np.abs(step - 1).max()))
+        if moved < TOLERANCE:
+            break
+    return weights(), moved
+
+
+def _rake_table(cells: DataFrame, rounds: int) -> tuple[DataFrame, float]:
+    """The same over a table of any size."""
+    def weighted(cells: DataFrame) -> DataFrame:
+        rest = F.col("lang_factor") * F.col("topic_factor")
+        return cells.withColumn("weight", F.coalesce(
+            F.col("source_share") / F.nullif(F.sum(F.col("tokens") * rest).over(Window.partitionBy("source")), F.lit(0.0)), F.lit(0.0)) * rest)
+
+    wholes = {}
+    for key in ("source", "lang", "topic"):
+        wholes[key] = cells.select(key, f"{key}_share").distinct().agg(F.sum(f"{key}_share")).first()[0] or 1.0
+        cells = cells.withColumn(f"{key}_share", F.col(f"{key}_share") / F.lit(wholes[key]))
+    cells, moved = cells.withColumns({"lang_factor": F.lit(1.0), "topic_factor": F.lit(1.0)}), float("inf")
+    for done in range(rounds):
         moved = 0.0
         for key in ("lang", "topic"):
-            sums = dict(weighted().groupBy(key).agg(F.sum(F.col("tokens") * F.col("weight"))).collect())
-            present = sum(targets[key].get(k, 0.0) for k in sums) or 1.0
-            for k, met in sums.items():
-                step = targets[key].get(k, 0.0) / present / met if met else 1.0
-                factors[key][k] = factors[key].get(k, 1.0) * step
-                moved = max(moved, abs(step - 1))
+            met = F.sum(F.col("tokens") * F.col("weight"))
+            steps = stage(weighted(cells).groupBy(key).agg(F.when(met > 0, F.first(f"{key}_share") / met).otherwise(1.0).alias("step"),
+                                                           F.first(f"{key}_factor").alias("was")))
+            far, top = steps.agg(F.max(F.abs(F.col("step") - 1)), F.max(F.col("step") * F.col("was"))).first()
+            moved, old = max(moved, far), cells
+            cells = stage(cells.join(steps.select(key, "step"), key).withColumn(
+                f"{key}_factor", F.col(f"{key}_factor") * F.col("step") / F.lit(top or 1.0)).drop("step"))
+            delete_staged(steps)
+            if done or key == "topic":
+                delete_staged(old)
         if moved < TOLERANCE:
             break
-    return weighted().select("source", "lang", "topic", "tokens", "weight")
+    return weighted(cells), moved
+
+
+def rake(cells: DataFrame, lang_targets: DataFrame, topic_targets: DataFrame, source_power: float = POWER,
+         source_targets: DataFrame | None = None, rounds: int = ROUNDS, on_driver: int = ON_DRIVER) -> DataFrame:
+    """``cells`` (source, lang, topic, tokens) with ``weight``: shares of weighted tokens meet the targets.
+
+    Targets have the columns source, lang or topic, and share, up to a constant factor; those of what no cell has don't count, and
+    categories without a target get nothing. Without ``source_targets`` these are token shares to ``source_power``.
+    """
+    cells = cells.where("tokens > 0")
+    targets = {"source": source_targets if source_targets is not None else _flattened(cells, "source", source_power),
+               "lang": lang_targets, "topic": topic_targets}
+    for key, shares in targets.items():
+        cells = cells.join(shares.select(key, F.col("share").cast("double").alias(f"{key}_share")), key, "left").fillna(0.0, [f"{key}_share"])
+    cells = stage(cells.select("source", "lang", "topic", "tokens", "source_share", "lang_share", "topic_share"))
+    own = ["source", "lang", "topic", "tokens", "weight"]
+    count, *least = cells.agg(F.count("*"), *(F.max(f"{key}_share") for key in targets)).first()
+    if not count or not all(least):
+        return cells.withColumn("weight", F.lit(1.0)).select(own)
+    if count <= on_driver:
+        held = cells.orderBy("source", "lang", "topic").toPandas()
+        held["weight"], moved = _rake_arrays(held, rounds)
+        raked = cells.sparkSession.createDataFrame(held[own], cells.withColumn("weight", F.lit(1.0)).select(own).schema)
+    else:
+        raked, moved = _rake_table(cells, rounds)
+    if moved >= TOLERANCE:
+        warnings.warn(f"mixing: after {rounds} rounds a target is still missed by {moved:.2g} of it", stacklevel=2)
+    return raked.select(own)
 
 
 def scale_for(cells: DataFrame, budget: float) -> float:
@@ -117,16 +155,9 @@ def mix(documents: DataFrame, budget: float = BUDGET, power: float = POWER, seed
     counted = keyed.select("_source", "_lang", "_topic", F.size(words(plain("text"))).cast("long").alias("tokens"))
     cells = stage(counted.groupBy(F.col("_source").alias("source"), F.col("_lang").alias("lang"), F.col("_topic").alias("topic")).agg(
         F.sum("tokens").alias("tokens")))
-    targets = {key: _flattened(cells, key, power) for key in ("lang", "topic")}
-    folded = cells
-    for key, shares in targets.items():
-        folded = folded.withColumn(key, F.when(_look(shares, key, -1.0) >= 0, F.col(key)).otherwise(OTHER))
-    folded = folded.groupBy("source", "lang", "topic").agg(F.sum("tokens").alias("tokens"))
-    raked = stage(rake(folded, targets["lang"], targets["topic"], power))
+    raked = stage(rake(cells, _flattened(cells, "lang", power), _flattened(cells, "topic", power), power))
     scale, total = scale_for(raked, budget), raked.agg(F.coalesce(F.sum("tokens"), F.lit(0))).first()[0]
     looked = raked.select(F.col("source").alias("_s"), F.col("lang").alias("_l"), F.col("topic").alias("_t"), F.col("weight").alias("_w"))
-    for key, shares in targets.items():
-        keyed = keyed.withColumn(f"_{key}", F.when(_look(shares, f"_{key}", -1.0) >= 0, F.col(f"_{key}")).otherwise(OTHER))
     joined = keyed.join(looked, (F.col("_source") == F.col("_s")) & (F.col("_lang") == F.col("_l")) & (F.col("_topic") == F.col("_t")), "left")
     draw = F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col("doc_id").cast("string")), 11).cast("double") / F.lit(float(1 << 53))
     return joined.withColumns({

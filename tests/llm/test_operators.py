@@ -276,3 +276,21 @@ def test_training_order_keeps_its_numbers_when_files_are_split_otherwise(spark,
     assert sorted(r["record"] for r in rows) == sorted(r["slot"] for r in rows) == list(range(layout.records))
     records = {r["slot"]: bytes(r["ids"]) for r in training_order.read_shards(spark, out, layout).collect()}
     assert len(records) == layout.records and all(zlib.crc32(records[r["slot"]]) == r["crc32"] for r in rows)
+
+
+def test_mixing_meets_targets_of_many_languages_and_one_sided_sources(spark):
+    rows = [(f"s{s}", f"l{k}", "prose", (10 ** 6 if s < 3 else 10 ** 4) if s == k else 10) for s in range(12) for k in range(12)]
+    rows += [(f"s{k % 3}", f"rare{k}", "prose", 5 + k) for k in range(250)]
+    cells = spark.createDataFrame(rows, "source string, lang string, topic string, tokens long")
+    by_lang = cells.groupBy("lang").agg(F.sqrt(F.sum("tokens")).alias("share"))
+    by_topic = spark.createDataFrame([("prose", 1.0)], "topic string, share double")
+    got = {r[0]: r[1] for r in mixing.rake(cells, by_lang, by_topic).groupBy("lang").agg(F.sum(F.col("tokens") * F.col("weight"))).collect()}
+    want = {r["lang"]: r["share"] for r in by_lang.collect()}
+    assert len(got) == 262
+    for k, share in want.items():
+        assert got[k] / sum(got.values()) == pytest.approx(share / sum(want.values()), rel=1e-3)
+    with pytest.warns(UserWarning, match="missed"):
+        small = {(r["source"], r["lang"]): r["weight"] for r in mixing.rake(cells, by_lang, by_topic, rounds=2).collect()}
+    with pytest.warns(UserWarning, match="missed"):
+        large = mixing.rake(cells, by_lang, by_topic, rounds=2, on_driver=0).collect()
+    assert len(large) == len(small) and all(r["weight"] == pytest.approx(small[r["source"], r["lang"]]) for r in large)

@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from colmetry.llm import (
-    chat, context_mixing, decontamination, language, line_quality, mixing, secret_scan, simhash, toxicity, training_order,
+    chat, context_mixing, decontamination, language, line_quality, merkle, mixing, secret_scan, simhash, toxicity, training_order,
 )
-from colmetry.llm.texts import scratch
+from colmetry.llm.texts import fold, scratch
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -118,8 +118,66 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text |
 FROM m GROUP BY conv_id
 """
 
+def op13_merkle(spark: SparkSession, folder: str) -> DataFrame:
+    documents = _table(spark, folder, "documents")
+    tampered = F.when(fold(F.col("doc_id"), 2) == 0, F.replace("text", F.lit("\n"), F.lit(""))).otherwise(F.col("text"))
+    found = merkle.manifest(documents, tampered)
+    beside = F.transform("steps", lambda s: F.concat(merkle.as_text(s.left), merkle.as_text(s.right)))
+    again = merkle.as_text(merkle.folded(F.col("changed"), F.col("steps")))
+    return found.select(
+        "doc_id", *(merkle.as_text(F.col(c)).alias(c) for c in ("leaf", "subroot", "root")),
+        F.sha2(F.array_join(beside, ""), 256).alias("proof_sha256"), again.alias("folded_root")).withColumn(
+        "verified", F.col("folded_root") == F.col("root"))
+
+
+def _merkle_sql(height: int = 16) -> str:
+    """Level by level, for sources of up to 3 ** height rows and as many sources. CRC-32 is folded byte by byte, bit by bit."""
+    def value(name: str) -> str:
+        return f"coalesce(octet_length(encode({name}::VARCHAR))::VARCHAR || ':' || {name}::VARCHAR, '-')"
+
+    def leaf(text: str) -> str:
+        return f"sha256({' || '.join([*(value(n) for n in ('doc_id', 'source', 'lang', 'n_chars')), value(text)])})"
+
+    # p: one row per leaf with its node so far (t, i), the siblings met and the digest folded; n, s: nodes of a level and their runs.
+    steps, at = [], "leaves"
+    for part, start in (("s", "SELECT t, i, h, n FROM leaves"), ("a", "SELECT '' AS t, i, h, n FROM tops")):
+        node = start
+        for k in range(height):
+            steps += [
+                f"{part}n{k} AS ({node})",
+                f"{part}s{k} AS (SELECT t, i // 3 AS i, list(h ORDER BY i) AS c, (n + 2) // 3 AS n FROM {part}n{k} WHERE n > 1 GROUP BY t, i // 3, n)",
+                f"""{part}p{k} AS (SELECT p.r, p.src, p.doc_id, p.leaf, p.t, coalesce(s.i, p.i) AS i,
+  CASE WHEN s.c IS NULL THEN p.proof ELSE p.proof || list_aggregate(s.c[:p.i % 3] || s.c[p.i % 3 + 2:] || [''], 'string_agg', '') END AS proof,
+  CASE WHEN s.c IS NULL THEN p.up ELSE sha256(list_aggregate(s.c[:p.i % 3] || [p.up] || s.c[p.i % 3 + 2:], 'string_agg', '')) END AS up
+  FROM {at} p LEFT JOIN {part}s{k} s ON s.t = p.t AND s.i = p.i // 3)""",
+            ]
+            node, at = f"SELECT t, i, sha256(list_aggregate(c, 'string_agg', '')) AS h, n FROM {part}s{k}", f"{part}p{k}"
+        if part == "s":
+            tops = " UNION ALL ".join(f"SELECT t, h FROM sn{k} WHERE n = 1" for k in range(height))
+            steps += [
+                f"""tops AS (SELECT src AS t, h, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS i, count(*) OVER () AS n
+  FROM ({tops}) JOIN (SELECT DISTINCT src, source FROM leaves) ON t = src)""",
+                f"above AS (SELECT p.r, p.src, p.doc_id, p.leaf, '' AS t, tops.i AS i, p.proof, p.up FROM {at} p JOIN tops ON tops.t = p.src)",
+            ]
+            at = "above"
+    roots = " UNION ALL ".join(f"SELECT h FROM an{k} WHERE n = 1" for k in range(height))
+    bits = "list_reduce([xor(c, b)] || [0, 0, 0, 0, 0, 0, 0, 0], lambda a, z: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END)"
+    codes = "list_transform(string_split(coalesce(doc_id::VARCHAR, ''), ''), lambda x: ord(x)::BIGINT)"
+    crc = f"xor(list_reduce([4294967295::BIGINT] || {codes}, lambda c, b: {bits}), 4294967295)"
+    return f"""
+WITH d AS (SELECT *, CASE WHEN {crc} % 2 = 0 THEN replace(text, chr(10), '') ELSE text END AS other FROM documents),
+leaves AS (SELECT row_number() OVER () AS r, src, src AS t, source, doc_id, leaf, leaf AS h, up, '' AS proof,
+  row_number() OVER (PARTITION BY src ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i, count(*) OVER (PARTITION BY src) AS n
+  FROM (SELECT doc_id, source, {value('source')} AS src, {leaf('text')} AS leaf, {leaf('other')} AS up FROM d)),
+{(',' + chr(10)).join(steps)},
+root AS ({roots})
+SELECT p.doc_id, p.leaf, tops.h AS subroot, root.h AS root, sha256(p.proof) AS proof_sha256, p.up AS folded_root, p.up = root.h AS verified
+FROM {at} p JOIN tops ON tops.t = p.src CROSS JOIN root
+"""
+
+
 QUERIES = {q.__name__: q for q in (
     op1_context_mixing, op2_mixing, op3_toxicity, op4_training_order, op5_secret_scan, op6_line_quality, op7_simhash,
-    op8_decontamination, op9_language, op10_chat,
+    op8_decontamination, op9_language, op10_chat, op13_merkle,
 )}
-SQL = {"op6_line_quality": _OP6_SQL, "op10_chat": _OP10_SQL}
+SQL = {"op6_line_quality": _OP6_SQL, "op10_chat": _OP10_SQL, "op13_merkle": _merkle_sql()}

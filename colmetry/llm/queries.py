@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from colmetry.llm import (
-    chat, context_mixing, decontamination, language, line_quality, merkle, mixing, secret_scan, simhash, toxicity, training_order,
+    chat, context_mixing, decontamination, embeddings, language, line_quality, merkle, mixing, secret_scan, simhash, toxicity, training_order,
 )
 from colmetry.llm.texts import fold, scratch
 
@@ -118,6 +118,10 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text |
 FROM m GROUP BY conv_id
 """
 
+def op12_embeddings(spark: SparkSession, folder: str) -> DataFrame:
+    return embeddings.near_duplicates(_table(spark, folder, "embeddings"))
+
+
 def op13_merkle(spark: SparkSession, folder: str) -> DataFrame:
     documents = _table(spark, folder, "documents")
     tampered = F.when(fold(F.col("doc_id"), 2) == 0, F.replace("text", F.lit("\n"), F.lit(""))).otherwise(F.col("text"))
@@ -178,6 +182,6 @@ FROM {at} p JOIN tops ON tops.t = p.src CROSS JOIN root
 
 QUERIES = {q.__name__: q for q in (
     op1_context_mixing, op2_mixing, op3_toxicity, op4_training_order, op5_secret_scan, op6_line_quality, op7_simhash,
-    op8_decontamination, op9_language, op10_chat, op13_merkle,
+    op8_decontamination, op9_language, op10_chat, op12_embeddings, op13_merkle,
 )}
 SQL = {"op6_line_quality": _OP6_SQL, "op10_chat": _OP10_SQL, "op13_merkle": _merkle_sql()}

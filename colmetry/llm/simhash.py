@@ -177,11 +177,12 @@ def near_duplicates(documents: DataFrame, doc_id: str = "doc_id", text: str = "t
     prints = stage(fingerprints(documents, doc_id, text))
     nodes = stage(prints.groupBy("fp").agg(F.min("doc_id").alias("first")))
     edges = stage(links(nodes.select("fp"), nodes.count(), errors))
-    roots = connected(edges)
-    joined = nodes.join(roots.select(F.col("node").alias("fp"), "root"), "fp", "left").select(
-        "fp", F.coalesce("root", "fp").alias("root"), "first")
-    least = joined.groupBy("root").agg(F.min("first").alias("component_id"))
-    found = stage(joined.join(least, "root").select("fp", "component_id"))
+    # Nodes in order of their least id, so that a component's root holds its answer.
+    node = nodes.select("fp", F.struct(F.col("first").isNull().alias("no_id"), "first", "fp").alias("node"))
+    named = edges.join(node.select(F.col("fp").alias("a"), F.col("node").alias("x")), "a").join(
+        node.select(F.col("fp").alias("b"), F.col("node").alias("y")), "b")
+    roots = connected(named.select(F.col("x").alias("a"), F.col("y").alias("b"))).select(F.col("node.fp").alias("fp"), "root")
+    found = stage(nodes.join(roots, "fp", "left").select("fp", F.coalesce("root.first", "first").alias("component_id")))
     for table in (nodes, edges):
         delete_staged(table)
     return prints.join(found, "fp").select(
@@ -195,11 +196,8 @@ def keep_first(documents: DataFrame, errors: int = ERRORS) -> DataFrame:
     kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id").agg(F.count("*").alias("copies"))
     kept = stage(kept.withColumnRenamed("doc_id", "kept_id"))
     rows = documents.select(F.struct(*(F.col(f"`{c}`") for c in documents.columns)).alias("row"), F.col("doc_id").alias("own_id"))
-
-    def of(side: DataFrame) -> DataFrame:
-        return rows.join(side.select("kept_id"), F.col("own_id").eqNullSafe(F.col("kept_id")), "left_semi")
-
+    # One form at every size: texts are dealt by id once and ids are looked up in a hash of those kept.
+    joined = rows.join(kept.hint("shuffle_hash"), F.col("own_id").eqNullSafe(F.col("kept_id")))
     # Only ids that stand on several rows need to be gathered.
-    once, often = of(kept.where("copies = 1")), of(kept.where("copies > 1"))
-    least = often.groupBy("own_id").agg(F.min_by("row", F.coalesce("row.text", F.lit(""))).alias("row"))
-    return once.select("row").unionByName(least.select("row")).select("row.*")
+    least = joined.where("copies > 1").groupBy("own_id").agg(F.min_by("row", F.coalesce("row.text", F.lit(""))).alias("row"))
+    return joined.where("copies = 1").select("row").unionByName(least.select("row")).select("row.*")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from colmetry.llm import (
-    chat, context_mixing, decontamination, embeddings, language, line_quality, merkle, mixing, secret_scan, simhash, toxicity, training_order,
+    chat, context_mixing, decontamination, embeddings, language, line_quality, merkle, mixing, phrases, secret_scan, simhash, toxicity, training_order,
 )
 from colmetry.llm.texts import fold, scratch
 
@@ -118,6 +118,33 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text |
 FROM m GROUP BY conv_id
 """
 
+def op11_phrases(spark: SparkSession, folder: str) -> DataFrame:
+    return phrases.mine(_table(spark, folder, "documents"))
+
+
+_OP11_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS d, coalesce(lang, 'und') AS lang,
+  translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+p AS (SELECT lang, list_filter(regexp_split_to_array(unnest(regexp_split_to_array(t, '[.,;:!?\x0A-\x0D]')), '[\x20\x09]+'), lambda x: x <> '') AS w FROM d),
+i AS (SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM p),
+f1 AS (SELECT lang, w[i] AS x, count(*) AS f FROM i GROUP BY ALL),
+f2 AS (SELECT lang, w[i] AS x, w[i + 1] AS y, count(*) AS f FROM i WHERE i < len(w) GROUP BY ALL),
+f3 AS (SELECT lang, w[i] AS x, w[i + 1] AS y, w[i + 2] AS z, count(*) AS f FROM i WHERE i + 1 < len(w) GROUP BY ALL HAVING count(*) >= 10),
+n AS (SELECT lang, sum(f)::BIGINT AS n FROM f1 GROUP BY lang),
+c2 AS (SELECT p.lang, p.x, p.y, p.x || ' ' || p.y AS phrase, p.f AS a, l.f AS l, r.f AS r, 1000000::HUGEINT * p.f * p.f // (l.f::HUGEINT * r.f) AS score
+  FROM f2 p JOIN f1 l ON l.lang = p.lang AND l.x = p.x JOIN f1 r ON r.lang = p.lang AND r.x = p.y WHERE p.f >= 10),
+c3 AS (SELECT t.lang, t.x, t.y, t.z, t.f AS a, u.f AS l1, v.f AS r1, 1000000::HUGEINT * t.f * t.f // (u.f::HUGEINT * v.f) AS s1,
+  q.f AS l2, k.f AS r2, 1000000::HUGEINT * t.f * t.f // (q.f::HUGEINT * k.f) AS s2
+  FROM f3 t JOIN f1 u ON u.lang = t.lang AND u.x = t.x JOIN f2 v ON v.lang = t.lang AND v.x = t.y AND v.y = t.z
+  JOIN f2 q ON q.lang = t.lang AND q.x = t.x AND q.y = t.y JOIN f1 k ON k.lang = t.lang AND k.x = t.z),
+kept AS (SELECT lang, phrase, a, l, r, score FROM c2 WHERE NOT EXISTS (SELECT 1 FROM c3 WHERE c3.lang = c2.lang AND 100 * c3.a >= 50 * c2.a
+    AND (c3.x = c2.x AND c3.y = c2.y OR c3.y = c2.x AND c3.z = c2.y))
+  UNION ALL SELECT lang, x || ' ' || y || ' ' || z, a, CASE WHEN s1 <= s2 THEN l1 ELSE l2 END, CASE WHEN s1 <= s2 THEN r1 ELSE r2 END, least(s1, s2) FROM c3),
+o AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept)
+SELECT lang, rank, phrase, a, l, r, n, score::BIGINT AS score FROM o JOIN n USING (lang) WHERE rank <= 2000
+"""
+
+
 def op12_embeddings(spark: SparkSession, folder: str) -> DataFrame:
     return embeddings.near_duplicates(_table(spark, folder, "embeddings"))
 
@@ -182,6 +209,6 @@ FROM {at} p JOIN tops ON tops.t = p.src CROSS JOIN root
 
 QUERIES = {q.__name__: q for q in (
     op1_context_mixing, op2_mixing, op3_toxicity, op4_training_order, op5_secret_scan, op6_line_quality, op7_simhash,
-    op8_decontamination, op9_language, op10_chat, op12_embeddings, op13_merkle,
+    op8_decontamination, op9_language, op10_chat, op11_phrases, op12_embeddings, op13_merkle,
 )}
-SQL = {"op6_line_quality": _OP6_SQL, "op10_chat": _OP10_SQL, "op13_merkle": _merkle_sql()}
+SQL = {"op6_line_quality": _OP6_SQL, "op10_chat": _OP10_SQL, "op11_phrases": _OP11_SQL, "op13_merkle": _merkle_sql()}

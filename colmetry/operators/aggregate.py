@@ -6,11 +6,16 @@ read about once however many dimensions are asked for:
 * the *row pass* covers non-string columns. It is one aggregate over all dimensions whose buffers have
   fixed width, so every task emits one small row per slice. Overall is rolled up from the slices of
   the first dimension, out of the same exchange.
-* the *string pass* covers string columns. Rows become (dimension value, column, string) groups with
-  a count, which are deduplicated by a partial aggregate before they are shuffled; from these groups
-  come the distinct, null and empty counts at once. The shuffle key holds the string itself, so one
+* the *string pass* covers string columns in a rollup of two levels. Rows become (dimension value,
+  column, string) groups with a count, which are deduplicated by a partial aggregate before they are
+  shuffled; the groups of the first dimension are then merged to Overall's (column, string) groups. From
+  both come the distinct, null and empty counts at once. The shuffle key holds the string itself, so one
   dimension value or one string holding a large part of the table still spreads over all tasks.
 
+Strings keep the equality of their column's collation: a group has a slot for each collation among the
+columns, NULL in all but its own. A slice of a collated dimension is named by the least of its values in
+binary order.
+
 Asking Spark for ``count(DISTINCT)`` beside the other metrics would instead copy the row once per
 string column and carry every buffer of the row along with each distinct string.
 """
@@ -18,9 +23,10 @@ string column and carry every buffer of the row along with each distinct string.
 from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
+from dataclasses import dataclass, replace
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from colmetry.errors import ProfileError
 from colmetry.functions.text import (
@@ -32,7 +38,7 @@ from colmetry.schema import ProfiledColumn, resolve_columns, resolve_dimension
 # Partial aggregates with more output fields than spark.sql.codegen.maxFields (100) lose whole-stage
 # code generation; thirty columns with three buffers each stay below it.
 COLUMNS_PER_PASS = 30
-# Strings a row is turned into by one pass over string columns: columns times slice sets.
+# Strings a row is turned into by one pass over string columns: columns times dimensions.
 CELLS_PER_PASS = 60
 
 SLICE_KEYS = ("dimension_order", "dimension_name", "dimension_value")
@@ -62,15 +68,17 @@ def profile_columns(
     added_metrics: Sequence[Metric] = (),
     columns_per_pass: int = COLUMNS_PER_PASS,
     digest_strings: bool = False,
+    overall_groups: StringGroups | None = None,
 ) -> DataFrame:
     """Metrics of every supported column, Overall and by each dimension, as a lazy DataFrame.
 
     ``dimension_order`` is 0 for Overall and the position of the dimension otherwise; a NULL
     dimension value is a slice of its own. An empty table has one Overall slice of count 0 and no
-    others. No dimension guard applies here, see :func:`colmetry.profile`.
+    others. No dimension guard applies here, see :func:`colmetry.profile`. ``overall_groups`` are groups
+    of some string columns over the same rows that are known already.
     """
     profiled, _ = resolve_columns(df, columns)
-    keys = [resolve_dimension(profiled, name) for name in dimensions]
+    keys = [resolve_dimension(df, profiled, name) for name in dimensions]
     source = row_scope(df, where)
 
     passes: list[DataFrame] = []
@@ -82,23 +90,15 @@ def profile_columns(
     if wide:
         # Text buffers rule out hash aggregation, so these stay out of the other columns' pass.
         passes.append(_row_pass(source, keys, wide, added_metrics))
-    strings_per_pass = max(1, CELLS_PER_PASS // (len(set(dimensions)) + 1))
+    strings_per_pass = max(1, CELLS_PER_PASS // max(1, len(_distinct(keys))))
     for start in range(0, len(strings), strings_per_pass):
         passes.append(_string_pass(
             source, keys, strings[start:start + strings_per_pass], treat_empty_string_as_null, added_metrics,
-            digest_strings,
+            digest_strings, overall_groups,
         ))
     return reduce(DataFrame.unionByName, passes)
 
 
-def string_cardinality(
-    df: DataFrame, columns: Sequence[ProfiledColumn], treat_empty_string_as_null: bool, digest_strings: bool = False
-) -> dict[str, int]:
-    """Exact distinct counts of a few string columns over the whole table (one row each)."""
-    counted = _string_pass(df, [], columns, treat_empty_string_as_null, (), digest_strings)
-    return {r.column_name: r.distinct_count for r in counted.select("column_name", "distinct_count").collect()}
-
-
 # -- row pass --------------------------------------------------------------------------------------
 
 
@@ -112,6 +112,7 @@ def _row_pass(
     )
     plan = [(c, m, f"_c{c.order}_{m.name}") for c in columns for m in metrics_for(c, added)]
     aggregates = [F.count(F.lit(1)).alias("record_count")]
+    merges = [F.sum("record_count").alias("record_count"), *[m.merge(F.col(name)).alias(name) for _, m, name in plan]]
     for c, m, name in plan:
         # Decimals kept as text are compared by their order key, which spells the number out again.
         by_key = c.text_decimal and m.name != "non_null"
@@ -120,7 +121,7 @@ def _row_pass(
         slices = source.agg(*aggregates)
         return _row_metrics(_as_overall(slices), columns, added)
 
-    grouped, place = _group(source, len(_distinct(keys)), aggregates)
+    grouped, place = _group(source, _distinct(keys), aggregates, merges)
     # Every row is in exactly one slice of the first dimension, so merging those slices gives
     # Overall; the condition sits inside the aggregates to leave the grouped plan as it is, which
     # lets both branches read one exchange.
@@ -181,6 +182,66 @@ def _row_metrics(slices: DataFrame, columns: Sequence[ProfiledColumn], added: Se
 # -- string pass -----------------------------------------------------------------------------------
 
 
+@dataclass(frozen=True)
+class StringGroups:
+    """(column, string) groups of some string columns with their number of rows, over a whole table.
+
+    ``rows`` has the place of the column in ``columns`` (``_cell``), the slots and ``_rows``.
+    """
+
+    columns: tuple[ProfiledColumn, ...]
+    rows: DataFrame
+    digest_strings: bool
+
+    def distinct_counts(self, treat_empty_string_as_null: bool) -> dict[str, int]:
+        """Exact distinct counts by column name: one number per column comes to the driver."""
+        held = _Slots(self.columns, self.digest_strings)
+        counted = self.rows.groupBy("_cell").agg(F.count_if(held.present(treat_empty_string_as_null)).alias("n")).collect()
+        found = {r["_cell"]: r["n"] for r in counted}
+        return {c.name: found.get(i, 0) for i, c in enumerate(self.columns)}
+
+
+class _Slots:
+    """Slots that hold the string of a cell, one for each collation among some columns, NULL in all but the column's own."""
+
+    def __init__(self, columns: Sequence[ProfiledColumn], digest_strings: bool):
+        self.digest_strings = digest_strings
+        self.types = sorted({self._type(c) for c in columns})
+        self.names = [f"_text{k}" for k in range(len(self.types))]
+
+    def _type(self, column: ProfiledColumn) -> str:
+        return "string" if self.digest_strings or not column.collation else f"string collate {column.collation}"
+
+    def of(self, column: ProfiledColumn, value: Column) -> list[Column]:
+        """The slots of a cell of ``column``."""
+        own = self._type(column)
+        return [(value if kind == own else F.lit(None).cast(kind)).alias(name) for kind, name in zip(self.types, self.names)]
+
+    def empty(self) -> list[Column]:
+        return [F.lit(None).cast(kind).alias(name) for kind, name in zip(self.types, self.names)]
+
+    def read(self, value: Column) -> Column:
+        return distinct_key(value) if self.digest_strings else value
+
+    def is_null(self) -> Column:
+        return reduce(lambda a, b: a & b, [F.col(name).isNull() for name in self.names])
+
+    def is_empty(self) -> Column:
+        return reduce(lambda a, b: a | b, [F.coalesce(F.col(name) == "", F.lit(False)) for name in self.names])
+
+    def present(self, treat_empty_string_as_null: bool) -> Column:
+        return ~self.is_null() & ~self.is_empty() if treat_empty_string_as_null else ~self.is_null()
+
+
+def string_groups(df: DataFrame, columns: Sequence[ProfiledColumn], digest_strings: bool = False) -> StringGroups:
+    """Groups of a few string columns over the whole table, lazily."""
+    held = _Slots(columns, digest_strings)
+    source = df.select(*[held.read(c.value).alias(f"_c{i}") for i, c in enumerate(columns)])
+    cells = [F.struct(F.lit(i).alias("_cell"), *held.of(c, F.col(f"_c{i}"))) for i, c in enumerate(columns)]
+    rows = source.select(F.inline(F.array(*cells))).groupBy("_cell", *held.names).agg(F.count(F.lit(1)).alias("_rows"))
+    return StringGroups(tuple(columns), rows, digest_strings)
+
+
 def _string_pass(
     df: DataFrame,
     keys: Sequence[ProfiledColumn],
@@ -188,45 +249,54 @@ def _string_pass(
     treat_empty_string_as_null: bool,
     added: Sequence[Metric],
     digest_strings: bool,
+    known: StringGroups | None,
 ) -> DataFrame:
-    distinct = _distinct(keys)
-    held = [f"_d{i}" for i in range(len(distinct))]
-    source = df.select(
-        *[k.value.alias(name) for k, name in zip(distinct, held)],
-        *[
-            (distinct_key(c.value) if digest_strings else c.value).alias(f"_c{i}")
-            for i, c in enumerate(columns)
-        ],
-    )
-    # One cell per slice set and column: which one it is (as a number, so that keys stay narrow), the
-    # value of that dimension and the string.
-    absent = {name: F.lit(None).cast(source.schema[name].dataType) for name in held}
-    cells = [
-        F.struct(
-            F.lit(place * len(columns) + i).alias("_cell"),
-            *[(F.col(name) if k + 1 == place else absent[name]).alias(name) for k, name in enumerate(held)],
-            F.col(f"_c{i}").alias("_text"),
-        )
-        for place in range(len(held) + 1) for i in range(len(columns))
+    slots, distinct = _Slots(columns, digest_strings), _distinct(keys)
+    ready = [] if known is None or known.digest_strings != digest_strings else [c for c in columns if c in known.columns]
+    kinds = df.select(*[k.value for k in distinct]).schema.fields
+    # Cells 0 to n - 1 are Overall's columns, the next n those of the first dimension, and so on.
+    keyed = ["_cell", *[f"_d{i}" for i in range(len(distinct))]]
+    absent = [F.lit(None).cast(kind.dataType).alias(f"_d{i}") for i, kind in enumerate(kinds)]
+    absent += [F.lit(None).cast("string").alias(f"_n{i}") for i, k in enumerate(distinct) if k.collation]
+    uncounted = [F.lit(None).cast("bigint").alias(name) for name in _COUNTS]
+    counted = [  # of a group, whose string then is not needed any more
+        F.when(slots.is_null(), F.col("_rows")).otherwise(0).alias("_nulls"),
+        F.when(slots.is_empty(), F.col("_rows")).otherwise(0).alias("_empties"),
+        slots.present(treat_empty_string_as_null).cast("bigint").alias("_present"),
     ]
-    groups = source.select(F.inline(F.array(*cells))).groupBy("_cell", *held, "_text").agg(
-        F.count(F.lit(1)).alias("_rows")
-    )
 
+    def overall(groups: StringGroups, wanted: Sequence[ProfiledColumn]) -> DataFrame:
+        """Overall's groups of some columns."""
+        own = _Slots(groups.columns, digest_strings)
+        by_kind, place = dict(zip(own.types, own.names)), {groups.columns.index(c): columns.index(c) for c in wanted}
+        cell = reduce(lambda acc, at: acc.when(F.col("_cell") == at, F.lit(place[at])), place, F).alias("_cell")
+        return groups.rows.where(F.col("_cell").isin(list(place))).select(cell, *absent, *[
+            (F.col(by_kind[kind]) if kind in by_kind else F.lit(None).cast(kind)).alias(name)
+            for kind, name in zip(slots.types, slots.names)
+        ], "_rows", *uncounted)
+
+    parts = [overall(known, ready)] if ready else []
+    if keys:
+        groups = _dimension_groups(df, distinct, columns, slots)
+        names = [f"_n{i}" for i, k in enumerate(distinct) if k.collation]
+        # A group becomes its slice's counts and, from the first dimension, Overall's string; one more aggregate adds up both.
+        of_slice = F.struct(*keyed, *names, *slots.empty(), "_rows", *counted)
+        of_overall = F.struct((F.col("_cell") - len(columns)).alias("_cell"), *absent, *slots.names, "_rows", *uncounted)
+        rolled = [len(columns) + i for i, c in enumerate(columns) if c not in ready]
+        both = F.when(F.col("_cell").isin(rolled), F.array(of_slice, of_overall)).otherwise(F.array(of_slice))
+        parts.append(groups.select(F.inline(both)).groupBy(*keyed, *slots.names).agg(
+            *[F.min(name).alias(name) for name in names], F.sum("_rows").alias("_rows"), *[F.sum(name).alias(name) for name in _COUNTS]))
+    elif len(ready) < len(columns):
+        left = [c for c in columns if c not in ready]
+        parts.append(overall(string_groups(df, left, digest_strings), left))
     # A group of no rows per column keeps the Overall slice of an empty table.
-    nothing = df.sparkSession.range(len(columns), numPartitions=1).select(
-        F.col("id").cast("int").alias("_cell"),
-        *[absent[name].alias(name) for name in held],
-        F.lit(None).cast(groups.schema["_text"].dataType).alias("_text"),
-        F.lit(0).cast("bigint").alias("_rows"),
-    )
-    text = F.col("_text")
-    present = text.isNotNull() & (text != "") if treat_empty_string_as_null else text.isNotNull()
-    slices = groups.unionByName(nothing).groupBy("_cell", *held).agg(
+    parts.append(df.sparkSession.range(len(columns), numPartitions=1).select(
+        F.col("id").cast("int").alias("_cell"), *absent, *slots.empty(), F.lit(0).cast("bigint").alias("_rows"), *uncounted))
+    slices = reduce(DataFrame.unionByName, parts).groupBy(*keyed).agg(
         F.sum("_rows").alias("record_count"),
-        F.sum(F.when(text.isNull(), F.col("_rows")).otherwise(0)).alias("null_count"),
-        F.sum(F.when(text == "", F.col("_rows")).otherwise(0)).alias("empty_string_count"),
-        F.count_if(present).alias("distinct_count"),
+        *[F.sum(F.coalesce(name, count)).alias(to) for name, count, to in zip(
+            _COUNTS, counted, ("null_count", "empty_string_count", "distinct_count"))],
+        *[F.min(f"_n{i}").alias(f"_n{i}") for i, k in enumerate(distinct) if k.collation],
     )
     counts = ["record_count", "null_count", "empty_string_count", "distinct_count"]
     place = F.floor(F.col("_cell") / len(columns)) - 1
@@ -245,6 +315,34 @@ def _string_pass(
     return _with_rates(described, added)
 
 
+_COUNTS = ("_nulls", "_empties", "_present")
+
+
+def _dimension_groups(
+    df: DataFrame, distinct: Sequence[ProfiledColumn], columns: Sequence[ProfiledColumn], slots: _Slots
+) -> DataFrame:
+    """(dimension value, column, string) groups, all dimensions in one aggregate over the rows."""
+    held = [f"_d{i}" for i in range(len(distinct))]
+    source = df.select(
+        *[k.value.alias(name) for k, name in zip(distinct, held)],
+        *[slots.read(c.value).alias(f"_c{i}") for i, c in enumerate(columns)],
+    )
+    # One cell per dimension and column: which one it is (as a number, so that keys stay narrow), the value of that dimension and
+    # the string.
+    absent = {name: F.lit(None).cast(source.schema[name].dataType) for name in held}
+    cells = [
+        F.struct(
+            F.lit((place + 1) * len(columns) + i).alias("_cell"),
+            *[(F.col(name) if k == place else absent[name]).alias(name) for k, name in enumerate(held)],
+            *slots.of(c, F.col(f"_c{i}")),
+        )
+        for place in range(len(held)) for i, c in enumerate(columns)
+    ]
+    return source.select(F.inline(F.array(*cells))).groupBy("_cell", *held, *slots.names).agg(
+        F.count(F.lit(1)).alias("_rows"),
+        *[F.min(F.col(f"_d{i}").cast("string")).alias(f"_n{i}") for i, k in enumerate(distinct) if k.collation])
+
+
 # -- shared ----------------------------------------------------------------------------------------
 
 
@@ -252,15 +350,26 @@ def _distinct(keys: Sequence[ProfiledColumn]) -> list[ProfiledColumn]:
     return list(dict.fromkeys(keys))
 
 
-def _group(df: DataFrame, dimensions: int, aggregates: Sequence[Column]) -> tuple[DataFrame, Column]:
+def _group(
+    df: DataFrame, dimensions: Sequence[ProfiledColumn], aggregates: Sequence[Column], merges: Sequence[Column]
+) -> tuple[DataFrame, Column]:
     """Group by each dimension in turn, all in one aggregate.
 
     Returns the groups and an expression for the place of the dimension a group belongs to. Rows are
     repeated by a generator rather than by grouping sets, as two uses of the latter do not share
-    their exchange.
+    their exchange. Values of a collated dimension are grouped by their bytes, which hashes, and their
+    few groups are then merged under the collation.
     """
-    held = [f"_d{i}" for i in range(dimensions)]
-    if dimensions == 1:
+    held = [f"_d{i}" for i in range(len(dimensions))]
+    collated = {name: k.collation for name, k in zip(held, dimensions) if k.collation}
+    if collated:
+        plain = df.withColumns({name: F.col(name).cast("string") for name in collated})
+        groups, place = _group(plain, [replace(k, spark_type=T.StringType()) if k.collation else k for k in dimensions], aggregates, merges)
+        named = groups.withColumns({f"_n{name[2:]}": F.col(name) for name in collated}).withColumns(
+            {name: F.collate(F.col(name), collation) for name, collation in collated.items()})
+        by = held if len(dimensions) == 1 else ["_place", *held]
+        return named.groupBy(*by).agg(*merges, *[F.min(f"_n{name[2:]}").alias(f"_n{name[2:]}") for name in collated]), place
+    if len(dimensions) == 1:
         return df.groupBy(*held).agg(*aggregates), F.lit(0)
     measured = [name for name in df.columns if name not in held]
     sets = [
@@ -268,7 +377,7 @@ def _group(df: DataFrame, dimensions: int, aggregates: Sequence[Column]) -> tupl
             (F.col(name) if i == place else F.lit(None).cast(df.schema[name].dataType)).alias(name)
             for i, name in enumerate(held)
         ])
-        for place in range(dimensions)
+        for place in range(len(dimensions))
     ]
     repeated = df.select(*measured, F.inline(F.array(*sets)))
     return repeated.groupBy("_place", *held).agg(*aggregates), F.col("_place")
@@ -300,7 +409,7 @@ def _name_slices(
 
     choices: list[tuple[int, Column]] = [(-1, F.array(naming(0, nothing, nothing)))] if with_overall else []
     for i, key in enumerate(distinct):
-        text = value_text(F.col(f"_d{i}"), key.data_type)
+        text = F.col(f"_n{i}") if key.collation else value_text(F.col(f"_d{i}"), key.data_type)
         choices.append((i, F.array(*[
             naming(order, F.lit(key.name), text) for order, k in enumerate(keys, start=1) if k == key
         ])))

@@ -132,13 +132,12 @@ def _plan(chosen: list[Row], tables: dict[str, DataFrame]) -> list[TaskResult]:
     planned: list[TaskResult] = []
     for relation in chosen:
         settings, table = relation.profiling, tables.get(relation.unique_id)
-        limit, size = settings.max_bytes_billed, None
+        limit, size, dimensions = settings.max_bytes_billed, None, settings.dimensions
         if table is not None:
             columns, _ = resolve_columns(table, _declared(relation))
-            for name in settings.dimensions:
-                resolve_dimension(columns, name)
+            dimensions = [resolve_dimension(table, columns, name).name for name in settings.dimensions]
             size = None if limit is None else files.scanned_bytes(row_scope(table, settings.where))
-        for dimension in [None, *settings.dimensions]:
+        for dimension in [None, *dimensions]:
             planned.append(TaskResult(
                 len(planned), relation.unique_id, relation.name, dimension, estimated_bytes=size, max_bytes_billed=limit,
             ))

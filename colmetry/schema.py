@@ -74,9 +74,15 @@ class ProfiledColumn:
     @property
     def value(self) -> Column:
         """The column in a Spark type that holds all its values under the label."""
-        target = exact_type(self.spark_type, self.data_type)
+        target = "string" if self.text_decimal else exact_type(self.spark_type, self.data_type)
         return column_ref(self.name).cast(target) if target else column_ref(self.name)
 
+    @property
+    def collation(self) -> str | None:
+        """The collation by which strings are equal, None where that is by their bytes."""
+        own = getattr(self.spark_type, "collation", None) if self.data_type == "STRING" else None
+        return None if own == "UTF8_BINARY" else own
+
     @property
     def text_decimal(self) -> bool:
         """A decimal too wide for DecimalType, kept as text and ordered by an order key."""
@@ -180,13 +186,13 @@ def resolve_columns(
     return profiled, skipped
 
 
-def resolve_dimension(columns: Sequence[ProfiledColumn], name: str) -> ProfiledColumn:
-    """The column a dimension names; it must be temporal or a string."""
-    for column in columns:
-        if column.name == name:
-            if column.data_type not in DIMENSION_TYPES:
-                raise ProfileError(
-                    f"dimension must be DATE, DATETIME, TIMESTAMP or STRING, got {column.data_type}"
-                )
-            return column
-    raise ProfileError(f"dimension column not found: {name}")
+def resolve_dimension(df: DataFrame, columns: Sequence[ProfiledColumn], name: str) -> ProfiledColumn:
+    """The column a dimension names, found as Spark finds columns; it must be temporal or a string."""
+    found = [c for c in columns if c.name == name]
+    if not found and df.sparkSession.conf.get("spark.sql.caseSensitive") != "true":
+        found = [c for c in columns if c.name.lower() == name.lower()]
+    if not found:
+        raise ProfileError(f"dimension column not found: {name}")
+    if found[0].data_type not in DIMENSION_TYPES:
+        raise ProfileError(f"dimension must be DATE, DATETIME, TIMESTAMP or STRING, got {found[0].data_type}")
+    return found[0]

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -75,6 +77,18 @@ def temporary_folder(spark: SparkSession, path: str) -> str:
     return path
 
 
+def staged(df: DataFrame) -> DataFrame:
+    """The rows, written below the shared scratch folder and read again; the files go when the session's JVM ends.
+
+    Later plans start from the files, so rows are computed once and lost executors do not undo them.
+    """
+    spark = df.sparkSession
+    root = scratch_root(spark, spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch")
+    path = temporary_folder(spark, f"{root}/staged-{uuid.uuid4().hex}") + "/table"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def scanned_bytes(df: DataFrame) -> int | None:
     """Bytes of the files a DataFrame reads, after partition pruning; None if any source is no file scan.
 

@@ -195,6 +195,47 @@ register(
         f"SELECT '{name}' AS column_name, COUNT(*) AS record_count, COUNT(*) - COUNT({name}) AS null_count, "
         f"COUNT(DISTINCT lower({name})) AS distinct_count FROM documents" for name in ("lang", "text")),
 )
+# Plain and collated columns in one table, one of the collated ones a dimension: each string keeps its own column's equality, and a slice
+# is named by the least of its values.
+_MIXED = [
+    "CASE WHEN doc_id % 3 = 0 THEN upper(lang) WHEN doc_id % 7 = 0 THEN NULL ELSE lang END{} AS lang", "source{} AS source",
+    "CASE WHEN doc_id % 2 = 0 THEN initcap(source) WHEN doc_id % 5 = 0 THEN '' ELSE source END{} AS origin", "text{} AS text", "n_chars",
+]
+_COLLATED = [text.format(f" COLLATE {kind}" if kind else "") for text, kind in zip(_MIXED, ["UTF8_LCASE", "", "UNICODE_CI", "", ""])]
+_MIXED_DOCUMENTS = listed([text.format("").replace("initcap(source)", "upper(source[1]) || source[2:]") for text in _MIXED], "documents")
+
+
+def _mixed_sql(slice_: str, name: str, group: str) -> str:
+    return " UNION ALL ".join(
+        f"SELECT {name} AS dimension_name, {slice_} AS dimension_value, '{column}' AS column_name, COUNT(*) AS record_count, "
+        f"COUNT(*) - COUNT({column}) AS null_count, COUNT(*) FILTER (WHERE {empty}) AS empty_string_count, {distinct} AS distinct_count, "
+        f"{least} AS min_value FROM d {group}"
+        for column, empty, distinct, least in (
+            ("lang", "lang = ''", "COUNT(DISTINCT lower(lang))", "CAST(NULL AS VARCHAR)"),
+            ("source", "source = ''", "COUNT(DISTINCT source)", "CAST(NULL AS VARCHAR)"),
+            ("origin", "origin = ''", "COUNT(DISTINCT lower(origin)) FILTER (WHERE origin <> '')", "CAST(NULL AS VARCHAR)"),
+            ("text", "text = ''", "COUNT(DISTINCT text)", "CAST(NULL AS VARCHAR)"),
+            ("n_chars", "false", "CAST(NULL AS BIGINT)", "CAST(MIN(n_chars) AS VARCHAR)")))
+
+
+register(
+    "mixed_collations_profile",
+    lambda spark, folder: profile_columns(
+        table(spark, folder, "documents").selectExpr(*_COLLATED), ["lang", "source", "origin"], treat_empty_string_as_null=True,
+    ).select("dimension_name", "dimension_value", "column_name", "record_count", "null_count", "empty_string_count", "distinct_count", "min_value"),
+    f"WITH d AS ({_MIXED_DOCUMENTS}) " + " UNION ALL ".join([
+        _mixed_sql("CAST(NULL AS VARCHAR)", "CAST(NULL AS VARCHAR)", ""), _mixed_sql("MIN(lang)", "'lang'", "GROUP BY lower(lang)"),
+        _mixed_sql("source", "'source'", "GROUP BY source"), _mixed_sql("MIN(origin)", "'origin'", "GROUP BY lower(origin)"),
+    ]),
+)
+# A dimension is found as columns are, in any case, under the declared name.
+register(
+    "dimension_any_case",
+    lambda spark, folder: profile(
+        table(spark, folder, "orders").withColumnRenamed("o_orderstatus", "Status").select("Status", "o_totalprice"), ["STATUS"],
+        columns=[("status", "STRING", ""), ("o_totalprice", "FLOAT64", "")]).metrics,
+    profile_sql("SELECT o_orderstatus AS status, o_totalprice FROM orders", [("status", "STRING"), ("o_totalprice", "FLOAT64")], ["status"]),
+)
 NEGATIVES = Metric("negative_count", ("FLOAT64", "INT64"), lambda c: F.count_if(c < 0), F.sum)
 register(
     "added_metric",

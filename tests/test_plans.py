@@ -1,11 +1,12 @@
 """What the physical plans must look like for the passes to hold at scale."""
 
 import io
+import re
 from contextlib import redirect_stdout
 
 import pytest
 
-from colmetry import profile_columns
+from colmetry import profile, profile_columns
 
 LINEITEM = "/root/testdata/sf0.001/lineitem.parquet"
 
@@ -49,8 +50,35 @@ def test_aggregates_are_hash_based_and_free_of_pairs(lineitem):
         assert costly not in plan
 
 
+def string_exchanges(plan):
+    """Exchanges that strings of the rows go through."""
+    return [line for line in plan.splitlines() if line.startswith("Arguments: hashpartitioning(_cell") and "_text" in line]
+
+
 def test_strings_are_combined_before_the_shuffle_and_spread_by_value(lineitem):
     plan = plan_of(profile_columns(lineitem.select("l_returnflag", "l_linestatus"), ["l_linestatus"]))
-    exchange = [line for line in plan.splitlines() if line.startswith("Arguments: hashpartitioning(_cell") and "_text" in line]
-    assert len(exchange) == 1
-    assert "partial_count(1)" in plan
+    # By dimension, and what is left of them for Overall.
+    assert len(string_exchanges(plan)) == 2 and "partial_count(1)" in plan
+    assert plan.count("ReadSchema") == 1
+
+
+def test_rows_become_strings_of_their_dimensions_only(lineitem):
+    strings = lineitem.select("l_returnflag", "l_linestatus", "l_shipdate")
+    lines = plan_of(profile_columns(strings, ["l_shipdate", "l_linestatus"]).where("column_type = 'STRING'"), "simple").splitlines()
+    (over_rows,) = [line for line in lines if "Generate inline" in line and "_c0" in line]
+    # Cells of two columns by two dimensions; those of Overall would be 0 and 1.
+    assert sorted(set(re.findall(r"_cell, (\d+)", over_rows))) == ["2", "3", "4", "5"]
+
+
+def test_the_guard_counts_strings_that_overall_reads_again(lineitem):
+    found = profile(lineitem.select("l_returnflag", "l_linestatus"), ["l_linestatus"])
+    plan = plan_of(found.metrics)
+    staged = [line for line in plan.splitlines() if line.startswith("ReadSchema") and "_rows" in line]
+    assert len(staged) == 1 and len(string_exchanges(plan)) == 2
+    # Only the column that is no dimension is rolled up from the rows' groups.
+    assert found.metrics.where("column_name = 'l_linestatus' and dimension_name is null").first().distinct_count == 2
+
+
+def test_collated_strings_group_by_slots_in_one_exchange(spark, lineitem):
+    mixed = lineitem.selectExpr("l_returnflag", "l_linestatus COLLATE UTF8_LCASE AS l_linestatus")
+    assert len(string_exchanges(plan_of(profile_columns(mixed, ["l_returnflag"])))) == 2

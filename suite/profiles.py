@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 from colmetry import Metric, guard_dimensions, profile, profile_columns, validate
 from colmetry.operators.validate import dimension_totals
 from colmetry.schema import resolve_columns
+from colmetry.sources.files import staged
 from suite.expected_sql import profile_sql
 from suite.inputs import (
     DECIMAL_LINES, DECIMAL_TYPES, DIRTY_EVENTS, DIRTY_TYPES, HUGE_LINES, LINEITEM_TYPES, ORDERS_BY_DAY,
@@ -345,21 +346,21 @@ SPOILED = [
 KEPT = "NOT (coalesce(dimension_value, '-') = ' ' AND column_name = 'ts') AND coalesce(dimension_value, '-') <> 'view'"
 
 
-def relation_row(spark, dimensions: str):
-    columns = ", ".join(f"named_struct('name', '{n}', 'data_type', '{t}')" for n, t in DIRTY_TYPES)
-    return spark.range(1).selectExpr(
-        "'events' AS unique_id", f"array({columns}) AS columns", f"{dimensions} AS dimensions",
-        "true AS treat_empty_string_as_null",
-    )
+def relation_row(spark, *dimensions: str) -> DataFrame:
+    return spark.createDataFrame(
+        [("events", DIRTY_TYPES, list(dimensions), True)],
+        "unique_id string, columns array<struct<name:string,data_type:string>>, dimensions array<string>, treat_empty_string_as_null boolean")
 
 
-def spoiled(spark, folder) -> DataFrame:
-    sound = profile_columns(dirty(spark, folder), ["category"], treat_empty_string_as_null=True)
-    return sound.where(KEPT).selectExpr(*SPOILED)
+def events_metrics(spark, folder, dimensions: list[str]) -> DataFrame:
+    """Written metrics of the dirty events, as a run checks them."""
+    found = profile_columns(dirty(spark, folder), dimensions, treat_empty_string_as_null=True)
+    return staged(found.withColumn("unique_id", F.lit("events")))
 
 
 def validate_metrics(spark, folder) -> DataFrame:
-    return validate(spoiled(spark, folder), relation_row(spark, "array('category')"))
+    sound = events_metrics(spark, folder, ["category"])
+    return validate(sound.where(KEPT).selectExpr(*(text.replace("'events' AS ", "") for text in SPOILED)), relation_row(spark, "category"))
 
 
 _RATE = "COALESCE(CAST({} AS DOUBLE) / NULLIF(record_count, 0), 0.0)"
@@ -403,29 +404,21 @@ register("validate_metrics", validate_metrics, f"WITH {_SPOILED_SQL}" + " UNION
 register(
     "validate_sound_metrics",
     lambda spark, folder: validate(
-        profile_columns(dirty(spark, folder), ["category", "event_date"], treat_empty_string_as_null=True)
-        .withColumn("unique_id", F.lit("events")),
-        relation_row(spark, "array('category', 'event_date')"),
-    ),
+        events_metrics(spark, folder, ["category", "event_date"]), relation_row(spark, "category", "event_date")),
     "SELECT '' AS \"check\", '' AS unique_id, '' AS dimension_name, '' AS dimension_value, '' AS column_name "
     "FROM events WHERE event_id < 0",
 )
 register(
     "validate_dimensions",
     lambda spark, folder: validate(
-        profile_columns(dirty(spark, folder), ["category", "event_date"], treat_empty_string_as_null=True)
-        .withColumn("unique_id", F.lit("events")).where("dimension_name IS NOT NULL"),
-        relation_row(spark, "array('category')"),
-    ),
+        events_metrics(spark, folder, ["category", "event_date"]).where("dimension_name IS NOT NULL"), relation_row(spark, "category")),
     "SELECT 'overall' AS \"check\", 'events' AS unique_id, CAST(NULL AS VARCHAR) AS dimension_name, "
     "CAST(NULL AS VARCHAR) AS dimension_value, CAST(NULL AS VARCHAR) AS column_name FROM events HAVING COUNT(*) > 0 "
     "UNION ALL SELECT 'unexpected_dimension', 'events', 'event_date', NULL, NULL FROM events HAVING COUNT(*) > 0",
 )
 register(
     "reconcile_dimension_counts",
-    lambda spark, folder: dimension_totals(
-        profile_columns(dirty(spark, folder), ["event_date", "category"]).withColumn("unique_id", F.lit("events"))
-    ),
+    lambda spark, folder: dimension_totals(events_metrics(spark, folder, ["event_date", "category"])),
     "SELECT 'events' AS unique_id, CAST(NULL AS VARCHAR) AS dimension_name, CAST(1 AS BIGINT) AS slices, COUNT(*) AS records FROM events "
     + " ".join(
         f"UNION ALL SELECT 'events', '{d}', COUNT(DISTINCT {d}) + CAST(MAX(CASE WHEN {d} IS NULL THEN 1 ELSE 0 END) AS BIGINT), COUNT(*) "

@@ -5,8 +5,10 @@ import re
 from contextlib import redirect_stdout
 
 import pytest
+from pyspark.sql import functions as F
 
-from colmetry import profile, profile_columns
+from colmetry import profile, profile_columns, validate
+from colmetry.sources.files import staged
 
 LINEITEM = "/root/testdata/sf0.001/lineitem.parquet"
 
@@ -82,3 +84,14 @@ def test_the_guard_counts_strings_that_overall_reads_again(lineitem):
 def test_collated_strings_group_by_slots_in_one_exchange(spark, lineitem):
     mixed = lineitem.selectExpr("l_returnflag", "l_linestatus COLLATE UTF8_LCASE AS l_linestatus")
     assert len(string_exchanges(plan_of(profile_columns(mixed, ["l_returnflag"])))) == 2
+
+
+def test_checks_read_metrics_and_relations_once_each_way(spark, lineitem):
+    metrics = staged(profile_columns(lineitem, ["l_returnflag"]).withColumn("unique_id", F.lit("r")))
+    relation = spark.createDataFrame(
+        [("r", [("l_tax", "FLOAT64")], ["l_returnflag"], True)],
+        "unique_id string, columns array<struct<name:string,data_type:string>>, dimensions array<string>, treat_empty_string_as_null boolean")
+    plan = plan_of(validate(metrics, relation))
+    assert plan.count("ReadSchema") == 1
+    for costly in ("NestedLoop", "Cartesian", "Window"):
+        assert costly not in plan

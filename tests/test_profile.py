@@ -213,6 +213,50 @@ def test_sound_results_have_no_violations(spark):
     assert {r.check for r in validate(twice, relation).collect()} == {"columns"}
 
 
+def test_checks_of_relations_without_results_and_results_without_relation(spark):
+    table = spark.createDataFrame([("a", 1), ("b", 2)], "k string, n bigint")
+    metrics = profile(table, ["k"]).metrics
+    both = metrics.withColumn("unique_id", F.lit("known")).unionByName(metrics.withColumn("unique_id", F.lit("stranger")))
+    columns = [("k", "STRING"), ("n", "INT64")]
+    relations = spark.createDataFrame(
+        [("known", columns, ["k"], False), ("absent", columns, ["k"], False)],
+        "unique_id string, columns array<struct<name:string,data_type:string>>, dimensions array<string>, treat_empty_string_as_null boolean")
+    found = sorted((r.unique_id, r.check, r.dimension_name or "") for r in validate(both, relations).collect())
+    assert found == [("absent", "overall", ""), ("stranger", "unexpected_dimension", ""), ("stranger", "unexpected_dimension", "k")]
+    # Each wrong row is a violation of its own, copies too.
+    wrong = both.where("unique_id = 'known'").withColumn("missing_rate", F.expr("if(column_name = 'n' AND dimension_value = 'a', 0.5, missing_rate)"))
+    copies = wrong.unionByName(wrong.where("dimension_value = 'a'"))
+    found = sorted((r.unique_id, r.check, r.dimension_value or "", r.column_name or "") for r in validate(copies, relations).collect())
+    assert found == [("absent", "overall", "", ""), ("known", "columns", "a", ""), ("known", "rates", "a", "n"), ("known", "rates", "a", "n")]
+
+
+def test_dimensions_are_found_in_any_case(spark):
+    table = spark.createDataFrame([("a", 1), ("b", 2)], "Status string, n bigint")
+    found = profile(table, ["STATUS"], columns=[("status", "STRING", ""), ("n", "INT64", "")])
+    assert found.dimensions == ("status",) and {r.dimension_name for r in found.metrics.collect()} == {None, "status"}
+    assert guard_dimensions(table, ["sTATUS"], max_dimension_values=1)[1][0].dimension == "Status"
+    spark.conf.set("spark.sql.caseSensitive", "true")
+    try:
+        with pytest.raises(ProfileError):
+            profile(table, ["STATUS"])
+    finally:
+        spark.conf.unset("spark.sql.caseSensitive")
+
+
+def test_strings_keep_the_equality_of_their_column(spark):
+    table = spark.createDataFrame([("a", "x", "É", 1), ("A", "X", "é", 2), ("b", "x", None, 3), (None, "", "e", 4)], "k string, p string, u string, n int")
+    mixed = table.selectExpr("k COLLATE UTF8_LCASE AS k", "p", "u COLLATE UNICODE_CI AS u", "n")
+    found = by_slice(profile(mixed, ["k", "p"]).metrics)
+    assert {c: found[None, None][c].distinct_count for c in "kpu"} == {"k": 2, "p": 3, "u": 2}
+    # A slice is named by its least value, the same for strings and numbers.
+    assert found["k", "A"]["p"].distinct_count == 2 and found["k", "A"]["u"].distinct_count == 1 and found["k", "A"]["n"].max_value == "2"
+    assert set(found) == {(None, None), ("k", "A"), ("k", "b"), ("k", None), ("p", "x"), ("p", "X"), ("p", "")}
+    assert found["p", "x"]["k"].distinct_count == 2
+    # With two dimensions under a collation, and none.
+    assert by_slice(profile(mixed, ["u", "k"]).metrics)["u", "É"]["k"].distinct_count == 1
+    assert by_slice(profile(mixed).metrics)[None, None]["u"].distinct_count == 2
+
+
 def test_datetime_dimension(spark):
     table = spark.createDataFrame([(datetime(2024, 1, 1, 5),), (datetime(2024, 1, 1, 5),), (None,)], "t timestamp_ntz")
     assert {k: c["t"].record_count for k, c in by_slice(profile(table, ["t"]).metrics).items()} == {

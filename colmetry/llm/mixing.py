@@ -2,13 +2,19 @@
 
 Documents fall into cells (source, language, topic). The weight of a cell is a product of a source, a language and a topic factor;
 rounds of raking set one kind of factor after the other until the weighted tokens meet the target shares of sources, languages and
-topics within ``TOLERANCE``; where targets contradict each other, a warning tells by how much they are missed after ``ROUNDS``. Documents are kept with probability ``min(1, scale * weight)``, the scale such that the expected tokens are ``budget`` of all.
+topics within ``TOLERANCE``; where targets contradict each other, a warning tells by how much they are missed after ``ROUNDS``.
+
+Documents are drawn at most once, so a weight is no probability yet. ``calibrate`` rakes again with the bound in the loop: a cell's
+probability is its weight times three more factors, cut at 1, and the factors are set until the *expected* tokens of every source,
+language and topic are its target share of ``budget`` of all tokens. A category that holds fewer tokens than that is drawn whole, and the
+others of its kind share what it cannot give in proportion to their targets; ``shares`` tells asked, feasible and expected shares.
 
 Every source, language and topic has its own target and factor, however many there are: targets and factors are columns of the table of
 cells, and a round is a few aggregates over it. Up to ``ON_DRIVER`` cells, the same rounds are run on arrays.
 
 Defined cases: nulls in source, language and topic are a category of their own; null text has no tokens; a corpus without tokens has
-weight 1 and probability ``budget``; rows with one id share one draw; an empty table gives no rows; other columns are ignored.
+weight 1 and probability ``budget``, and so has a document without tokens; a target of 0 gives weight and probability 0; rows with one
+id share one draw; an empty table gives no rows; other columns are ignored, and come back as they are from ``sample``.
 """
 
 from __future__ import annotations
@@ -17,7 +23,7 @@ import warnings
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from colmetry.llm.texts import delete_staged, plain, stage, words
@@ -37,10 +43,13 @@ def topic_of(text: Column) -> Column:
     )
 
 
-def _keys(documents: DataFrame) -> DataFrame:
+def _keys(documents: DataFrame, topic: Column | None) -> DataFrame:
+    """Cell of every row, the row itself as one column, so that no name can clash."""
     return documents.select(
-        "*", F.coalesce(F.col("source").cast("string"), F.lit(NONE)).alias("_source"),
-        F.coalesce(F.col("lang").cast("string"), F.lit(NONE)).alias("_lang"), topic_of(plain("text")).alias("_topic"))
+        F.struct(*(F.col(f"`{c}`") for c in documents.columns)).alias("row"), F.size(words(plain("text"))).cast("long").alias("tokens"),
+        F.coalesce(F.col("source").cast("string"), F.lit(NONE)).alias("source"),
+        F.coalesce(F.col("lang").cast("string"), F.lit(NONE)).alias("lang"),
+        F.coalesce(topic if topic is not None else topic_of(plain("text")), F.lit(NONE)).alias("topic"))
 
 
 def _flattened(cells: DataFrame, key: str, power: float) -> DataFrame:
@@ -80,8 +89,9 @@ def _rake_table(cells: DataFrame, rounds: int) -> tuple[DataFrame, float]:
     """The same over a table of any size."""
     def weighted(cells: DataFrame) -> DataFrame:
         rest = F.col("lang_factor") * F.col("topic_factor")
-        return cells.withColumn("weight", F.coalesce(
-            F.col("source_share") / F.nullif(F.sum(F.col("tokens") * rest).over(Window.partitionBy("source")), F.lit(0.0)), F.lit(0.0)) * rest)
+        met = cells.groupBy("source").agg(F.sum(F.col("tokens") * rest).alias("met"))
+        return cells.join(met, "source").withColumn(
+            "weight", F.coalesce(F.col("source_share") / F.nullif("met", F.lit(0.0)), F.lit(0.0)) * rest).drop("met")
 
     wholes = {}
     for key in ("source", "lang", "topic"):
@@ -134,10 +144,14 @@ def rake(cells: DataFrame, lang_targets: DataFrame, topic_targets: DataFrame, so
     return raked.select(own)
 
 
+KINDS = ("source", "lang", "topic")
+
+
 def scale_for(cells: DataFrame, budget: float) -> float:
     """The scale at which expected tokens are ``budget`` of all: the range is cut into 64 steps four times, one aggregate each."""
-    total, least, most = cells.agg(F.sum("tokens"), F.min("weight"), F.max("weight")).first()
-    if not total:
+    positive = F.when(F.col("weight") > 0, F.col("weight"))
+    total, least, most = cells.agg(F.sum("tokens"), F.min(positive), F.max(positive)).first()
+    if not total or least is None:
         return budget
     low, high = budget / most * 1e-3, 1 / least
     for _ in range(4):
@@ -148,24 +162,137 @@ def scale_for(cells: DataFrame, budget: float) -> float:
     return high
 
 
-def mix(documents: DataFrame, budget: float = BUDGET, power: float = POWER, seed: int = 11) -> DataFrame:
-    """All columns of ``documents`` with ``_source``, ``_lang``, ``_topic``, ``_weight`` (1 on average over tokens), ``_probability``
-    and ``_kept``; targets are token shares to ``power``, which lifts small sources, languages and topics."""
-    keyed = _keys(documents)
-    counted = keyed.select("_source", "_lang", "_topic", F.size(words(plain("text"))).cast("long").alias("tokens"))
-    cells = stage(counted.groupBy(F.col("_source").alias("source"), F.col("_lang").alias("lang"), F.col("_topic").alias("topic")).agg(
-        F.sum("tokens").alias("tokens")))
+def feasible(cells: DataFrame, kind: str, shares: DataFrame, budget: float) -> DataFrame:
+    """(kind, tokens, asked, goal): tokens wanted of each category, its share of ``budget`` of all tokens, but never more than it has.
+
+    What a category cannot give is shared by the others in proportion; with too few categories wanted, the goals are all they have."""
+    held = cells.groupBy(kind).agg(F.sum("tokens").alias("tokens"))
+    wanted = stage(held.join(shares.select(kind, F.col("share").cast("double").alias("share")), kind, "left").fillna(0.0, ["share"]).withColumn(
+        "weight", F.col("share") / F.col("tokens")))
+    whole = wanted.agg(F.sum("share")).first()[0] or 1.0
+    scale = scale_for(wanted, budget)
+    return wanted.select(kind, "tokens", (F.col("share") / F.lit(whole)).alias("asked"),
+                         (F.col("tokens") * F.least(F.lit(1.0), F.col("weight") * F.lit(scale))).alias("goal"))
+
+
+def _calibrate_arrays(cells: pd.DataFrame, rounds: int) -> tuple[np.ndarray, float]:
+    """Probabilities of cells, and by how much a goal is missed after the last round."""
+    codes = {kind: pd.factorize(cells[kind])[0] for kind in KINDS}
+    tokens, open_ = cells["tokens"].to_numpy(np.float64), cells["weight"].to_numpy(np.float64).copy()
+    goals = {}
+    for kind, code in codes.items():
+        goals[kind] = np.zeros(code.max() + 1)
+        goals[kind][code] = cells[f"{kind}_goal"]
+    missed = np.inf
+    for _ in range(rounds):
+        for kind, code in codes.items():
+            full, size = open_ >= 1, len(goals[kind])
+            whole, rest = np.bincount(code, tokens * full, size), np.bincount(code, np.where(full, 0, tokens * open_), size)
+            open_ *= _step(goals[kind], whole, rest)[code]
+        expected = tokens * np.minimum(1, open_)
+        missed = max(float((np.abs(np.bincount(code, expected, len(goals[kind])) - goals[kind]) / np.maximum(goals[kind], 1)).max())
+                     for kind, code in codes.items())
+        if missed < TOLERANCE:
+            break
+    return np.minimum(1, open_), missed
+
+
+def _step(goal: np.ndarray, whole: np.ndarray, rest: np.ndarray) -> np.ndarray:
+    """Factor for the open cells of categories of which ``whole`` tokens are drawn surely and ``rest`` are expected of the others."""
+    with np.errstate(divide="ignore", invalid="ignore"):
+        step = np.where((goal > whole) & (rest > 0), (goal - whole) / rest, np.where(whole + rest > 0, goal / (whole + rest), 1.0))
+    return np.clip(step, 0, 1e6)
+
+
+def _calibrate_table(cells: DataFrame, rounds: int) -> tuple[DataFrame, float]:
+    """The same over a table of any size."""
+    missed, cells = float("inf"), cells.withColumn("open", F.col("weight"))
+    tokens, sure = F.col("tokens"), F.col("open") >= 1
+    for done in range(rounds):
+        for kind in KINDS:
+            met = cells.groupBy(kind).agg(
+                F.sum(F.when(sure, tokens).otherwise(0)).alias("whole"), F.sum(F.when(sure, 0).otherwise(tokens * F.col("open"))).alias("rest"))
+            goal, old = F.col(f"{kind}_goal"), cells
+            step = F.when((goal > F.col("whole")) & (F.col("rest") > 0), (goal - F.col("whole")) / F.nullif("rest", F.lit(0.0))).when(
+                F.col("whole") + F.col("rest") > 0, goal / F.nullif(F.col("whole") + F.col("rest"), F.lit(0.0))).otherwise(1.0)
+            cells = stage(cells.join(met, kind).withColumn("open", F.col("open") * F.least(step, F.lit(1e6))).drop("whole", "rest"))
+            if done or kind != KINDS[0]:
+                delete_staged(old)
+        expected, missed = F.sum(tokens * F.least(F.lit(1.0), F.col("open"))), 0.0
+        for kind in KINDS:
+            goal = F.first(f"{kind}_goal")
+            far = cells.groupBy(kind).agg((F.abs(expected - goal) / F.greatest(goal, F.lit(1.0))).alias("far")).agg(F.max("far")).first()[0]
+            missed = max(missed, far or 0.0)
+        if missed < TOLERANCE:
+            break
+    return cells.withColumn("probability", F.least(F.lit(1.0), F.col("open"))).drop("open"), missed
+
+
+def calibrate(raked: DataFrame, goals: dict[str, DataFrame], rounds: int = ROUNDS, on_driver: int = ON_DRIVER) -> DataFrame:
+    """``raked`` cells (source, lang, topic, tokens, weight) with ``probability``: the expected tokens of every category are its ``goal``
+    (tables of ``feasible`` by kind). A warning tells by how much goals are missed that contradict each other."""
+    cells = raked
+    for kind, table in goals.items():
+        cells = cells.join(table.select(kind, F.col("goal").alias(f"{kind}_goal")), kind)
+    # Weights of any scale: to begin with, they expect what the goals add up to.
+    total, wanted = cells.agg(F.sum(F.col("tokens") * F.col("weight")), F.sum("tokens")).first()
+    own = [*raked.columns, "probability"]
+    if not total:
+        return raked.withColumn("probability", F.lit(0.0))
+    first = goals[KINDS[0]].agg(F.sum("goal")).first()[0]
+    cells = stage(cells.withColumn("weight", F.col("weight") * F.lit(first / total)))
+    if cells.count() <= on_driver:
+        held = cells.orderBy(*KINDS).toPandas()
+        held["probability"], missed = _calibrate_arrays(held, rounds)
+        found = cells.sparkSession.createDataFrame(held[own], cells.withColumn("probability", F.lit(1.0)).select(own).schema)
+    else:
+        found, missed = _calibrate_table(cells, rounds)
+    if missed >= TOLERANCE:
+        warnings.warn(f"mixing: expected tokens of a category are off by {missed:.2g} of its feasible target", stacklevel=2)
+    return found.select(own)
+
+
+def shares(drawn: DataFrame, goals: dict[str, DataFrame]) -> DataFrame:
+    """(kind, category, asked, feasible, expected) shares of the expected tokens, from calibrated cells."""
+    found = None
+    for kind, table in goals.items():
+        expected = drawn.groupBy(kind).agg(F.sum(F.col("tokens") * F.col("probability")).alias("expected"))
+        whole = [frame.agg(F.sum(c)).first()[0] or 1.0 for frame, c in ((table, "goal"), (expected, "expected"))]
+        part = table.join(expected, kind).select(
+            F.lit(kind).alias("kind"), F.col(kind).alias("category"), "asked", (F.col("goal") / F.lit(whole[0])).alias("feasible"),
+            (F.col("expected") / F.lit(whole[1])).alias("expected"))
+        found = part if found is None else found.unionByName(part)
+    return found
+
+
+def plan(documents: DataFrame, budget: float = BUDGET, power: float = POWER, topic: Column | None = None) -> tuple[DataFrame, dict[str, DataFrame]]:
+    """Calibrated cells (source, lang, topic, tokens, weight, probability) and the goals by kind; targets are token shares to ``power``,
+    which lifts small sources, languages and topics. ``topic`` names a document's topic (a plain rule by default)."""
+    cells = stage(_keys(documents, topic).groupBy(*KINDS).agg(F.sum("tokens").alias("tokens")).where("tokens > 0"))
     raked = stage(rake(cells, _flattened(cells, "lang", power), _flattened(cells, "topic", power), power))
-    scale, total = scale_for(raked, budget), raked.agg(F.coalesce(F.sum("tokens"), F.lit(0))).first()[0]
-    looked = raked.select(F.col("source").alias("_s"), F.col("lang").alias("_l"), F.col("topic").alias("_t"), F.col("weight").alias("_w"))
-    joined = keyed.join(looked, (F.col("_source") == F.col("_s")) & (F.col("_lang") == F.col("_l")) & (F.col("_topic") == F.col("_t")), "left")
-    draw = F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col("doc_id").cast("string")), 11).cast("double") / F.lit(float(1 << 53))
-    return joined.withColumns({
-        "_weight": F.coalesce(F.col("_w") * F.lit(float(total)), F.lit(1.0)),
-        "_probability": F.coalesce(F.least(F.lit(1.0), F.col("_w") * F.lit(scale)), F.lit(budget)),
-    }).withColumn("_kept", draw < F.col("_probability")).drop("_s", "_l", "_t", "_w")
+    goals = {kind: feasible(cells, kind, _flattened(cells, kind, power), budget) for kind in KINDS}
+    return stage(calibrate(raked, goals)), goals
+
+
+def _drawn(documents: DataFrame, budget: float, power: float, seed: int, topic: Column | None) -> DataFrame:
+    cells, _ = plan(documents, budget, power, topic)
+    total, expected = cells.agg(F.sum("tokens"), F.sum(F.col("tokens") * F.col("probability"))).first()
+    known = cells.select(*KINDS, "probability")
+    draw = F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col("row.doc_id").cast("string")), 11).cast("double") / F.lit(float(1 << 53))
+    joined = _keys(documents, topic).join(known, list(KINDS), "left").withColumns({
+        "weight": F.coalesce(F.col("probability") * F.lit(total / expected if expected else 1.0), F.lit(1.0)),
+        "probability": F.when(F.col("tokens") > 0, F.col("probability")).otherwise(F.lit(budget))})
+    return joined.withColumn("kept", draw < F.col("probability"))
+
+
+def mix(documents: DataFrame, budget: float = BUDGET, power: float = POWER, seed: int = 11, topic: Column | None = None) -> DataFrame:
+    """All columns of ``documents`` with ``_source``, ``_lang``, ``_topic``, ``_weight`` (the document's probability, 1 on average over
+    tokens), ``_probability`` and ``_kept``; a column of ``documents`` of such a name gives way."""
+    made = {f"_{name}": F.col(name) for name in (*KINDS, "weight", "probability", "kept")}
+    kept = [F.col(f"row.`{c}`") for c in documents.columns if c.lower() not in made]
+    return _drawn(documents, budget, power, seed, topic).select(*kept, *(c.alias(name) for name, c in made.items()))
 
 
-def sample(documents: DataFrame, budget: float = BUDGET) -> DataFrame:
+def sample(documents: DataFrame, budget: float = BUDGET, power: float = POWER, seed: int = 11, topic: Column | None = None) -> DataFrame:
     """The documents drawn, columns as in ``documents``."""
-    return mix(documents, budget).where("_kept").select(*(F.col(f"`{c}`") for c in documents.columns))
+    return _drawn(documents, budget, power, seed, topic).where("kept").select("row.*")

@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import uuid
+import warnings
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from colmetry.sources.files import scratch_root, temporary_folder
+
 # Space, tab, line feed, vertical tab, form feed, carriage return: what separates words, in Spark and for bytes.split().
 SPACES = r"[\x20\x09-\x0D]"
 WORD = r"[^\x20\x09-\x0D]"
@@ -28,20 +31,30 @@ def fold(doc_id: Column, folds: int) -> Column:
 
 
 def scratch(spark: SparkSession) -> str:
-    """A new folder below the one the cluster shares (spark.checkpoint.dir, else the warehouse), removed when the session's JVM ends."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir") + "/_scratch"
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{root.rstrip('/')}/llm-{uuid.uuid4().hex}")
-    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
-    fs.mkdirs(path)
-    fs.deleteOnExit(path)
-    return path.toString()
-
-
-def stage(df: DataFrame) -> DataFrame:
-    """The rows written to the shared folder and read again: later plans start here, and lost executors do not undo it."""
-    path = f"{scratch(df.sparkSession)}/table"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """A new folder below the one the cluster shares (spark.checkpoint.dir, or what setCheckpointDir named), removed when the session's
+    JVM ends. Where neither is set it is below the warehouse folder, which must then be shared too."""
+    fallback = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch"
+    root = scratch_root(spark, fallback)
+    if root == fallback and not spark.sparkContext.master.startswith("local"):
+        warnings.warn(f"spark.checkpoint.dir is not set; intermediate tables go to {fallback}, which all executors must share", stacklevel=2)
+    return temporary_folder(spark, f"{root}/llm-{uuid.uuid4().hex}")
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def stage(*parts: DataFrame) -> DataFrame:
+    """The rows written to the shared folder and read again: later plans start here, and lost executors do not undo it.
+
+    Several frames of one schema become one table, each written by a job of its own, so that no task carries the plans of all.
+    """
+    spark = parts[0].sparkSession
+    root = scratch(spark)
+    for k, part in enumerate(parts):
+        part.select(parts[0].columns).write.parquet(f"{root}/{k}")
+    return spark.read.schema(parts[0].schema).parquet(*(f"{root}/{k}" for k in range(len(parts))))
 
 
 def delete_staged(df: DataFrame) -> None:

@@ -6,9 +6,12 @@ Records are numbered through all partitions, and a Feistel network over the next
 number of records, maps numbers to slots one to one. A shard holds ``slots`` consecutive slots in order, so record s is in shard
 s // slots at byte (s % slots) * stride: a reader can go on from any slot with one seek.
 
-Records are cut once and written to the shared folder with their partition and place in it; numbers, shards and manifest all come from
-that table, so it does not matter how ``documents`` would be split if it were read again (after an executor was lost or joined, say).
-One exchange carries each record to its shard's range, and the bytes of the shards must be those of all records.
+The payload of the records goes to the shards and nowhere else. A first pass over the scan cuts the records and writes all but their bytes,
+with the partition and place they were cut in: numbers, layout and manifest come from that table. A second pass cuts them again and sends
+each through one exchange to its shard's range. How files are split is pinned while both passes are planned, so it does not depend on the
+executors at hand, and each partition of the second pass compares the number and a running check sum of its records with those of the
+first; where they differ, and for ``documents`` that are no plain scan (there is an exchange in their plan), the records are written
+once with their bytes and the shards come from that table. The bytes of the shards must be those of all records.
 Shards go through Spark's text writer (the record end is its line end), so they need only a file system that Spark can reach, and a
 task's files appear when it commits.
 
@@ -23,6 +26,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass
 
 import numpy as np
@@ -31,7 +35,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from colmetry.llm.texts import plain, stage
+from colmetry.llm.texts import delete_staged, plain, remove, stage
 
 LENGTH, SLOTS, KEY, ROUNDS = 2048, 8192, 0x5DEECE66D, 6
 
@@ -112,70 +116,150 @@ def _records(batches: Iterator[pd.DataFrame], encoder: Encoder, length: int) ->
         yield cut(filled, owners, 1)
 
 
-def _cut(documents: DataFrame, length: int, encoder: Encoder) -> DataFrame:
-    """Records with the partition they were cut in and their place in it, written once."""
+def _texts(documents: DataFrame) -> DataFrame:
+    return documents.select("doc_id", plain("text").alias("text"))
+
+
+def _cut(documents: DataFrame, length: int, encoder: Encoder, payload: bool = True) -> DataFrame:
+    """Records with the partition they were cut in, their place in it and ``so_far``, a check sum of the partition up to there; written."""
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        part, place = TaskContext.get().partitionId(), 0
+        part, place, so_far = TaskContext.get().partitionId(), 0, 0
         for table, inside in _records(batches, encoder, length):
-            yield pd.DataFrame({
-                "part": part, "place": np.arange(place, place + len(table)), "n_ids": (table != encoder.fill).sum(axis=1),
-                "doc_ids": inside, "crc32": [zlib.crc32(r.tobytes()) for r in table], "payload": [r[:-1].tobytes() for r in table],
-            })
+            sums = []
+            for record in table:
+                so_far = zlib.crc32(record.tobytes(), so_far)
+                sums.append(so_far)
+            out = {"part": part, "place": np.arange(place, place + len(table)), "n_ids": (table != encoder.fill).sum(axis=1),
+                   "doc_ids": inside, "crc32": [zlib.crc32(r.tobytes()) for r in table], "so_far": sums}
+            yield pd.DataFrame(out | ({"payload": [r[:-1].tobytes() for r in table]} if payload else {}))
             place += len(table)
 
     ids = documents.schema["doc_id"].dataType.simpleString()
-    return stage(documents.select("doc_id", plain("text").alias("text")).mapInPandas(
-        cut, f"part int, place long, n_ids long, doc_ids array<{ids}>, crc32 long, payload binary"))
+    schema = f"part int, place long, n_ids long, doc_ids array<{ids}>, crc32 long, so_far long"
+    return stage(_texts(documents).mapInPandas(cut, schema + (", payload binary" if payload else "")))
+
+
+class SplitsDiffer(RuntimeError):
+    """A scan was not split as before, so its records have other numbers."""
+
+
+def _cut_again(documents: DataFrame, known: dict[int, tuple[int, int, int]], layout: Layout, key: int, encoder: Encoder) -> DataFrame:
+    """(shard, slot, payload) of the records, cut as ``known`` (first number, records, check sum by partition) says or not at all."""
+    held = documents.sparkSession.sparkContext.broadcast(known)
+
+    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        part, done, so_far = TaskContext.get().partitionId(), 0, 0
+        first, records, whole = held.value.get(part, (0, 0, 0))
+        for table, _ in _records(batches, encoder, layout.length):
+            for record in table:
+                so_far = zlib.crc32(record.tobytes(), so_far)
+            number = np.arange(first + done, first + done + len(table))
+            done += len(table)
+            if done > records:
+                break
+            slot = permute(number, layout.records, key)
+            yield pd.DataFrame({"shard": slot // layout.slots, "slot": slot, "payload": [r[:-1].tobytes() for r in table]})
+        if (done, so_far) != (records, whole):
+            raise SplitsDiffer(f"{_DIFFER}: partition {part} has other records than when they were numbered")
+
+    return _texts(documents).mapInPandas(cut, "shard long, slot long, payload binary")
+
+
+_DIFFER = "scan split anew"
+
+
+@contextmanager
+def _pinned(spark: SparkSession) -> Iterator[None]:
+    """Splits of files by size alone while plans are made, whatever executors come and go."""
+    name = "spark.sql.files.minPartitionNum"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, before or str(spark.sparkContext.defaultParallelism))
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(name)
+        else:
+            spark.conf.set(name, before)
 
 
 def _number(cut: DataFrame, before: dict[int, int], layout: Layout, key: int, payload: bool) -> DataFrame:
+    held = cut.sparkSession.sparkContext.broadcast(before)
+
     def number(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            record = np.fromiter((before[p] for p in batch["part"]), np.int64, len(batch)) + batch["place"].to_numpy()
+            record = np.fromiter((held.value[p] for p in batch["part"]), np.int64, len(batch)) + batch["place"].to_numpy()
             slot = permute(record, layout.records, key)
             out = {"record": record, "slot": slot, "shard": slot // layout.slots, "byte_offset": slot % layout.slots * layout.stride}
             yield pd.DataFrame(out | {c: batch[c] for c in batch.columns[2:]})
 
     ids = cut.schema["doc_ids"].dataType.simpleString()
     schema = f"record long, slot long, shard long, byte_offset long, n_ids long, doc_ids {ids}, crc32 long"
-    return (cut if payload else cut.drop("payload")).mapInPandas(number, schema + (", payload binary" if payload else ""))
+    columns = ["part", "place", "n_ids", "doc_ids", "crc32", *(["payload"] if payload else [])]
+    return cut.select(columns).mapInPandas(number, schema + (", payload binary" if payload else ""))
 
 
-def _layout(cut: DataFrame, length: int, slots: int, encoder: Encoder) -> tuple[dict[int, int], Layout]:
-    """First number of each partition, and the layout."""
-    before, total = {}, 0
-    for r in cut.groupBy("part").agg(F.count("*").alias("n"), F.max("place").alias("last")).orderBy("part").collect():
+def _layout(cut: DataFrame, length: int, slots: int, encoder: Encoder) -> tuple[dict[int, tuple[int, int, int]], Layout]:
+    """First number, records and check sum of each partition (one row each comes to the driver), and the layout."""
+    known, total = {}, 0
+    parts = cut.groupBy("part").agg(F.count("*").alias("n"), F.max("place").alias("last"), F.max_by("so_far", "place").alias("whole"))
+    for r in parts.orderBy("part").toLocalIterator():
         if r["n"] != r["last"] + 1:
             raise RuntimeError(f"partition {r['part']} has {r['n']} records, numbered up to {r['last']}")
-        before[r["part"]], total = total, total + r["n"]
-    return before, Layout(total, length, slots, encoder.width)
+        known[r["part"]], total = (total, r["n"], r["whole"]), total + r["n"]
+    return known, Layout(total, length, slots, encoder.width)
+
+
+def _firsts(known: dict[int, tuple[int, int, int]]) -> dict[int, int]:
+    return {part: first for part, (first, _, _) in known.items()}
 
 
 def plan(documents: DataFrame, length: int = LENGTH, slots: int = SLOTS, key: int = KEY, encoder: Encoder = Encoder(),
          payload: bool = True) -> tuple[DataFrame, Layout]:
     """Records of ``documents`` (columns doc_id, text): record, slot, shard, byte_offset, n_ids, doc_ids, crc32, and ``payload`` (the
     record's bytes without its end id) if asked for."""
-    cut = _cut(documents, length, encoder)
-    before, layout = _layout(cut, length, slots, encoder)
-    return _number(cut, before, layout, key, payload), layout
+    cut = _cut(documents, length, encoder, payload)
+    known, layout = _layout(cut, length, slots, encoder)
+    return _number(cut, _firsts(known), layout, key, payload), layout
+
+
+def _write(records: DataFrame, layout: Layout, path: str, encoder: Encoder) -> None:
+    """Shards of records (shard, slot, payload)."""
+    end = np.array([encoder.end], encoder.width).tobytes().decode("latin-1")
+    ranged = records.select("shard", "slot", F.col("payload").cast("string").alias("value")).repartitionById(
+        -(-layout.records // layout.slots), F.col("shard").cast("int")).sortWithinPartitions("shard", "slot")
+    ranged.select("shard", "value").write.partitionBy("shard").option("lineSep", end).option("encoding", "ISO-8859-1").text(path)
+    written = records.sparkSession.read.format("binaryFile").load(path).agg(F.sum("length")).first()[0]
+    if written != layout.records * layout.stride:
+        raise SplitsDiffer(f"{_DIFFER}: shards hold {written} bytes, not {layout.records} records of {layout.stride}")
+
+
+def _is_scan(documents: DataFrame) -> bool:
+    """Whether a second run reads the same rows in the same order, as far as splits are the same."""
+    return "Exchange" not in documents._jdf.queryExecution().executedPlan().toString()
 
 
 def materialise(documents: DataFrame, path: str, length: int = LENGTH, slots: int = SLOTS, key: int = KEY,
                 encoder: Encoder = Encoder()) -> tuple[DataFrame, Layout]:
     """Write the shards below ``path`` (folder shard=K each) and return the manifest of all records, without their bytes."""
-    cut = _cut(documents, length, encoder)
-    before, layout = _layout(cut, length, slots, encoder)
-    shards = -(-layout.records // slots)
-    if shards:
-        end = np.array([encoder.end], encoder.width).tobytes().decode("latin-1")
-        ranged = _number(cut, before, layout, key, payload=True).select(
-            "shard", "slot", F.col("payload").cast("string").alias("value")).repartitionById(
-            shards, F.col("shard").cast("int")).sortWithinPartitions("shard", "slot")
-        ranged.select("shard", "value").write.partitionBy("shard").option("lineSep", end).option("encoding", "ISO-8859-1").text(path)
-        written = documents.sparkSession.read.format("binaryFile").load(path).agg(F.sum("length")).first()[0]
-        if written != layout.records * layout.stride:
-            raise RuntimeError(f"shards hold {written} bytes, not {layout.records} records of {layout.stride}")
-    return _number(cut, before, layout, key, payload=False), layout
+    spark, again = documents.sparkSession, _is_scan(documents)
+    with _pinned(spark):
+        cut = _cut(documents, length, encoder, payload=not again)
+        known, layout = _layout(cut, length, slots, encoder)
+        if layout.records and again:
+            try:
+                _write(_cut_again(documents, known, layout, key, encoder), layout, path, encoder)
+            except Exception as error:  # a task's error comes as Spark's
+                if _DIFFER not in str(error):
+                    raise
+                again = False
+                remove(spark, path)
+                delete_staged(cut)
+                cut = _cut(documents, length, encoder)
+                known, layout = _layout(cut, length, slots, encoder)
+    if layout.records and not again:
+        _write(_number(cut, _firsts(known), layout, key, payload=True), layout, path, encoder)
+    return _number(cut, _firsts(known), layout, key, payload=False), layout
 
 
 def read_shards(spark: SparkSession, path: str, layout: Layout, first: int = 0, stop: int | None = None) -> DataFrame:

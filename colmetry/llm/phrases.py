@@ -13,8 +13,8 @@ that may hold a pair of that score, and counts their three-word phrases over the
 known, and whether they survive. A language is done when ``limit`` survivors score T or more (so the last one's ties do too) or T is 0;
 for the others the frontier doubles.
 
-Words travel as 64-bit hashes, which are checked: if two words of the corpus share one, another seed is taken. Tasks keep texts in parts of
-``PART`` tokens, count a part's n-grams with arrays, and Spark adds up. Which words or pairs are worth sending is told to tasks by a Bloom
+Words travel as 64-bit hashes, which are checked: if two words of the corpus share one, another seed is taken. Tasks hold about ``PART``
+tokens at a time, as numbers, count a part's n-grams with arrays, and Spark adds up. Which words or pairs are worth sending is told to tasks by a Bloom
 filter of at most ``FILTER_BITS`` bits: what passes it wrongly is only counted in vain, so the results do not depend on its size.
 """
 
@@ -114,34 +114,46 @@ def bloom_of(rows: DataFrame, columns: list[str]) -> Bloom:
 class Tokens:
     """Some texts of one language: ``codes`` of their words in order (-1 ends a piece) and ``words`` by code."""
 
-    def __init__(self, texts: list[list[bytes]]):
-        code: defaultdict[bytes, int] = defaultdict()
-        code.default_factory = code.__len__
-        codes: list[int] = []
-        for words in texts:
+    def __init__(self):
+        self._code: defaultdict[bytes, int] = defaultdict()
+        self._code.default_factory = self._code.__len__
+        self._codes: list[int] = []
+
+    def add(self, text: str) -> None:
+        code, codes = self._code, self._codes
+        for words in pieces(text):
             codes += [code[w] for w in words]
             codes.append(-1)
-        self.codes, self.words = np.array(codes, np.int64), list(code)
+
+    def __len__(self) -> int:
+        return len(self._codes)
+
+    @property
+    def codes(self) -> np.ndarray:
+        return np.array(self._codes, np.int64)
+
+    @property
+    def words(self) -> list[bytes]:
+        return list(self._code)
 
     def hashes(self, seed: int) -> np.ndarray:
-        return np.fromiter((xxhash.xxh64_intdigest(w, seed) for w in self.words), np.uint64, len(self.words))
+        return np.fromiter((xxhash.xxh64_intdigest(w, seed) for w in self._code), np.uint64, len(self._code))
 
 
 def _parts(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[str, Tokens]]:
-    """Texts of a partition by language, in parts of about ``PART`` tokens."""
-    held: defaultdict[str, list[list[bytes]]] = defaultdict(list)
-    size: defaultdict[str, int] = defaultdict(int)
+    """Texts of a partition by language; about ``PART`` tokens are held, and the language that has most of them leaves."""
+    held: defaultdict[str, Tokens] = defaultdict(Tokens)
+    total = 0
     for batch in batches:
         for lang, text in zip(batch["lang"], batch["text"]):
-            for words in pieces(text):
-                held[lang].append(words)
-                size[lang] += len(words)
-            if size[lang] >= PART or len(size) > 64 and sum(size.values()) >= PART:
-                for each in [lang] if size[lang] >= PART else list(held):
-                    yield each, Tokens(held.pop(each))
-                    size.pop(each)
-    for lang, texts in held.items():
-        yield lang, Tokens(texts)
+            before = len(held[lang])
+            held[lang].add(text)
+            total += len(held[lang]) - before
+            if total >= PART:
+                most = max(held, key=lambda k: len(held[k]))
+                total -= len(held[most])
+                yield most, held.pop(most)
+    yield from ((lang, tokens) for lang, tokens in held.items() if len(tokens))
 
 
 def _rows(documents: DataFrame) -> DataFrame:
@@ -152,8 +164,9 @@ def count_words(rows: DataFrame) -> tuple[DataFrame, int]:
     """Staged (lang, word, h, f) of every word, and the seed of its hashes, with which no two words of a language share one."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for lang, tokens in _parts(batches):
-            counts = np.bincount(tokens.codes[tokens.codes >= 0], minlength=len(tokens.words))
-            yield pd.DataFrame({"lang": lang, "word": [w.decode("utf-8") for w in tokens.words], "f": counts})
+            codes, words = tokens.codes, tokens.words
+            counts = np.bincount(codes[codes >= 0], minlength=len(words))
+            yield pd.DataFrame({"lang": lang, "word": [w.decode("utf-8") for w in words], "f": counts})
 
     counted = stage(rows.mapInPandas(run, "lang string, word string, f long").groupBy("lang", "word").agg(F.sum("f").alias("f")))
     for seed in range(100):

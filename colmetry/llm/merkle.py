@@ -4,8 +4,8 @@ A leaf is the digest of a row's columns. The leaves of a source, in order of id,
 run, and so on up to one node, the source's; the sources' nodes, in order of source, form a tree of the same kind above them.
 
 * Places of leaves come from a range partitioning and the number of rows in the partitions before, so no source is sorted in one task.
-* A level is one aggregate of runs (at most ``FANOUT`` nodes each); its row holds the node and, for each child, the digests to its left
-  and right: the child's pointer to its parent, with a segment of one step.
+* ``STEP`` levels come from one aggregate of at most ``FANOUT ** STEP`` nodes each. Each node gets a pointer to its parent, with a segment
+  of one step: the digests to its left and right.
 * Proofs: each node holds a pointer to an ancestor and the segment of siblings up to it. Joining the pointers with themselves, node's
   ancestor to ancestor's pointer, doubles the distance and concatenates the segments, until every leaf points to the root. The number
   of joins is the logarithm of the height. Nodes that no later join asks for are left out.
@@ -17,14 +17,12 @@ Digests travel as bytes and enter further digests as hexadecimal text.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from colmetry.llm.texts import delete_staged, stage
 
-FANOUT, SHARE = 3, 729
+FANOUT, STEP, SHARE = 3, 4, 729
 COLUMNS = ("doc_id", "source", "lang", "n_chars", "text")
 # Level of nodes above the sources' own trees; no source's tree is as high.
 ABOVE = 1000
@@ -65,40 +63,72 @@ def numbered(rows: DataFrame, tree: str, order: list[str]) -> DataFrame:
     return placed
 
 
-def _grow(nodes: DataFrame, base: int) -> tuple[list[DataFrame], DataFrame]:
-    """Levels above ``nodes`` (tree, idx, n, size, key, digest, row): a staged table of runs each, and the top node of every tree.
+def _grow(nodes: DataFrame, base: int) -> tuple[list[tuple[DataFrame, int]], DataFrame, int]:
+    """Levels above ``nodes`` (tree, idx, n, size, key, digest, row): staged tables of groups with the level they start from, the top node
+    of every tree, and the greatest height.
 
-    ``key`` (tree, level, idx) names a node, ``size`` are the leaves below it, ``row`` is what a leaf carries, null for others.
+    ``key`` (tree, level, idx) names a node, ``size`` are the leaves below it, ``row`` is what a leaf carries, null for others. A group
+    is what stands below one node ``STEP`` levels up, at most ``FANOUT ** STEP`` nodes; ``levels`` holds its nodes level by level.
     """
-    levels, tops, level = [], nodes.where("n = 1"), 0
+    groups, tops, level, height = [], nodes.where("n = 1"), base, 0
+    nothing = F.lit(None).cast(nodes.schema["row"].dataType).alias("row")
     while True:
-        child = F.struct("idx", "digest", "key", "size", "row")
-        runs = stage(nodes.where("n > 1").groupBy("tree", F.floor(F.col("idx") / FANOUT).alias("idx")).agg(
-            F.array_sort(F.collect_list(child)).alias("children"), F.max("n").alias("n"), F.sum("size").alias("size")))
-        if runs.isEmpty():
-            delete_staged(runs)
-            return levels, tops
-        level += 1
-        levels.append(runs)
-        joined = F.array_join(F.transform("children", lambda c: as_text(c.digest)), "")
-        nodes = runs.select(
-            "tree", "idx", F.ceil(F.col("n") / FANOUT).alias("n"), "size",
-            F.struct("tree", F.lit(base + level).alias("level"), "idx").alias("key"), digest(joined).alias("digest"),
-            F.lit(None).cast(nodes.schema["row"].dataType).alias("row"))
-        tops = tops.unionByName(nodes.where("n = 1"))
-
-
-def _pointers(runs: DataFrame, level: int) -> DataFrame:
-    """From every child of the runs to its parent, with the digests beside it."""
-    def beside(from_: Column, size: Column) -> Column:
-        return F.aggregate(F.slice("children", from_, size), F.lit(b""), lambda acc, c: F.concat(acc, c.digest))
-
-    at = F.posexplode("children").alias("at", "child")
-    rows = runs.select("*", at)
-    step = F.struct(beside(F.lit(1), F.col("at")).alias("left"), beside(F.col("at") + 2, F.size("children")).alias("right"))
-    return rows.select(
-        F.col("child.key").alias("key"), F.col("child.size").alias("size"), F.struct("tree", F.lit(level).alias("level"), "idx").alias("up"),
-        F.col("size").alias("up_size"), F.array(step).alias("steps"), F.col("child.row").alias("row"))
+        child = F.struct("idx", "digest", "size", "key", "row")
+        grouped = nodes.where("n > 1").groupBy("tree", F.floor(F.col("idx") / FANOUT ** STEP).alias("idx")).agg(
+            F.array_sort(F.collect_list(child)).alias("children"), F.max("n").alias("n"))
+        grouped = grouped.withColumn("level0", F.transform("children", lambda c: F.struct(c.digest.alias("digest"), c.size.alias("size"))))
+        for k in range(STEP):
+            grouped = grouped.withColumn(f"level{k + 1}", _joined(F.col(f"level{k}"), F.ceil(F.col("n") / FANOUT ** k) > 1))
+        table = stage(grouped.select(
+            "tree", "idx", "n", F.transform("children", lambda c: F.struct(c.key.alias("key"), c.row.alias("row"))).alias("children"),
+            F.array(*(f"level{k}" for k in range(STEP + 1))).alias("levels")))
+        largest = table.agg(F.max("n")).first()[0]
+        if largest is None:
+            delete_staged(table)
+            return groups, tops, height
+        groups.append((table, level))
+        # A tree ends where one node is left, else it goes on with the node that stands for each group.
+        done = F.size(F.filter("levels", lambda nodes: F.size(nodes) > 0)) - 1
+        last = F.element_at("levels", done + 1)[0]
+        ended = F.col("n") <= FANOUT ** STEP
+        following = table.select(
+            "tree", "idx", F.ceil(F.col("n") / FANOUT ** STEP).alias("n"), last.size.alias("size"),
+            F.struct("tree", (F.lit(level) + done).alias("level"), "idx").alias("key"), last.digest.alias("digest"), nothing, ended.alias("ended"))
+        tops = tops.unionByName(following.where("ended").drop("ended"))
+        nodes = following.where("not ended").drop("ended")
+        level, height = level + STEP, height + next(k for k in range(1, STEP + 1) if largest <= FANOUT ** k or k == STEP)
+
+
+def _joined(nodes: Column, more: Column) -> Column:
+    """The level above ``nodes``, none unless their tree has ``more`` nodes than one on this level."""
+    runs = F.transform(F.sequence(F.lit(0), F.floor((F.size(nodes) - 1) / FANOUT).cast("int")), lambda k: F.slice(nodes, k * FANOUT + 1, F.lit(FANOUT)))
+    above = F.transform(runs, lambda run: F.struct(
+        digest(F.array_join(F.transform(run, lambda c: as_text(c.digest)), "")).alias("digest"),
+        F.aggregate(run, F.lit(0).cast("long"), lambda acc, c: acc + c.size).alias("size")))
+    return F.when(more & (F.size(nodes) > 0), above).otherwise(F.slice(above, 1, 0))
+
+
+def _pointers(groups: DataFrame, level: int) -> DataFrame:
+    """From every node of the groups to its parent, with the digests beside it."""
+    def of(k: int) -> Column:
+        own, above, width = F.col("levels")[k], F.col("levels")[k + 1], FANOUT ** (STEP - k)
+
+        def beside(from_: Column, size: Column) -> Column:
+            return F.aggregate(F.slice(own, from_, size), F.lit(b""), lambda acc, c: F.concat(acc, c.digest))
+
+        def pointer(i: Column) -> Column:
+            run, at = F.floor(i / FANOUT).cast("int"), i % FANOUT
+            here = F.struct("tree", F.lit(level + k).alias("level"), (F.col("idx") * width + i).alias("idx"))
+            return F.struct(
+                (F.col("children")[i].key if k == 0 else here).alias("key"), own[i].size.alias("size"),
+                F.struct("tree", F.lit(level + k + 1).alias("level"), (F.col("idx") * (width // FANOUT) + run).alias("idx")).alias("up"),
+                above[run].size.alias("up_size"),
+                F.array(F.struct(beside(run * FANOUT + 1, at).alias("left"), beside(i + 2, F.lit(FANOUT - 1) - at).alias("right"))).alias("steps"),
+                (F.col("children")[i].row if k == 0 else F.lit(None).cast(groups.schema["children"].dataType.elementType["row"].dataType)).alias("row"))
+
+        return F.when(F.size(above) > 0, F.transform(F.sequence(F.lit(0), F.size(own) - 1), pointer)).otherwise(F.array())
+
+    return groups.select(F.inline(F.concat(*(of(k) for k in range(STEP)))))
 
 
 def _copies(size: Column) -> Column:
@@ -143,21 +173,20 @@ def manifest(documents: DataFrame, tampered: Column | None = None) -> DataFrame:
     # The encoded source, which is never null or empty, names a source's tree; the tree above them has an empty name.
     leaves = numbered(rows, "tree", ["doc_id", "leaf"])
     one, level = F.lit(1).cast("long"), F.lit(0).alias("level")
-    levels, tops = _grow(leaves.select(
+    groups, tops, height = _grow(leaves.select(
         "tree", "idx", "n", one.alias("size"), F.struct("tree", level, "idx").alias("key"), F.col("leaf").alias("digest"),
         F.struct("source", "doc_id", "leaf", "changed", "n").alias("row")), 0)
     names = leaves.where("idx = 0").select("tree", "source")
     sources = numbered(tops.join(names, "tree").select(F.lit("").alias("tree"), "source", "size", "key", "digest", "row"), "tree", ["source"])
-    above, top = _grow(sources.drop("source"), ABOVE)
+    above, top, more = _grow(sources.drop("source"), ABOVE)
     root = F.lit(next((bytes(r["digest"]) for r in top.select("digest").collect()), None)).cast("binary")
 
-    runs = [(t, k) for k, t in enumerate(levels, 1)] + [(t, k) for k, t in enumerate(above, ABOVE + 1)]
     alone = sources.where("size = 1 and n = 1").select(
         "key", "size", F.col("key").alias("up"), F.col("size").alias("up_size"), F.array().cast(STEPS).alias("steps"), "row")
-    pointers, far = stage(reduce(DataFrame.unionByName, [_pointers(t, k) for t, k in runs], alone)), 1
-    for table, _ in runs:
+    pointers, far = stage(alone, *(_pointers(t, k) for t, k in groups + above)), 1
+    for table, _ in groups + above:
         delete_staged(table)
-    while far < len(runs):
+    while far < height + more:
         jumped = stage(_jump(pointers, far))
         delete_staged(pointers)
         pointers, far = jumped, 2 * far

@@ -1,7 +1,7 @@
 """Documents to training shards: quality rules, near-duplicates, benchmark items, mixture, training order.
 
 Each stage takes (spark, docs, folder of tables) and returns what the next one reads; ``run`` writes every stage but the last to the
-shared folder, so a lost executor costs no more than its stage.
+shared folder, so a lost executor costs no more than its stage, and removes what the stage before wrote.
 """
 
 from __future__ import annotations
@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from colmetry.llm import decontamination, line_quality, mixing, simhash, training_order
-from colmetry.llm.texts import scratch, stage
+from colmetry.llm.texts import delete_staged, scratch, stage
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -48,6 +48,12 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    last = None
     for _, step in STAGES[:-1]:
         docs = stage(step(spark, docs, sf_dir))
-    return STAGES[-1][1](spark, docs, sf_dir)
+        if last is not None:
+            delete_staged(last)
+        last = docs
+    shards = STAGES[-1][1](spark, docs, sf_dir)
+    delete_staged(docs)
+    return shards

@@ -33,7 +33,10 @@ K1, B, BLOCK, RANGES = 1.2, 0.75, 16, 32
 INDEX_CHARS, BOUNDS = 32 << 20, 1 << 23
 WORDS_AT_ONCE = 400_000
 _ASCII = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
-_MARKS = re.compile("[ -¿ -⁯　-〿]".encode("utf-8").decode("utf-8"))
+# Marks beyond ASCII that part words: Latin signs, Armenian, Arabic, Devanagari, Myanmar, Ethiopic and Khmer marks, general punctuation,
+# those of Chinese and Japanese, and the full-width forms of ASCII's.
+_MARKS = re.compile("[\u00a0-\u00bf\u0589\u060c\u061b\u061f\u06d4\u0964\u0965\u104a\u104b\u1361-\u1368\u17d4-\u17d6\u2000-\u206f"
+                    "\u3000-\u303f\uff00-\uff0f\uff1a-\uff20\uff3b-\uff40\uff5b-\uff65]")
 
 
 def tokens(text: str) -> list[bytes]:
@@ -241,6 +244,6 @@ def _matcher(index):
 
 def decontaminate(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     """Documents without a verified match, columns as in ``documents``; rows with one id are one document."""
-    dirty = stage(find(documents, benchmark).select(F.col("doc_id").alias("_dirty")).distinct())
-    own = [F.col(f"`{c}`") for c in documents.columns]
-    return documents.join(dirty, F.col("doc_id").eqNullSafe(F.col("_dirty")), "left_anti").select(*own)
+    dirty = stage(find(documents, benchmark).select(F.col("doc_id").alias("dirty_id")).distinct())
+    rows = documents.select(F.struct(*(F.col(f"`{c}`") for c in documents.columns)).alias("row"), F.col("doc_id").alias("own_id"))
+    return rows.join(dirty, F.col("own_id").eqNullSafe(F.col("dirty_id")), "left_anti").select("row.*")

@@ -11,11 +11,11 @@ language are only predicted; without any learnable row everything is ``und``; an
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -25,7 +25,7 @@ from colmetry.llm.texts import fold, plain
 FOLDS, HELD_OUT = 4, 2
 PER_LANGUAGE, ORDER = 1500, 5
 ROUNDS = 12
-_LETTER = re.compile(r"[^\W\d_]")
+_LETTER = regex.compile(r"\p{L}")
 
 
 def shares(likelihood: list[np.ndarray], sizes: np.ndarray, active: np.ndarray, prior: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -3,10 +3,11 @@
 A line with a word fails as
 
 * navigation: two or more separators (``|``, ``»``, ``›``, ``•``, `` > ``), and more than one for every four words;
-* boilerplate: it has one of the fixed phrases of licences, consent banners and page furniture;
+* boilerplate: it has one of the fixed phrases of licences, consent banners and page furniture, and at most ``PHRASE_WORDS`` words for
+  each; a longer line only mentions them;
 * repetition: one word stands four times in a row;
 * punctuation: more than three in ten of its words end in symbol noise (one of ``#*$%&<>|`` or a doubled ``!`` or ``?``), or it has no
-  letter, or it has more than ten words and no sentence mark at all.
+  letter, or it has more than ten words and no mark that ends or parts sentences, of any script; Thai and Lao have none and are exempt.
 
 Blank lines neither count nor stay. A document is kept if it passes the base checks (ten words, at most a fifth of its words inside
 repeated five-word windows) and its remaining lines hold at least ``min_left`` of a hundred word characters.
@@ -28,6 +29,11 @@ BOILERPLATE = [
     "all rights reserved", "licensed under", "this work is licensed", "license, version", "cookie", "privacy policy", "terms of use",
     "terms of service", "enable javascript", "subscribe to our", "sign up for", "log in", "click here", "share this", "read more",
 ]
+PHRASE_WORDS = 20
+# Marks that end or part sentences, by script (Latin, Greek, Armenian, Arabic, Syriac, Devanagari, Tibetan, Myanmar, Ethiopic,
+# Khmer, Mongolian, general, Chinese and Japanese, half and full width).
+SENTENCE_MARKS = "[.!?…:;" "·;" "։՜՞" "؛؟۔" "܀܁܂" "।॥" "།༎" "၊။" "።፤፥፧፨" "។៕៖" "᠃᠉" "‼‽⁇⁈⁉" "。" "．！？：；｡]"
+UNMARKED = r"[\p{IsThai}\p{IsLao}]"
 SEPARATORS = r"[|»›•]| > "
 NOISY_WORD = r"(?:[#*$%&<>|]|[!?]{2,})(?=[\x20\x09-\x0D]|$)"
 WORD_RUN = r"(?:^|[\x20\x09-\x0D])([^\x20\x09-\x0D]+)(?:[\x20\x09-\x0D]+\1){3}(?:[\x20\x09-\x0D]|$)"
@@ -41,12 +47,14 @@ def line_fails(line: Column) -> Column:
     furniture = F.lit(False)
     for phrase in BOILERPLATE:
         furniture = furniture | F.contains(F.lower(line), F.lit(phrase))
+    # Phrases are counted only where there are any.
+    furniture = furniture & (F.regexp_count(F.lower(line), F.lit("|".join(BOILERPLATE))) * PHRASE_WORDS >= n)
     return (
         ((separators >= 2) & (separators * 4 > n))
         | (F.regexp_count(line, F.lit(NOISY_WORD)) * 10 > n * 3)
         | line.rlike(WORD_RUN)
         | ~line.rlike(r"\p{L}")
-        | ((n > 10) & ~line.rlike(r"[.!?…:;。]"))
+        | ((n > 10) & ~line.rlike(SENTENCE_MARKS) & ~line.rlike(UNMARKED))
         | furniture
     )
 

@@ -47,8 +47,9 @@ _LINE_FAILS = "\n    OR ".join([
     r"len(list_filter(range(1, len(w) - 2), lambda i: w[i] = w[i + 1] AND w[i] = w[i + 2] AND w[i] = w[i + 3])) > 0",
     r"10 * len(list_filter(w, lambda x: regexp_matches(x, '([#*$%&<>|]|[!?]{2,})$'))) > 3 * len(w)",
     r"NOT regexp_matches(line, '\p{L}')",
-    r"(len(w) > 10 AND NOT regexp_matches(line, '[.!?…:;。]'))",
-    "regexp_matches(lower(line), '" + "|".join(line_quality.BOILERPLATE) + "')",
+    rf"(len(w) > 10 AND NOT regexp_matches(line, '{line_quality.SENTENCE_MARKS}') AND NOT regexp_matches(line, '[\p{{Thai}}\p{{Lao}}]'))",
+    f"(len(regexp_extract_all(lower(line), '{'|'.join(line_quality.BOILERPLATE)}')) > 0 AND "
+    f"{line_quality.PHRASE_WORDS} * len(regexp_extract_all(lower(line), '{'|'.join(line_quality.BOILERPLATE)}')) >= len(w))",
 ])
 _OP6_SQL = rf"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),

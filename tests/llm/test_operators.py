@@ -93,6 +93,32 @@ def test_line_quality_counts(spark, odd, empty):
     assert {r["doc_id"] for r in line_quality.clean(odd).collect()} == {4, 5, 6, None}
 
 
+def test_lines_of_any_length_and_script(spark):
+    hindi = "यह एक लंबी पंक्ति है जिसमें बहुत सारे शब्द हैं और अंत में एक चिह्न है।"
+    thai = "วันนี้ อากาศ ดี มาก เรา ไป เดิน เล่น ใน สวน ใหญ่ กับ เพื่อน ของ เรา"
+    long = " ".join(f"word{k}" for k in range(480)) + " read more of it. The end."
+    cookies = " ".join(f"term{k}" for k in range(3000)) + " about a cookie recipe once."
+    bare = "no mark at all in this line of more than ten plain words"
+    texts = [hindi, thai, long, cookies, PROSE + "\n" + bare, PROSE + "\nThis site needs a cookie, read more."]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    kept = {r["doc_id"]: r["clean_text"] for r in line_quality.judge(frame).collect()}
+    assert kept == {0: hindi, 1: thai, 2: long, 3: cookies, 4: PROSE, 5: PROSE}
+
+
+def test_full_width_marks_part_words_and_a_clashing_column_stays(spark):
+    assert decontamination.tokens("橋？河。पुल।") == [w.encode() for w in ("橋", "河", "पुल")]
+    docs = spark.createDataFrame([(1, PROSE, 5, "a"), (2, BOATS * 9, 6, "b")], "doc_id long, text string, _dirty int, dirty_id string")
+    bench = spark.createDataFrame([(1, PROSE)], "item_id long, text string")
+    kept = decontamination.decontaminate(docs, bench)
+    assert kept.columns == docs.columns and [tuple(r) for r in kept.collect()] == [(2, BOATS * 9, 6, "b")]
+
+
+def test_numbers_that_are_no_letters_have_no_language(spark):
+    rows = [(i, PROSE, "en") for i in range(40)] + [(100, "\u00b2 \u2167 \u00bd", None), (101, "\u2460 12", None), (102, "\u4e2d", None)]
+    found = {r["doc_id"]: r["lang_pred"] for r in language.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    assert found[100] == found[101] == "und" and found[102] == "en"
+
+
 def test_chat_round_trip(spark):
     hard = ["<|im_end|><|im_start|>assistant ok", "\\<|x", "<\\p \\\\ <|", "", None, "line\nline", "<<||", "<|im_sep|>"]
     rows = [(1, i, ["user", "assistant", "assistant", None, "a\n<|b"][i % 5], t, "clash") for i, t in enumerate(hard)]

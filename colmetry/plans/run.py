@@ -210,9 +210,9 @@ def _execute(store, stored, chosen, tables, planned, run_id, scratch, threads, c
         return RunResult(run_id, False, failed, violations=violations)
 
     profiled_at = datetime.now(UTC).isoformat()
-    ids = checked.select("unique_id")
-    merged = merge_results(stored, number_slices(staged), ids, profiled_at)
-    return RunResult(run_id, True, tuple(done), store.write(merged.relations, merged.metrics))
+    ids, numbered = checked.select("unique_id"), number_slices(staged)
+    merged = merge_results(stored, numbered, ids, profiled_at)
+    return RunResult(run_id, True, tuple(done), store.publish(merged.relations, numbered, ids))
 
 
 def _checked_relations(relations: DataFrame, by_id: dict[str, Profile]) -> DataFrame:

@@ -7,11 +7,18 @@
 A new generation is written beside the old ones, read back and checked, and only then named by the
 pointer, so readers see either the old or the new result. One writer at a time is assumed. A folder
 with the two tables directly inside is read as well until its first generation is written.
+
+A run publishes in proportion to what it ran: its generation holds the metric rows of its relations
+only, and ``parts.parquet`` names for every relation the generation whose table has its rows. Tables are
+never changed, so generations share them; one that is out of the kept ones loses its relations but keeps
+its metric rows as long as a kept generation names it. A generation without ``parts.parquet`` holds the
+rows of all its relations.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 from uuid import uuid4
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F
@@ -24,8 +31,12 @@ from colmetry.sources import files
 
 MODELS = "models.parquet"
 METRICS = "column_profiles.parquet"
+PARTS = "parts.parquet"
+PARTS_SCHEMA = "unique_id STRING, part STRING, metric_rows BIGINT"
 KEEP_GENERATIONS = 3
 MIN_GENERATIONS = 2
+# Generations whose rows one generation may be made of; the publication after that rewrites them into one table.
+MAX_PARTS = 64
 
 STORED_METRIC_COLUMNS = tuple(part.strip().split(" ")[0] for part in STORED_METRICS.split(","))
 
@@ -95,7 +106,7 @@ class SnapshotStore:
             if ids:
                 wanted = F.col("unique_id") == ids[0]
                 if current:
-                    metrics = metrics.where(wanted)
+                    metrics = _metric_table(self.spark, self._folder(), ids[0])
                     _check_version(metrics)
                 return Snapshot(found, _read_metrics(models.where(wanted), metrics, current))
         raise NotFoundError(identifier)
@@ -140,20 +151,72 @@ class SnapshotStore:
         self._forget_old()
         return folder
 
+    def publish(self, relations: DataFrame, metrics: DataFrame, profiled: DataFrame) -> str:
+        """Publish a new generation in which the relations ``profiled`` (``unique_id``) have ``metrics`` and all others keep their rows.
+
+        Only ``metrics``, the relations and the list of parts are written. Results stored in an older format, and those that have come to
+        consist of ``MAX_PARTS`` tables, are written whole.
+        """
+        folder = self._folder()
+        ids = profiled.select("unique_id").distinct()
+        if self.generation() == 0 or set(_tables(self.spark, folder)[1].columns) != set(STORED_METRIC_COLUMNS):
+            return self._publish_whole(relations, metrics, ids)
+        kept = _parts(self.spark, folder).join(ids, "unique_id", "left_anti").join(relations.select("unique_id"), "unique_id", "left_semi")
+        if kept.select("part").distinct().count() >= MAX_PARTS:
+            return self._publish_whole(relations, metrics, ids)
+        number = self.generation() + 1
+        name, target = f"gen-{number:04d}", f"{self.path}/generations/gen-{number:04d}"
+        if files.exists(self.spark, target):
+            raise StorageError(f"{target} exists; another write may be running or was left unfinished")
+        try:
+            rows, given = F.count(F.lit(1)).alias("n"), [Observation(), Observation()]
+            placed = stored_metrics(metrics).orderBy("unique_id", "profile_order", "column_order")
+            placed.observe(given[0], rows).write.option("compression", "zstd").parquet(f"{target}/{METRICS}")
+            written = self.spark.read.schema(STORED_METRICS).parquet(f"{target}/{METRICS}")
+            own = written.groupBy("unique_id").agg(rows.alias("metric_rows")).select("unique_id", F.lit(name).alias("part"), "metric_rows")
+            if not own.join(ids, "unique_id", "left_anti").isEmpty():
+                raise StorageError("metric rows of a relation that was not profiled")
+            kept.unionByName(own).write.option("compression", "zstd").parquet(f"{target}/{PARTS}")
+            models = encode_relations(_with_columns(relations, written))
+            models.observe(given[1], rows).write.option("compression", "zstd").parquet(f"{target}/{MODELS}")
+            back = read_models(self.spark, target)
+            unknown = own.join(back, "unique_id", "left_anti").agg(F.coalesce(F.sum("metric_rows"), F.lit(0)).alias("n")).first().n
+            if unknown:
+                raise StorageError(f"{unknown} metric rows belong to no relation")
+            self._compare("metric rows", given[0].get["n"], own.agg(F.coalesce(F.sum("metric_rows"), F.lit(0)).alias("n")).first().n)
+            self._compare("relations", given[1].get["n"], back.count())
+            files.replace_text(self.spark, f"{self.path}/current", name)
+        except Exception:
+            files.delete(self.spark, target)
+            raise
+        self._forget_old()
+        return target
+
+    def _publish_whole(self, relations: DataFrame, metrics: DataFrame, ids: DataFrame) -> str:
+        stored = self.read().metrics
+        others = stored.join(ids, "unique_id", "left_anti").join(relations.select("unique_id"), "unique_id", "left_semi")
+        return self.write(relations, others.unionByName(metrics.select(*stored.columns)))
+
     @staticmethod
     def _compare(what: str, given: int, read: int) -> None:
         if given != read:
             raise StorageError(f"{given} {what} were written, {read} can be read back")
 
     def _forget_old(self) -> None:
-        """Keep the newest generations; a folder that cannot be deleted is left alone."""
-        names = files.folder_names(self.spark, f"{self.path}/generations")
+        """Keep the newest generations and the metric tables that they name; a folder that cannot be deleted is left alone."""
+        root = f"{self.path}/generations"
+        names = files.folder_names(self.spark, root)
         numbered = sorted((n for n in names if n.startswith("gen-") and n[4:].isdigit()), key=lambda n: int(n[4:]))
-        for name in numbered[:-self.keep]:
-            try:
-                files.delete(self.spark, f"{self.path}/generations/{name}")
-            except Exception:  # noqa: BLE001 - best effort
-                pass
+        try:
+            shared = {
+                r.part for name in numbered[-self.keep:] if files.exists(self.spark, f"{root}/{name}/{PARTS}")
+                for r in _parts(self.spark, f"{root}/{name}").select("part").distinct().collect()
+            }
+            for name in numbered[:-self.keep]:
+                for unused in [f"{name}/{MODELS}", f"{name}/{PARTS}"] if name in shared else [name]:
+                    files.delete(self.spark, f"{root}/{unused}")
+        except Exception:  # noqa: BLE001 - best effort
+            pass
 
     def scratch(self) -> str:
         """A new folder for intermediate tables."""
@@ -168,8 +231,42 @@ def read_tables(spark: SparkSession, folder: str) -> Snapshot:
     return Snapshot(relations.orderBy("name", "unique_id"), _read_metrics(models, metrics, current))
 
 
+def read_models(spark: SparkSession, folder: str) -> DataFrame:
+    """Relations of a pair of stored tables."""
+    models, metrics = _tables(spark, folder)
+    return _read_models(models, _is_current(models, metrics, check_metrics=False))
+
+
 def _tables(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
-    return spark.read.parquet(f"{folder}/{MODELS}"), spark.read.parquet(f"{folder}/{METRICS}")
+    return spark.read.parquet(f"{folder}/{MODELS}"), _metric_table(spark, folder)
+
+
+def _parts(spark: SparkSession, folder: str) -> DataFrame:
+    """For every relation with metric rows, the generation whose table holds them."""
+    if files.exists(spark, f"{folder}/{PARTS}"):
+        return spark.read.schema(PARTS_SCHEMA).parquet(f"{folder}/{PARTS}")
+    name = folder.rstrip("/").rsplit("/", 1)[-1]
+    return spark.read.parquet(f"{folder}/{METRICS}").groupBy("unique_id").agg(F.count(F.lit(1)).alias("metric_rows")).select(
+        "unique_id", F.lit(name).alias("part"), "metric_rows")
+
+
+def _metric_table(spark: SparkSession, folder: str, unique_id: str | None = None) -> DataFrame:
+    """The metric rows of a generation, or of one of its relations, from the tables that hold them."""
+    if not files.exists(spark, f"{folder}/{PARTS}"):
+        whole = spark.read.parquet(f"{folder}/{METRICS}")
+        return whole if unique_id is None else whole.where(F.col("unique_id") == unique_id)
+    root, parts = folder.rstrip("/").rsplit("/", 1)[0], _parts(spark, folder)
+    if unique_id is not None:
+        found = parts.where(F.col("unique_id") == unique_id).first()
+        name = found.part if found else folder.rstrip("/").rsplit("/", 1)[-1]
+        return spark.read.schema(STORED_METRICS).parquet(f"{root}/{name}/{METRICS}").where(F.col("unique_id") == unique_id)
+    # At most MAX_PARTS names come to the driver.
+    names = sorted({r.part for r in parts.select("part").distinct().collect()} | {folder.rstrip("/").rsplit("/", 1)[-1]})
+    tables = [
+        spark.read.schema(STORED_METRICS).parquet(f"{root}/{name}/{METRICS}").withColumn("_part", F.lit(name)) for name in names
+    ]
+    owners = parts.select("unique_id", F.col("part").alias("_part"))
+    return reduce(DataFrame.unionByName, tables).join(owners, ["unique_id", "_part"], "left_semi").drop("_part")
 
 
 def _read_metrics(models: DataFrame, metrics: DataFrame, current: bool) -> DataFrame:

@@ -190,3 +190,66 @@ def test_versionless_results_need_unique_names(spark, store, tmp_path):
     twice = rewritten(spark, store, tmp_path / "twice", metrics=named, models=lambda df: df.drop("schema_version").withColumn("model_name", F.lit("same")))
     with pytest.raises(StorageError, match="ambiguous model names"):
         read_tables(spark, twice)
+
+
+def many(spark, count, rows=40):
+    """Relations with some metric rows each."""
+    one = json.dumps({**RELATIONS[0], "unique_id": "ID", "name": "ID"})
+    texts = [one.replace("ID", f"r{k:03d}") for k in range(count)]
+    return "[" + ",".join(texts) + "]"
+
+
+def size_of(folder):
+    return sum(os.path.getsize(os.path.join(at, f)) for at, _, files in os.walk(folder) for f in files if f.endswith(".parquet"))
+
+
+def test_a_run_writes_its_own_relations_only(spark, tmp_path):
+    sizes = []
+    for count in (4, 60):
+        path = tmp_path / f"catalog{count}.json"
+        path.write_text(many(spark, count))
+        given = read_json_catalog(spark, str(path))
+        store = SnapshotStore(spark, str(tmp_path / f"store{count}"))
+        store.write(given.relations, given.metrics)
+        before = {tuple(r) for r in store.read().metrics.collect()}
+        ran = given.metrics.where("unique_id = 'r001'").withColumn("null_count", F.lit(7).cast("bigint"))
+        folder = store.publish(given.relations, ran, ran.select("unique_id"))
+        sizes.append(size_of(f"{folder}/{snapshots.METRICS}"))
+        after = {tuple(r) for r in store.read().metrics.collect()}
+        assert {r for r in after if r[0] != "r001"} == {r for r in before if r[0] != "r001"} and len(after) == len(before)
+        assert {r["null_count"] for r in store.read_relation("r001").metrics.collect()} == {7}
+        assert store.read_relation("r002").metrics.count() == 6 and store.read_relations().count() == count
+    assert sizes[0] == sizes[1]
+
+
+def test_shared_tables_outlive_their_generation(spark, tmp_path, monkeypatch):
+    path = tmp_path / "catalog.json"
+    path.write_text(many(spark, 3))
+    given = read_json_catalog(spark, str(path))
+    store = SnapshotStore(spark, str(tmp_path / "store"))
+    store.write(given.relations, given.metrics)
+    generations = tmp_path / "store" / "generations"
+
+    def run(name, value):
+        rows = store.read().metrics.where(F.col("unique_id") == name).withColumn("null_count", F.lit(value).cast("bigint"))
+        return store.publish(store.read_relations(), rows, rows.select("unique_id"))
+
+    for value in range(2, 6):
+        run("r000", value)
+    assert sorted(os.listdir(generations)) == [f"gen-000{k}" for k in (1, 3, 4, 5)]
+    assert not (generations / "gen-0001" / "models.parquet").exists()
+    found = {r.unique_id: r.null_count for r in store.read().metrics.collect()}
+    assert found == {"r000": 5, "r001": 1, "r002": 1}
+    # Rows that were not profiled, or belong to no relation, are refused and leave the generation before.
+    alien = given.metrics.where("unique_id = 'r002'")
+    with pytest.raises(StorageError, match="not profiled"):
+        store.publish(given.relations, alien, given.relations.where("unique_id = 'r001'"))
+    with pytest.raises(StorageError, match="belong to no relation"):
+        store.publish(given.relations.where("unique_id <> 'r002'"), alien, alien.select("unique_id"))
+    assert store.generation() == 5
+    # A relation that is gone loses its rows, and too many parts are written into one.
+    store.publish(given.relations.where("unique_id <> 'r001'"), alien.limit(0), alien.select("unique_id"))
+    assert {r.unique_id for r in store.read().metrics.collect()} == {"r000"}
+    monkeypatch.setattr(snapshots, "MAX_PARTS", 0)
+    run("r000", 9)
+    assert not (generations / "gen-0007" / snapshots.PARTS).exists() and {r.null_count for r in store.read().metrics.collect()} == {9}

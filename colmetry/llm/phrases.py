@@ -308,10 +308,9 @@ def mine(documents: DataFrame, limit: int = LIMIT, least: int = LEAST, frontier:
         return words.select("lang", F.col("h").alias(place), F.col("word").alias(f"w{place}"))
 
     phrases = _surviving(pairs, triples)
-    # Scores alone say which phrases can be among the first: at most the limit and its ties get their words.
-    cut = phrases.select("lang", "score", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("score"))).alias("place")).where(
-        F.col("place") <= limit).groupBy("lang").agg(F.min("score").alias("last"))
-    top = stage(phrases.join(cut, "lang").where("score >= last").drop("last"))
+    # Steps of scores tell which phrases can be among the first: little more than the limit and its ties are spelt and ordered.
+    last = _thresholds(phrases.select("lang", "score"), phrases.groupBy("lang").agg(F.lit(limit).cast("long").alias("frontier")))
+    top = stage(phrases.join(last, "lang").where("score >= t").drop("t"))
     spelt = top.join(named("h1"), ["lang", "h1"]).join(named("h2"), ["lang", "h2"]).join(named("h3"), ["lang", "h3"], "left")
     ordered = spelt.select("lang", F.concat_ws(" ", "wh1", "wh2", "wh3").alias("phrase"), "a", "l", "r", "score")
     order = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")

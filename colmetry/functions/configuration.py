@@ -56,14 +56,14 @@ def profiling_struct(raw: Column) -> Column:
         F.coalesce(raw["enabled"], F.lit(False)).alias("enabled"),
         F.coalesce(raw["dimensions"], F.array().cast("array<string>")).alias("dimensions"),
         F.when(values > 0, values).otherwise(
-            _refuse("max_dimension_values must be greater than 0").cast("bigint")
+            _refuse("max_dimension_values is zero or negative").cast("bigint")
         ).alias("max_dimension_values"),
         F.coalesce(byte_size(limit), F.when(limit.isNotNull(), _refuse(
-            "max_bytes_billed must be a byte count or a size such as '10 GB' or '8 GiB'"
+            "max_bytes_billed is no size: give bytes, or a number and a unit as in 10 GB or 8 GiB"
         ).cast("bigint"))).alias("max_bytes_billed"),
         F.coalesce(raw["treat_empty_string_as_null"], F.lit(False)).alias("treat_empty_string_as_null"),
         F.coalesce(F.nullif(F.regexp_replace(where, r"^\s+|\s+$", ""), F.lit("")), F.when(where.isNotNull(), _refuse(
-            "where must be a non-empty SQL condition without the WHERE keyword"
+            "where is blank: give a SQL condition without the word WHERE"
         ).cast("string"))).alias("where"),
     )
 

@@ -54,7 +54,7 @@ def row_scope(df: DataFrame, where: str | None) -> DataFrame:
     if where is None:
         return df
     if not isinstance(where, str) or not where.strip():
-        raise ProfileError("where must be a non-empty SQL condition without the WHERE keyword")
+        raise ProfileError(f"where is a SQL condition without the word WHERE, not {where!r}")
     return df.where(F.expr(where.strip()))
 
 

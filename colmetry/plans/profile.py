@@ -66,7 +66,7 @@ def _guard(
 ) -> tuple[list[str], list[DimensionSkip], StringGroups | None]:
     """Dimensions kept and skipped, by their columns' names, and with ``keep`` the groups that were counted, written for further use."""
     if max_dimension_values <= 0:
-        raise ProfileError("max_dimension_values must be greater than 0")
+        raise ProfileError(f"max_dimension_values is {max_dimension_values}, which leaves no dimension")
     profiled, _ = resolve_columns(df, columns)
     resolved = [resolve_dimension(df, profiled, name) for name in dimensions]
     names = [c.name for c in resolved]

@@ -86,7 +86,7 @@ def run(
     ``threads`` relations are submitted at a time; small relations then share the cluster.
     """
     if threads < 1:
-        raise ProfileError("threads must be at least 1")
+        raise ProfileError(f"a run needs one thread or more, not {threads}")
     spark = store.spark
     stored = store.read()
     # Each relation is a table with jobs of its own, so the driver walks over the relations.

@@ -15,11 +15,11 @@ def enabled_relations(relations: DataFrame, selector: str | None = None) -> Data
         enabled = enabled.where((F.col("name") == selector) | (F.col("unique_id") == selector))
     found = enabled.select("unique_id").limit(2).count()
     if selector and found > 1:
-        raise AmbiguousError("ambiguous selector; use a unique_id")
+        raise AmbiguousError(f"several enabled relations are called {selector!r}; pick one by its unique_id")
     if selector and not found:
-        raise ProfileError(f"selector did not match an enabled relation: {selector}")
+        raise ProfileError(f"{selector!r} did not match any relation that has profiling on")
     if not found:
-        raise ProfileError("no relations have profiling enabled")
+        raise ProfileError("no relations to run: profiling is off for all of them")
     return enabled
 
 
@@ -62,7 +62,7 @@ def relation_costs(planned: DataFrame) -> DataFrame:
         F.coalesce(uneven, F.lit(False)).alias("_uneven"),
     )
     checked = F.when(
-        F.col("_uneven"), F.raise_error(F.concat(F.lit("inconsistent max_bytes_billed for "), "unique_id"))
+        F.col("_uneven"), F.raise_error(F.concat(F.lit("its tasks disagree on the scan limit: "), "unique_id"))
     ).otherwise(F.col("max_bytes_billed"))
     return cost.withColumn("max_bytes_billed", checked.cast("bigint")).withColumn(
         "executable",

@@ -192,7 +192,7 @@ def resolve_dimension(df: DataFrame, columns: Sequence[ProfiledColumn], name: st
     if not found and df.sparkSession.conf.get("spark.sql.caseSensitive") != "true":
         found = [c for c in columns if c.name.lower() == name.lower()]
     if not found:
-        raise ProfileError(f"dimension column not found: {name}")
+        raise ProfileError(f"dimension {name!r} not found among the supported columns")
     if found[0].data_type not in DIMENSION_TYPES:
-        raise ProfileError(f"dimension must be DATE, DATETIME, TIMESTAMP or STRING, got {found[0].data_type}")
+        raise ProfileError(f"dimension must be DATE, DATETIME, TIMESTAMP or STRING, but {name!r} is {found[0].data_type}")
     return found[0]

@@ -138,7 +138,7 @@ def _entries(manifests: DataFrame) -> DataFrame:
     """One row per node and source. A manifest without a project name raises."""
     name = F.coalesce(
         F.nullif(F.col("metadata.project_name"), F.lit("")),
-        F.raise_error(F.lit("manifest metadata.project_name is missing")),
+        F.raise_error(F.lit("cannot import a manifest whose metadata.project_name is missing")),
     )
 
     def listed(field: str, is_source: bool) -> Column:

@@ -102,7 +102,7 @@ class SnapshotStore:
             found = relations.where(F.col(field) == identifier)
             ids = [row.unique_id for row in found.select("unique_id").limit(2).collect()]
             if len(ids) > 1:
-                raise AmbiguousError("ambiguous relation name; use its unique_id")
+                raise AmbiguousError(f"several relations are called {identifier!r}; look one up by its unique_id")
             if ids:
                 wanted = F.col("unique_id") == ids[0]
                 if current:
@@ -281,12 +281,12 @@ def _is_current(models: DataFrame, metrics: DataFrame, check_metrics: bool = Tru
     """Check the schema versions; False for the format that had none."""
     versioned = ["schema_version" in df.columns for df in (models, metrics)]
     if versioned[0] != versioned[1]:
-        raise StorageError("inconsistent profile storage schema versions")
+        raise StorageError("relations and metric rows are of inconsistent formats: only one of the tables states a version")
     if versioned[0]:
         for df in (models, metrics) if check_metrics else (models,):
             _check_version(df)
         if "unique_id" not in metrics.columns:
-            raise StorageError("profile storage is missing unique_id")
+            raise StorageError("the metric rows state a version but have no unique_id")
     return versioned[0]
 
 
@@ -294,7 +294,7 @@ def _check_version(df: DataFrame) -> None:
     # Row groups whose statistics hold the known version only are not even read.
     other = (F.col("schema_version") != SCHEMA_VERSION) | F.col("schema_version").isNull()
     if df.where(other).limit(1).count():
-        raise StorageError("unsupported profile storage schema version")
+        raise StorageError(f"results are stored in an unsupported version; this library reads version {SCHEMA_VERSION}")
 
 
 def _read_models(models: DataFrame, current: bool) -> DataFrame:
@@ -305,9 +305,9 @@ def _read_models(models: DataFrame, current: bool) -> DataFrame:
     }
     filled = models.withColumns({n: v for n, v in missing.items() if n not in models.columns})
     if duplicates(filled, "unique_id"):
-        raise StorageError("duplicate relation unique_id in storage")
+        raise StorageError("duplicate relation unique_id among the relations to store or read")
     if not current and duplicates(filled, "model_name"):
-        raise StorageError("legacy storage has ambiguous model names; import into a new folder and profile again")
+        raise StorageError("results without a version have ambiguous model names; import the relations into another folder and run again")
     return decode_relations(filled)
 
 

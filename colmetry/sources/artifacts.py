@@ -76,13 +76,24 @@ def projects(manifests: DataFrame, catalogs: DataFrame) -> DataFrame:
 
 
 def relations(manifests: DataFrame, catalogs: DataFrame) -> DataFrame:
-    """Models and sources of each project's own package, one row each, plus ``project``."""
-    nodes = _entries(manifests).where(
-        (F.col("is_source") | (F.col("node.resource_type") == "model"))
-        & (F.col("node.package_name") == F.col("project_name"))
-    )
-    described = nodes.join(_catalog_columns(catalogs), ["project", "is_source", "unique_id"], "left")
-    tested = described.join(tests(manifests), ["project", "unique_id"], "left")
+    """Models and sources of each project's own package, one row each, plus ``project``.
+
+    A manifest is read once: its nodes, and the labels of its tests for every node they depend on, leave one generator as tagged rows
+    and meet in one exchange.
+    """
+    own = (F.col("is_source") | (F.col("node.resource_type") == "model")) & (F.col("node.package_name") == F.col("project_name"))
+    entries = _entries(manifests).where(own | _is_test())
+    kinds = {name: entries.schema[name].dataType for name in ("node", "is_source")}
+    label_rows = F.transform("node.depends_on.nodes", lambda unique_id, place: F.struct(
+        unique_id.alias("unique_id"), *[F.lit(None).cast(kind).alias(name) for name, kind in kinds.items()],
+        F.struct("position", place.alias("dependency"), _test_label().alias("label")).alias("test")))
+    node_row = F.struct(F.col("node.unique_id").alias("unique_id"), "node", "is_source", F.lit(None).cast(
+        "struct<position:int,dependency:int,label:string>").alias("test"))
+    tagged = entries.select("project", F.inline(F.when(_is_test(), label_rows).otherwise(F.array(node_row))))
+    nodes = tagged.groupBy("project", "unique_id").agg(
+        F.first("node", ignorenulls=True).alias("node"), F.bool_or("is_source").alias("is_source"),
+        F.array_sort(F.collect_list("test")).alias("_tests")).where("node IS NOT NULL").withColumn("tests", F.col("_tests.label"))
+    tested = nodes.join(_catalog_columns(catalogs), ["project", "is_source", "unique_id"], "left")
     node, source = F.col("node"), F.col("is_source")
     database = F.coalesce(node["database"], F.lit(""))
     schema = F.coalesce(node["schema"], F.lit(""))
@@ -114,13 +125,19 @@ def relations(manifests: DataFrame, catalogs: DataFrame) -> DataFrame:
     )
 
 
+def _is_test() -> Column:
+    return ~F.col("is_source") & (F.col("node.resource_type") == "test")
+
+
+def _test_label() -> Column:
+    named = F.coalesce(F.nullif("node.test_metadata.name", F.lit("")), F.col("node.name"), F.lit("test"))
+    return F.concat_ws(".", F.nullif(F.col("node.test_metadata.namespace"), F.lit("")), named)
+
+
 def tests(manifests: DataFrame) -> DataFrame:
     """Labels of the tests that depend on each node, in manifest order."""
-    named = F.coalesce(F.nullif("node.test_metadata.name", F.lit("")), F.col("node.name"), F.lit("test"))
-    namespace = F.nullif(F.col("node.test_metadata.namespace"), F.lit(""))
-    found = _entries(manifests).where("NOT is_source AND node.resource_type = 'test'").select(
-        "project", "position", F.concat_ws(".", namespace, named).alias("label"),
-        F.posexplode("node.depends_on.nodes").alias("dependency", "unique_id"),
+    found = _entries(manifests).where(_is_test()).select(
+        "project", "position", _test_label().alias("label"), F.posexplode("node.depends_on.nodes").alias("dependency", "unique_id"),
     )
     # The labels of one node; this list is the result itself.
     return found.groupBy("project", "unique_id").agg(

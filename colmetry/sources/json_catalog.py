@@ -9,6 +9,7 @@ from colmetry.functions.json_text import normal_columns
 from colmetry.operators.aggregate import rate
 from colmetry.schema import COLUMNS_TYPE, RELATION_COLUMNS, normalize_type_col
 from colmetry.sources.artifacts import PROFILING
+from colmetry.sources.files import staged
 from colmetry.sources.snapshots import STORED_METRIC_COLUMNS, Snapshot
 
 _METRICS = (
@@ -27,8 +28,8 @@ CATALOG_ROW = (
 
 
 def read_json_catalog(spark: SparkSession, path: str) -> Snapshot:
-    """Read one or many files, each a JSON array of relations with nested profiles."""
-    return from_nested(spark.read.schema(CATALOG_ROW).json(path, multiLine=True, mode="FAILFAST"))
+    """Read one or many files, each a JSON array of relations with nested profiles. They are parsed once, into the scratch folder."""
+    return from_nested(staged(spark.read.schema(CATALOG_ROW).json(path, multiLine=True, mode="FAILFAST")))
 
 
 def from_nested(nested: DataFrame) -> Snapshot:

@@ -208,7 +208,7 @@ def nested_json(spark, folder) -> DataFrame:
     lines = table(spark, folder, "orders").selectExpr(f"{_ORDER_JSON} AS text")
     # inline() parses each text once, however many of its fields are used.
     nested = lines.select(F.inline(F.array(F.from_json("text", CATALOG_ROW, {"mode": "FAILFAST"}))))
-    read = from_nested(nested)
+    read = from_nested(files.staged(nested))
     named = read.relations.select("unique_id", F.col("profiling.max_bytes_billed").alias("limit_bytes"))
     return read.metrics.join(named, "unique_id").select(
         "unique_id", "limit_bytes", "record_count", "column_order", "column_name", "column_type", "null_count", "missing_count",

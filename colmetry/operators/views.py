@@ -212,16 +212,17 @@ def missing_matrix(metrics: DataFrame) -> DataFrame:
     ``has_data`` false and no rate. Input needs ``treat_empty_string_as_null``.
     """
     cells = effective_missing(metrics.where("dimension_name IS NOT NULL"))
-    # Both maps and arrays here hold at most one entry per column of the relation.
+    # One entry per column of the relation. Slices and the dimension's columns both come from these groups, through one exchange.
     by_slice = cells.groupBy(*SLICE).agg(
-        F.map_from_entries(F.collect_list(F.struct("column_name", "effective_rate"))).alias("_rates")
+        F.collect_list(F.struct("column_order", "column_name", "effective_rate")).alias("_cells")
     )
-    columns = cells.groupBy(*DIMENSION).agg(
+    columns = by_slice.select(*DIMENSION, F.inline("_cells")).groupBy(*DIMENSION).agg(
         F.array_sort(F.collect_set(F.struct("column_order", "column_name"))).alias("_columns")
     )
+    rates = F.map_from_entries(F.transform("_cells", lambda c: F.struct(c["column_name"], c["effective_rate"])))
     return (
         by_slice.join(columns, list(DIMENSION))
-        .select(*SLICE, "_rates", F.inline("_columns"))
+        .select(*SLICE, rates.alias("_rates"), F.inline("_columns"))
         .select(*SLICE, "column_order", "column_name",
                 F.map_contains_key("_rates", F.col("column_name")).alias("has_data"),
                 F.try_element_at("_rates", F.col("column_name")).alias("missing_rate"))

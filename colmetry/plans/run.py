@@ -259,8 +259,9 @@ def _task_outcomes(planned, by_id, rows, ended: bool) -> list[TaskResult]:
                     distinct_values=skip.distinct_values, maximum_allowed=skip.maximum_allowed,
                 ))
             else:
+                # What was read is not known: Spark does not tell the driver's Python, and the estimate is no measurement.
                 done.append(replace(
-                    task, status="succeeded", bytes_processed=task.estimated_bytes,
+                    task, status="succeeded",
                     row_count=0 if ended else rows.get((task.unique_id, task.dimension), 0),
                 ))
     return done

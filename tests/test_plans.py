@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from colmetry import profile, profile_columns, validate
+from colmetry.operators.views import missing_matrix
 from colmetry.sources.files import staged
 
 LINEITEM = "/root/testdata/sf0.001/lineitem.parquet"
@@ -95,3 +96,13 @@ def test_checks_read_metrics_and_relations_once_each_way(spark, lineitem):
     assert plan.count("ReadSchema") == 1
     for costly in ("NestedLoop", "Cartesian", "Window"):
         assert costly not in plan
+
+
+def test_matrix_reads_the_metrics_through_one_exchange(lineitem):
+    metrics = staged(profile_columns(lineitem, ["l_returnflag"]).withColumn("unique_id", F.lit("r")).withColumn(
+        "treat_empty_string_as_null", F.lit(False)))
+    frame = missing_matrix(metrics)
+    assert frame.count() == 3 * len({c.column_name for c in metrics.collect()})
+    frame.collect()
+    final = plan_of(frame, "simple").split("Initial Plan")[0]
+    assert final.count("FileScan") == 1 and "ReusedExchange" in final

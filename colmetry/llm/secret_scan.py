@@ -1,10 +1,12 @@
 """Secret scan: a random forest removes false positives among candidate strings. Spark expressions and Spark's own forest only.
 
-Candidates are words that hold, after a key name and quotes, at least ``LEAST`` characters of the alphabets of keys and tokens, a digit
-or a change of case among them. They are described by length, character shares and transitions, dictionary coverage, the path the
-text came from, and the words before and after. The forest is trained on labelled findings, at most ``FINDINGS`` of each label (a
-documented bound); where none are given, findings are labelled by the fixed formats and key names below, which the scan's features see
-only in part.
+Candidates are strings inside the words of a text, wherever quotes, brackets, links or code put them: runs of at least ``LEAST`` characters
+of the alphabets of keys and tokens; what is assigned to a key name, by ``=`` or ``:`` within the word (quoted names and link parameters
+too) or in the words before, from ``SHORT`` characters and of any characters; and the password of a link's user. All need a digit or a
+change of case, and rejecting is left to the forest. They are described by length, character shares and transitions, dictionary coverage,
+the path the text came from, and the words before and after. The forest is trained on labelled findings, at most ``FINDINGS`` of each
+label (a documented bound); where none are given, findings are labelled by the fixed formats and key names below, which the scan's features
+see only in part.
 
 Defined cases: null and empty texts have no candidates; repeated strings and rows are findings each; null path is empty; if all
 findings have one label, that label decides; an empty table gives no rows; other columns are ignored.
@@ -20,11 +22,18 @@ from pyspark.sql import functions as F
 
 from colmetry.llm.texts import plain, stage, words
 
-LEAST, FINDINGS, TREES, DEPTH, SECRET_FROM = 12, 10_000, 30, 6, 0.5
-SHAPE = r"""^["'(\[{<]*(?:([A-Za-z][A-Za-z0-9_.-]{1,40})\s*[=:]\s*["']?)?([A-Za-z0-9+/_=.-]{12,})["')\]}>,;:.!?]*$"""
+LEAST, SHORT, FINDINGS, TREES, DEPTH, SECRET_FROM = 12, 6, 10_000, 30, 6, 0.5
+MIXED = r"[0-9]|[a-z][A-Z]"
+RUN = rf"[A-Za-z0-9+/_.-]{{{LEAST},}}={{0,2}}"
+ASSIGNED = rf"""([A-Za-z][A-Za-z0-9_.-]{{1,40}})["']?[:=]["']?([^\s"',;&<>(){{}}\[\]]{{{SHORT},}})"""
+LINK_USER = rf"""://[^\s/:@]+:([^\s/@]{{{SHORT},}})@"""
+# Quotes, brackets and marks around a word.
+AROUND = r"""^["'(\[{<]+|["')\]}>,;:.!?#]+$"""
 # Formats of issued keys, and names that keys are assigned to.
 ISSUED = r"^(AKIA|ASIA)[0-9A-Z]{16}$|^gh[pousr]_[A-Za-z0-9]{36,}$|^xox[abpr]-[A-Za-z0-9-]{10,}$|^AIza[0-9A-Za-z_-]{35}$|^sk_live_[0-9A-Za-z]{16,}$"
 KEY_NAME = r"(?i)(pass(word|wd)?|secret|token|api_?key|auth|credential|access_?key|private)"
+# Words before a value that announce it.
+ANNOUNCED = r"(?i)(\S*(?:pass(?:word|wd)?|secret|token|api_?key|auth|credential|access_?key|private)\S*)\s*(?:(?<=[=:])|[=:]|\bis)$"
 HARMLESS = r"(?i)(example|sample|dummy|placeholder|changeme|test|fake|xxxx)"
 DICTIONARY = ("about|access|account|after|before|change|client|common|data|default|document|error|example|file|first|from|http|image|index|"
               "information|level|license|list|local|message|name|number|object|other|page|people|project|public|release|sample|server|"
@@ -34,17 +43,29 @@ FEATURES = ["length", "digits", "uppers", "symbols", "turns", "kinds", "dictiona
 
 
 def candidates(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", path: str = "source") -> DataFrame:
-    """One row per candidate: id, place (number of the word), value, key (name it is assigned to, may be empty), before, after, path."""
+    """One row per candidate: id, path, place (number of the word), before, after, key (name it is assigned to, may be empty), value."""
     rows = documents.select(F.col(doc_id).alias("doc_id"), plain(F.col(path).cast("string")).alias("path"), words(plain(text)).alias("w"))
-    places = F.filter(F.transform("w", lambda w, i: F.when(
-        (F.length(w) >= LEAST) & w.rlike(r"[0-9]|[a-z][A-Z]") & w.rlike(SHAPE), i)), lambda i: i.isNotNull())
-    found = rows.select("doc_id", "path", F.explode(F.transform(places, lambda i: F.struct(
-        i.alias("place"), F.get("w", i).alias("word"),
-        F.concat_ws(" ", F.get("w", F.greatest(i - 2, F.lit(0))), F.get("w", F.greatest(i - 1, F.lit(0)))).alias("before"),
-        F.coalesce(F.get("w", i + 1), F.lit("")).alias("after")))).alias("c")).select("doc_id", "path", "c.*")
-    return found.select(
-        "doc_id", "path", "place", F.when(F.col("place") > 0, F.col("before")).otherwise("").alias("before"), "after",
-        F.regexp_extract("word", SHAPE, 1).alias("key"), F.regexp_extract("word", SHAPE, 2).alias("value"))
+    places = F.filter(F.transform("w", lambda w, i: F.when((F.length(w) >= SHORT) & w.rlike(MIXED), i)), lambda i: i.isNotNull())
+    near = rows.select("doc_id", "path", F.explode(F.transform(places, lambda i: F.struct(
+        i.alias("place"), F.get("w", i).alias("word"), F.get("w", i - 2).alias("two"), F.get("w", i - 1).alias("one"),
+        F.coalesce(F.get("w", i + 1), F.lit("")).alias("after")))).alias("c")).select(
+        "doc_id", "path", "c.*", F.concat_ws(" ", "c.two", "c.one").alias("before"))
+
+    def named(key: Column, value: Column) -> Column:
+        return F.struct(key.alias("key"), value.alias("value"))
+
+    pairs = F.arrays_zip(F.regexp_extract_all("word", F.lit(ASSIGNED), 1).alias("k"), F.regexp_extract_all("word", F.lit(ASSIGNED), 2).alias("v"))
+    assigned = F.filter(F.transform(pairs, lambda p: named(p["k"], F.regexp_replace(p["v"], AROUND, ""))), lambda c: c.key.rlike(KEY_NAME))
+    of_user = F.transform(F.regexp_extract_all("word", F.lit(LINK_USER), 1), lambda v: named(F.lit("link_password"), v))
+    bare = F.regexp_replace("word", AROUND, "")
+    announced = F.col("before").rlike(ANNOUNCED) & ~bare.rlike("[:=]")
+    following = F.when(announced, F.array(named(F.regexp_extract("before", ANNOUNCED, 1), bare))).otherwise(F.array())
+    sure = near.withColumn("sure", F.filter(F.concat(assigned, of_user, following), lambda c: (F.length(c.value) >= SHORT) & c.value.rlike(MIXED)))
+    # Runs that such a value holds already are no candidates of their own.
+    runs = F.filter(F.regexp_extract_all("word", F.lit(RUN), 0), lambda run: run.rlike(MIXED) & ~F.exists("sure", lambda c: F.contains(c.value, run)))
+    name = F.regexp_extract("word", ASSIGNED, 1)
+    every = F.concat("sure", F.transform(runs, lambda run: named(name, run)))
+    return sure.select("doc_id", "path", "place", "before", "after", F.inline(F.array_distinct(every)))
 
 
 def _share(pattern: str) -> Column:

@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from colmetry.llm.texts import delete_staged, plain, stage
 
 LEAST, LIMIT, SHARE, SCALE = 10, 2000, 50, 1_000_000
-PART, FILTER_BITS, HASHES, STEPS = 500_000, 1 << 28, 4, 1000
+PART, FILTER_BITS, HASHES, STEPS = 250_000, 1 << 28, 4, 1000
 NO_LANGUAGE = "und"
 _ENDS = re.compile(rb"[.,;:!?\n\x0b\x0c\r]+")
 _U = np.uint64

@@ -23,17 +23,18 @@ from __future__ import annotations
 import re
 from collections import defaultdict
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from colmetry.llm.texts import delete_staged, plain, stage
 
 LEAST, LIMIT, SHARE, SCALE = 10, 2000, 50, 1_000_000
-PART, FILTER_BITS, HASHES, STEPS = 250_000, 1 << 28, 4, 1000
+PART, BATCH, FILTER_BITS, HASHES, STEPS = 250_000, 500, 1 << 28, 4, 1000
 NO_LANGUAGE = "und"
 _ENDS = re.compile(rb"[.,;:!?\n\x0b\x0c\r]+")
 _U = np.uint64
@@ -272,6 +273,18 @@ def _surviving(pairs: DataFrame, triples: DataFrame) -> DataFrame:
     return free.withColumn("h3", F.lit(None).cast("long")).select(columns).unionByName(triples.select(columns))
 
 
+@contextmanager
+def _small_batches(spark: SparkSession) -> Iterator[None]:
+    """Texts reach the tasks in batches of ``BATCH`` rows at most while this lasts, as texts may be long."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(min(BATCH, int(before)) if int(before) > 0 else BATCH))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def mine(documents: DataFrame, limit: int = LIMIT, least: int = LEAST, frontier: int | None = None) -> DataFrame:
     """The first ``limit`` phrases of every language: lang, rank, phrase, a, l, r, n, score; ties in score by a, then by phrase.
 
@@ -279,6 +292,11 @@ def mine(documents: DataFrame, limit: int = LIMIT, least: int = LEAST, frontier:
     a language without a phrase of ``least`` occurrences has no rows, neither has an empty table; ``doc_id``, source and other columns are
     ignored. Whole texts count, of any length. ``frontier`` (twice the limit by default) changes the number of rounds, not the result.
     """
+    with _small_batches(documents.sparkSession):
+        return _mine(documents, limit, least, frontier)
+
+
+def _mine(documents: DataFrame, limit: int, least: int, frontier: int | None) -> DataFrame:
     rows = _rows(documents)
     counted, seed = count_words(rows)
     words = stage(counted.where(F.col("f") >= least))

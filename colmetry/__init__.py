@@ -3,7 +3,7 @@
 from colmetry.errors import AmbiguousError, NotFoundError, ProfileError, StorageError
 from colmetry.operators import catalog, views
 from colmetry.operators.aggregate import profile_columns
-from colmetry.operators.metrics import Metric
+from colmetry.operators.metrics import Metric, StringMetric
 from colmetry.operators.validate import validate
 from colmetry.plans.profile import Profile, guard_dimensions, profile
 from colmetry.plans.run import import_relations, run, run_results
@@ -14,6 +14,6 @@ from colmetry.sources.snapshots import Snapshot, SnapshotStore, read_tables as r
 
 __all__ = [
     "AmbiguousError", "Metric", "NotFoundError", "Profile", "ProfileError", "Snapshot", "SnapshotStore",
-    "StorageError", "catalog", "guard_dimensions", "import_relations", "ingest_artifacts", "profile", "profile_columns",
+    "StorageError", "StringMetric", "catalog", "guard_dimensions", "import_relations", "ingest_artifacts", "profile", "profile_columns",
     "read_json_catalog", "read_snapshot", "relation_costs", "run", "run_results", "run_summary", "tasks", "validate", "views",
 ]

@@ -32,7 +32,7 @@ from colmetry.errors import ProfileError
 from colmetry.functions.text import (
     decimal_from_key, decimal_order_key, decimal_text, distinct_key, float_text, timestamp_text, value_text,
 )
-from colmetry.operators.metrics import Metric, metrics_for
+from colmetry.operators.metrics import Metric, StringMetric, metrics_for
 from colmetry.schema import ProfiledColumn, resolve_columns, resolve_dimension
 
 # Partial aggregates with more output fields than spark.sql.codegen.maxFields (100) lose whole-stage
@@ -65,7 +65,7 @@ def profile_columns(
     columns: Iterable[tuple[str, str, str]] | None = None,
     where: str | None = None,
     treat_empty_string_as_null: bool = False,
-    added_metrics: Sequence[Metric] = (),
+    added_metrics: Sequence[Metric | StringMetric] = (),
     columns_per_pass: int = COLUMNS_PER_PASS,
     digest_strings: bool = False,
     overall_groups: StringGroups | None = None,
@@ -103,7 +103,7 @@ def profile_columns(
 
 
 def _row_pass(
-    df: DataFrame, keys: Sequence[ProfiledColumn], columns: Sequence[ProfiledColumn], added: Sequence[Metric]
+    df: DataFrame, keys: Sequence[ProfiledColumn], columns: Sequence[ProfiledColumn], added: Sequence[Metric | StringMetric]
 ) -> DataFrame:
     source = df.select(
         *[k.value.alias(f"_d{i}") for i, k in enumerate(_distinct(keys))],
@@ -133,7 +133,7 @@ def _row_pass(
     return _row_metrics(overall.unionByName(by_value), columns, added)
 
 
-def _row_metrics(slices: DataFrame, columns: Sequence[ProfiledColumn], added: Sequence[Metric]) -> DataFrame:
+def _row_metrics(slices: DataFrame, columns: Sequence[ProfiledColumn], added: Sequence[Metric | StringMetric]) -> DataFrame:
     """One row per slice and column from one wide row per slice."""
     no_text, no_double, no_count = (F.lit(None).cast(kind) for kind in ("string", "double", "bigint"))
     zero = F.lit(0).cast("bigint")
@@ -223,6 +223,10 @@ class _Slots:
     def read(self, value: Column) -> Column:
         return distinct_key(value) if self.digest_strings else value
 
+    def text(self) -> Column:
+        """The string of a cell, whatever its slot."""
+        return F.coalesce(*[F.col(name).cast("string") for name in self.names])
+
     def is_null(self) -> Column:
         return reduce(lambda a, b: a & b, [F.col(name).isNull() for name in self.names])
 
@@ -247,22 +251,29 @@ def _string_pass(
     keys: Sequence[ProfiledColumn],
     columns: Sequence[ProfiledColumn],
     treat_empty_string_as_null: bool,
-    added: Sequence[Metric],
+    added: Sequence[Metric | StringMetric],
     digest_strings: bool,
     known: StringGroups | None,
 ) -> DataFrame:
     slots, distinct = _Slots(columns, digest_strings), _distinct(keys)
+    measured = [m for m in added if isinstance(m, StringMetric)]
+    _refuse_unreadable(measured, columns, digest_strings)
+    present = slots.present(treat_empty_string_as_null)
     ready = [] if known is None or known.digest_strings != digest_strings else [c for c in columns if c in known.columns]
     kinds = df.select(*[k.value for k in distinct]).schema.fields
     # Cells 0 to n - 1 are Overall's columns, the next n those of the first dimension, and so on.
     keyed = ["_cell", *[f"_d{i}" for i in range(len(distinct))]]
     absent = [F.lit(None).cast(kind.dataType).alias(f"_d{i}") for i, kind in enumerate(kinds)]
     absent += [F.lit(None).cast("string").alias(f"_n{i}") for i, k in enumerate(distinct) if k.collation]
-    uncounted = [F.lit(None).cast("bigint").alias(name) for name in _COUNTS]
+    measures = [F.when(present, m.measure(slots.text(), F.col("_rows"))).alias(f"_m{k}") for k, m in enumerate(measured)]
+    # A type for measures that are not made yet.
+    blank = df.sparkSession.range(0).select(*slots.empty(), F.lit(0).cast("bigint").alias("_rows")).select(*measures).schema
+    unmeasured = [F.lit(None).cast(field.dataType).alias(field.name) for field in blank]
+    uncounted = [*[F.lit(None).cast("bigint").alias(name) for name in _COUNTS], *unmeasured]
     counted = [  # of a group, whose string then is not needed any more
         F.when(slots.is_null(), F.col("_rows")).otherwise(0).alias("_nulls"),
         F.when(slots.is_empty(), F.col("_rows")).otherwise(0).alias("_empties"),
-        slots.present(treat_empty_string_as_null).cast("bigint").alias("_present"),
+        present.cast("bigint").alias("_present"),
     ]
 
     def overall(groups: StringGroups, wanted: Sequence[ProfiledColumn]) -> DataFrame:
@@ -280,12 +291,13 @@ def _string_pass(
         groups = _dimension_groups(df, distinct, columns, slots)
         names = [f"_n{i}" for i, k in enumerate(distinct) if k.collation]
         # A group becomes its slice's counts and, from the first dimension, Overall's string; one more aggregate adds up both.
-        of_slice = F.struct(*keyed, *names, *slots.empty(), "_rows", *counted)
+        of_slice = F.struct(*keyed, *names, *slots.empty(), "_rows", *counted, *measures)
         of_overall = F.struct((F.col("_cell") - len(columns)).alias("_cell"), *absent, *slots.names, "_rows", *uncounted)
         rolled = [len(columns) + i for i, c in enumerate(columns) if c not in ready]
         both = F.when(F.col("_cell").isin(rolled), F.array(of_slice, of_overall)).otherwise(F.array(of_slice))
         parts.append(groups.select(F.inline(both)).groupBy(*keyed, *slots.names).agg(
-            *[F.min(name).alias(name) for name in names], F.sum("_rows").alias("_rows"), *[F.sum(name).alias(name) for name in _COUNTS]))
+            *[F.min(name).alias(name) for name in names], F.sum("_rows").alias("_rows"), *[F.sum(name).alias(name) for name in _COUNTS],
+            *[m.merge(F.col(f"_m{k}")).alias(f"_m{k}") for k, m in enumerate(measured)]))
     elif len(ready) < len(columns):
         left = [c for c in columns if c not in ready]
         parts.append(overall(string_groups(df, left, digest_strings), left))
@@ -296,9 +308,10 @@ def _string_pass(
         F.sum("_rows").alias("record_count"),
         *[F.sum(F.coalesce(name, count)).alias(to) for name, count, to in zip(
             _COUNTS, counted, ("null_count", "empty_string_count", "distinct_count"))],
+        *[m.merge(F.coalesce(F.col(f"_m{k}"), made)).alias(m.name) for k, (m, made) in enumerate(zip(measured, measures))],
         *[F.min(f"_n{i}").alias(f"_n{i}") for i, k in enumerate(distinct) if k.collation],
     )
-    counts = ["record_count", "null_count", "empty_string_count", "distinct_count"]
+    counts = ["record_count", "null_count", "empty_string_count", "distinct_count", *[m.name for m in measured]]
     place = F.floor(F.col("_cell") / len(columns)) - 1
     named = _name_slices(slices, keys, place, ["_cell", *counts], with_overall=True)
     column = F.element_at(F.array(*[F.struct(*_identity(c)) for c in columns]), F.col("_cell") % len(columns) + 1)
@@ -310,11 +323,20 @@ def _string_pass(
         missing.alias("missing_count"), "distinct_count",
         *[F.lit(None).cast("string").alias(name) for name in ("min_value", "max_value")],
         F.lit(None).cast("bigint").alias("true_count"),
-        *[F.lit(None).cast(m.output).alias(m.name) for m in added],
+        *[(m.finish(F.col(m.name), "STRING") if m in measured else F.lit(None)).cast(m.output).alias(m.name) for m in added],
     )
     return _with_rates(described, added)
 
 
+def _refuse_unreadable(measured: Sequence[StringMetric], columns: Sequence[ProfiledColumn], digest_strings: bool) -> None:
+    """Raise where the groups do not hold the strings that a metric is to measure."""
+    if measured and digest_strings:
+        raise ProfileError(f"digest_strings leaves no strings for {measured[0].name!r} to measure")
+    collated = [c.name for c in columns if c.collation]
+    if measured and collated:
+        raise ProfileError(f"{measured[0].name!r} measures strings as they are, but equal strings of {collated[0]!r} may differ")
+
+
 _COUNTS = ("_nulls", "_empties", "_present")
 
 
@@ -433,7 +455,7 @@ def rate(count: Column, total: Column) -> Column:
     return F.when(count.isNotNull(), F.coalesce(F.try_divide(count.cast("double"), total), F.lit(0.0)))
 
 
-def _with_rates(df: DataFrame, added: Sequence[Metric]) -> DataFrame:
+def _with_rates(df: DataFrame, added: Sequence[Metric | StringMetric]) -> DataFrame:
     total = F.col("record_count")
     return df.withColumns({
         "null_rate": rate(F.col("null_count"), total),

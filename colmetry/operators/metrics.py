@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable
 from dataclasses import dataclass
+from typing import ClassVar
 
 from pyspark.sql import Column, functions as F
 
@@ -36,7 +37,26 @@ class Metric:
             raise ValueError(f"unknown column types: {sorted(unknown)}")
         if "STRING" in self.types:
             # Strings are counted as (value, count) groups, see operators.aggregate.
-            raise ValueError("added metrics cannot cover STRING columns")
+            raise ValueError("strings are measured by a StringMetric, not by a Metric")
+
+
+@dataclass(frozen=True)
+class StringMetric:
+    """A mergeable metric of string columns, measured once for each distinct string of a slice.
+
+    ``measure`` gets a string and the number of rows that hold it, ``merge`` adds up the measures of disjoint groups; it is applied more
+    than once. Missing strings (NULL, and '' where it counts as missing) are not measured; a slice without a measured string gives
+    ``finish`` a NULL. ``output`` is the Spark type of the result column, which is NULL for columns of other types.
+
+    Strings reach ``measure`` byte for byte, so columns with a collation of their own and profiles of digests are refused.
+    """
+
+    name: str
+    measure: Callable[[Column, Column], Column]
+    merge: Callable[[Column], Column]
+    finish: Callable[[Column, str], Column] = lambda value, _label: value
+    output: str = "bigint"
+    types: ClassVar[tuple[str, ...]] = ("STRING",)
 
 
 NON_NULL = Metric("non_null", tuple(t for t in SUPPORTED_TYPES if t != "STRING"), F.count, F.sum)
@@ -48,7 +68,7 @@ TRUE_COUNT = Metric("true_count", ("BOOL",), F.count_if, F.sum)
 STANDARD = (MIN_VALUE, MAX_VALUE, TRUE_COUNT)
 
 
-def metrics_for(column: ProfiledColumn, added: Iterable[Metric] = ()) -> list[Metric]:
+def metrics_for(column: ProfiledColumn, added: Iterable[Metric | StringMetric] = ()) -> list[Metric]:
     """The metrics computed for one non-string column."""
     if column.text_decimal:
         return [NON_NULL, MIN_VALUE, MAX_VALUE]

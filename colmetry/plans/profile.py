@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 
 from colmetry.errors import ProfileError
 from colmetry.operators.aggregate import COLUMNS_PER_PASS, StringGroups, profile_columns, row_scope, string_groups
-from colmetry.operators.metrics import Metric
+from colmetry.operators.metrics import Metric, StringMetric
 from colmetry.schema import resolve_columns, resolve_dimension
 from colmetry.sources import files
 
@@ -89,7 +89,7 @@ def profile(
     where: str | None = None,
     treat_empty_string_as_null: bool = False,
     max_dimension_values: int = MAX_DIMENSION_VALUES,
-    added_metrics: Sequence[Metric] = (),
+    added_metrics: Sequence[Metric | StringMetric] = (),
     columns_per_pass: int = COLUMNS_PER_PASS,
     digest_strings: bool = False,
 ) -> Profile:

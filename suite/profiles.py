@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from colmetry import Metric, guard_dimensions, profile, profile_columns, validate
+from colmetry import Metric, StringMetric, guard_dimensions, profile, profile_columns, validate
 from colmetry.operators.validate import dimension_totals
 from colmetry.schema import resolve_columns
 from colmetry.sources.files import staged
@@ -255,6 +255,50 @@ register(
 )
 
 
+LONGEST = StringMetric("longest", lambda text, _: F.length(text), F.max)
+CHARACTERS = StringMetric("characters", lambda text, rows: F.length(text) * rows, F.sum)
+DIGIT_SHARE = StringMetric(
+    "digit_share",
+    lambda text, rows: F.struct(rows.alias("n"), F.when(text.rlike("[0-9]"), rows).otherwise(0).alias("digits")),
+    lambda part: F.struct(F.sum(part["n"]).alias("n"), F.sum(part["digits"]).alias("digits")),
+    lambda parts, _: parts["digits"] / parts["n"], "double",
+)
+
+
+def string_metrics(spark, folder) -> DataFrame:
+    """Metrics of strings beside one of numbers, by two dimensions, with the guard's groups read again for Overall."""
+    found = profile(table(spark, folder, "customer"), ["c_mktsegment", "c_name"], max_dimension_values=10 ** 12,
+                    added_metrics=[LONGEST, NEGATIVES, CHARACTERS, DIGIT_SHARE], treat_empty_string_as_null=True)
+    return found.metrics.select("dimension_name", "dimension_value", "column_name", "longest", "characters", "digit_share", "negative_count")
+
+
+def _string_metrics_sql(name: str, kind: str, dimension: str | None) -> str:
+    text = {
+        "longest": f"MAX(length(NULLIF({name}, '')))", "characters": f"CAST(SUM(length(NULLIF({name}, ''))) AS BIGINT)",
+        "digit_share": f"COUNT(*) FILTER (WHERE regexp_matches({name}, '[0-9]')) / "
+                       f"CAST(NULLIF(COUNT(NULLIF({name}, '')), 0) AS DOUBLE)",
+    }
+    columns = [f"{sql if kind == 'STRING' else 'CAST(NULL AS DOUBLE)' if to == 'digit_share' else 'CAST(NULL AS BIGINT)'} AS {to}"
+               for to, sql in text.items()]
+    negative = "CAST(NULL AS BIGINT)" if kind == "STRING" else f"COUNT(*) FILTER (WHERE {name} < 0)"
+    slice_of = (f"'{dimension}' AS dimension_name, CAST({dimension} AS VARCHAR) AS dimension_value" if dimension
+                else "CAST(NULL AS VARCHAR) AS dimension_name, CAST(NULL AS VARCHAR) AS dimension_value")
+    return (f"SELECT {slice_of}, '{name}' AS column_name, {', '.join(columns)}, {negative} AS negative_count FROM customer"
+            + (f" GROUP BY {dimension}" if dimension else ""))
+
+
+register(
+    "string_metrics",
+    string_metrics,
+    " UNION ALL ".join(
+        _string_metrics_sql(name, kind, dimension)
+        for dimension in (None, "c_mktsegment", "c_name")
+        for name, kind in (("c_custkey", "INT64"), ("c_name", "STRING"), ("c_nationkey", "INT64"), ("c_acctbal", "FLOAT64"),
+                           ("c_mktsegment", "STRING"))
+    ),
+)
+
+
 def overall_all_tables(spark, folder) -> DataFrame:
     """Overall of every table given."""
     found = None

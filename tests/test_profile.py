@@ -5,7 +5,7 @@ from decimal import Decimal
 import pytest
 from pyspark.sql import functions as F
 
-from colmetry import Metric, ProfileError, guard_dimensions, profile, profile_columns, validate
+from colmetry import Metric, ProfileError, StringMetric, guard_dimensions, profile, profile_columns, validate
 from colmetry.schema import resolve_columns
 
 BOUNDARY = "event_date date, processed_date date, category string, amount bigint, ratio double, active boolean, " \
@@ -197,6 +197,31 @@ def test_added_metrics_roll_up(spark):
         Metric("x", ("JSON",), F.count, F.sum)
 
 
+def test_string_metrics_measure_each_distinct_string_once(spark):
+    rows = [("a", "x1", 1), ("a", "x1", 2), ("a", "", 3), ("b", "long", 4), ("b", None, 5), (None, "x1", 6), (None, "é" * 5000, 7)]
+    table = spark.createDataFrame(rows, "k string, s string, v int").withColumn("w", F.col("v").cast("string"))
+    longest = StringMetric("longest", lambda text, _: F.length(text), F.max)
+    total = StringMetric("total", lambda text, n: F.length(text) * n, F.sum)
+    negative = Metric("negative", ("INT64",), lambda c: F.count_if(c < 0), F.sum)
+    for guarded in (profile, lambda *a, **k: None):
+        made = guarded(table, ["k", "w", "k"], added_metrics=[longest, negative, total])
+        metrics = made.metrics if made else profile_columns(table, ["k", "w", "k"], added_metrics=[longest, negative, total])
+        found = {(r.dimension_order, r.dimension_value): r for r in metrics.where("column_name = 's'").collect()}
+        got = {key: (r.longest, r.total, r.negative) for key, r in found.items() if r.dimension_order != 2}
+        own = {"a": (2, 4, None), "b": (4, 4, None), None: (5000, 5002, None)}
+        assert got == {(0, None): (5000, 5010, None)} | {(place, k): row for place in (1, 3) for k, row in own.items()}
+        assert found[2, "5"].longest is None and found[2, "3"].longest == 0
+        assert metrics.where("column_name = 'v'").selectExpr("max(longest)", "max(negative)").first() == (None, 0)
+    missing = profile(table, added_metrics=[longest, total], where="v = 3", treat_empty_string_as_null=True).metrics
+    assert missing.where("column_name = 's'").select("longest", "total").first() == (None, None)
+    none = profile(table.limit(0), ["k"], added_metrics=[longest]).metrics
+    assert {r.longest for r in none.collect()} == {None} and none.count() == 4
+    with pytest.raises(ProfileError, match="no strings"):
+        profile(table, added_metrics=[longest], digest_strings=True)
+    with pytest.raises(ProfileError, match="'s'"):
+        profile(table.withColumn("s", F.collate("s", "UTF8_LCASE")), added_metrics=[longest])
+
+
 def test_sound_results_have_no_violations(spark):
     table = spark.createDataFrame(ROWS, BOUNDARY)
     result = profile(table, ["event_date", "category"], columns=DECLARED)

@@ -12,9 +12,12 @@ far, mixed probability) refines the result.
 * Counts come from all training texts: words are counted by task, then by word, and the bits of every distinct word enter fixed tables
   (``BITS`` slots) that tasks fill and Spark adds up in blocks. Words met once stay out of the whole-word tables, where they would
   only repeat themselves.
-* Clusters, weights and map are learned over ``SAMPLE_DOCUMENTS`` training documents (a documented bound), weights and map online, in
-  order: each bit is predicted before it is used, and the occurrence at hand is taken out of the counts first, so known words don't
-  look better than they are.
+* Clusters come from all training texts, by rounds of expectation-maximisation that tasks add up. They start from clusters of cells: the
+  summed texts that share their most frequent ending.
+* Weights and map come from all training texts too. As equal words of a kind bring equal bits, a distinct word enters once with its
+  count. Words are dealt by hash to lanes of about ``LANE_WORDS``; each lane learns online, in order: bits are predicted before they are
+  used, and the occurrence at hand is taken out of the counts first, so known words don't look better than they are. Lanes' maps are
+  added up, their weights averaged by curvature (what each lane has seen of a gate).
 * As contexts end at word limits, a word has the same probability wherever it stands, so every distinct word is scored once. Texts are
   dealt to blocks of about ``BLOCK_WORDS`` words; a block asks once for each of its distinct words and adds up its texts.
 
@@ -32,7 +35,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from colmetry.llm.texts import fold, plain, stage
+from colmetry.llm.texts import delete_staged, fold, plain, stage
 
 FOLDS, HELD_OUT = 7, 2
 KINDS, ENDINGS = 6, 4096
@@ -40,7 +43,8 @@ KINDS, ENDINGS = 6, 4096
 BITS = (18, 19, 20, 20, 21, 19, 21)
 SHARED, WHOLE = 5, (4, 6)
 SLICE = 1 << 14
-SAMPLE_DOCUMENTS, BATCH = 400, 2048
+LANE_WORDS, LEARN_WORDS, RIDGE = 50_000, 2000, 16.0
+ROUNDS, GAIN = 15, 1e-4
 BLOCK_WORDS, FLUSH, PART = 4_000_000, 400_000, 10_000
 PLACES, BUCKETS = 8, 33
 GATES = 10 * PLACES
@@ -102,9 +106,13 @@ class Bits:
         self.bit, self.node = ((own[:, None] >> (shifts - 1)) & 1).ravel(), node.ravel().astype(np.int64)
         self.step = node.astype(np.uint64) * _U(0xD6E8FEB86659FD93)
 
+    def gather_bytes(self, weight: np.ndarray) -> np.ndarray:
+        """Weights of words, added up for each held byte."""
+        return np.add.reduceat(weight[self.byte_word][self.column], self.heads)
+
     def gather(self, weight: np.ndarray) -> np.ndarray:
         """Weights of words, added up for each held bit."""
-        return np.repeat(np.add.reduceat(weight[self.byte_word][self.column], self.heads), 8)
+        return np.repeat(self.gather_bytes(weight), 8)
 
     def spread(self, values: np.ndarray) -> np.ndarray:
         """Values of held bits, added up for each word."""
@@ -113,9 +121,10 @@ class Bits:
     def shared(self) -> list[np.ndarray]:
         return [_hash(c[:, None] + self.step, b).ravel() for c, b in zip(self.contexts, BITS)]
 
-    def by_kind(self, kind: int) -> list[np.ndarray]:
+    def by_kind(self, kind: int, at: np.ndarray | slice = slice(None)) -> list[np.ndarray]:
+        """Slots of the kind's predictors, for the held bytes ``at``."""
         own = _U((kind + 1) * 0xA0761D6478BD642F & 0xFFFFFFFFFFFFFFFF)
-        return [_hash((self.contexts[k] ^ own)[:, None] + self.step, b).ravel() for k, b in zip((1, 4), BITS[SHARED:])]
+        return [_hash((self.contexts[k][at] ^ own)[:, None] + self.step[at], b).ravel() for k, b in zip((1, 4), BITS[SHARED:])]
 
 
 def endings(words: list[bytes]) -> np.ndarray:
@@ -129,27 +138,114 @@ def endings(words: list[bytes]) -> np.ndarray:
 class Kinds:
     """Clusters of documents by their words' endings: a mixture of multinomials fitted by expectation-maximisation."""
 
-    def __init__(self, texts: list[str], kinds: int = KINDS, rounds: int = 15):
-        counts = np.zeros((max(1, len(texts)), ENDINGS), np.float32)
-        for row, text in zip(counts, texts):
-            row += np.bincount(endings(split(text)), minlength=ENDINGS)
-        share = counts / np.maximum(1, counts.sum(axis=1, keepdims=True))
-        picks = [int(counts.sum(axis=1).argmax())]
-        while len(picks) < kinds:  # the document least like those picked so far
-            like = (np.sqrt(share) @ np.sqrt(share[picks]).T).max(axis=1) + (counts.sum(axis=1) < 50)
-            picks.append(int(like.argmin()))
-        member = (np.sqrt(share) @ np.sqrt(share[picks]).T) * 100
-        for _ in range(rounds):
-            member = np.exp(member - member.max(axis=1, keepdims=True))
-            member /= member.sum(axis=1, keepdims=True)
-            self.prior = np.log((member.sum(axis=0) + 1) / (len(counts) + kinds))
-            met = member.T @ counts + 0.01
-            self.table = np.log(met / met.sum(axis=1, keepdims=True)).T.astype(np.float32)
-            member = counts @ self.table + self.prior
+    def __init__(self, documents: np.ndarray, met: np.ndarray):
+        """From the documents of each kind [kinds] and the endings met in them [kinds, endings]."""
+        self.prior = np.log((documents + 1) / (documents.sum() + len(documents)))
+        met = met + 0.01
+        self.table = np.log(met / met.sum(axis=1, keepdims=True)).T.astype(np.float32)
 
     def of(self, words: list[bytes]) -> int:
         return int((self.table[endings(words)].sum(axis=0) + self.prior).argmax())
 
+    def members(self, like: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Shares of kinds in documents, from the summed ``table`` rows of each, and the log-likelihood of each document."""
+        like = like + self.prior
+        top = like.max(axis=1, keepdims=True)
+        member = np.exp(like - top)
+        total = member.sum(axis=1, keepdims=True)
+        return member / total, (top + np.log(total)).ravel()
+
+
+def _traits(texts: DataFrame) -> DataFrame:
+    """By text its distinct endings (ascending), their counts and its cell: the most frequent ending of its words."""
+    end = int(endings([b""])[0])
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for text in batch["text"]:
+                met = np.bincount(endings(split(text)), minlength=ENDINGS)
+                at = np.flatnonzero(met)
+                met[end] -= 1
+                out.append((int(met.argmax()), at.astype("<u2").tobytes(), (met[at] + (at == end)).astype("<u4").tobytes()))
+            yield pd.DataFrame(out, columns=["cell", "at", "met"])
+
+    return texts.select("text").mapInPandas(run, "cell int, at binary, met binary")
+
+
+def _summed(parts: DataFrame) -> list:
+    """Rows of (k, documents, gain, met), added up by k."""
+    def add(pieces: pd.DataFrame) -> pd.DataFrame:
+        met = np.sum([np.frombuffer(m, "<f8") for m in pieces["met"]], axis=0)
+        return pd.DataFrame({"k": pieces["k"][:1], "documents": [pieces["documents"].sum()], "gain": [pieces["gain"].sum()], "met": [met.tobytes()]})
+
+    return sorted(parts.groupBy("k").applyInPandas(add, parts.schema).collect())
+
+
+_SUMS = "k int, documents double, gain double, met binary"
+
+
+def _cells(traits: DataFrame) -> list:
+    """Documents and endings by cell."""
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        documents, met = Counter(), {}
+        for batch in batches:
+            documents.update(batch["cell"])
+            for cell, at, n in zip(batch["cell"], batch["at"], batch["met"]):
+                if cell not in met:
+                    met[cell] = np.zeros(ENDINGS)
+                met[cell][np.frombuffer(at, "<u2")] += np.frombuffer(n, "<u4")
+        for cell, counts in met.items():
+            yield pd.DataFrame({"k": [cell], "documents": [float(documents[cell])], "gain": [0.0], "met": [counts.tobytes()]})
+
+    return _summed(traits.mapInPandas(run, _SUMS))
+
+
+def _round(traits: DataFrame, kinds: Kinds) -> list:
+    """One round over all documents: shares of documents and endings by kind, and the log-likelihood."""
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        documents, met, gain = np.zeros(KINDS), np.zeros((KINDS, ENDINGS)), 0.0
+        for batch in batches:
+            sizes = batch["at"].str.len().to_numpy() // 2
+            at, n = np.frombuffer(b"".join(batch["at"]), "<u2"), np.frombuffer(b"".join(batch["met"]), "<u4").astype(np.float64)
+            member, found = kinds.members(np.add.reduceat(kinds.table[at] * n[:, None], np.cumsum(sizes) - sizes))
+            documents, gain = documents + member.sum(axis=0), gain + found.sum()
+            for k in range(KINDS):
+                met[k] += np.bincount(at, n * np.repeat(member[:, k], sizes), ENDINGS)
+        yield pd.DataFrame({"k": range(KINDS), "documents": documents, "gain": gain, "met": [row.tobytes() for row in met]})
+
+    return _summed(traits.mapInPandas(run, _SUMS))
+
+
+def _arrays(sums: list) -> tuple[np.ndarray, np.ndarray]:
+    return np.array([r["documents"] for r in sums]), np.stack([np.frombuffer(r["met"], "<f8") for r in sums])
+
+
+def fit_kinds(texts: DataFrame) -> Kinds:
+    """Kinds of all ``texts``."""
+    traits = stage(_traits(texts))
+    cells = _cells(traits)
+    if not cells:
+        return Kinds(np.zeros(KINDS), np.zeros((KINDS, ENDINGS)))
+    documents, counts = _arrays(cells)
+    root, mass = np.sqrt(counts / counts.sum(axis=1, keepdims=True)), counts.sum(axis=1)
+    picks = [int(mass.argmax())]
+    while len(picks) < KINDS:  # a large cell that is little like those picked so far
+        picks.append(int((mass * (1 - (root @ root[picks].T).max(axis=1))).argmax()))
+    kinds = Kinds(documents[picks], counts[picks])
+    for _ in range(ROUNDS):
+        member, _ = kinds.members(counts @ kinds.table)
+        kinds = Kinds(member.T @ documents, member.T @ counts)
+    before = -np.inf
+    for _ in range(ROUNDS):
+        sums = _round(traits, kinds)
+        kinds, now = Kinds(*_arrays(sums)), sums[0]["gain"]
+        if now - before < GAIN * abs(now):
+            break
+        before = now
+    delete_staged(traits)
+    return kinds
+
 
 def word_counts(documents: DataFrame, kinds: Kinds) -> DataFrame:
     """Columns ``word``, ``n_all`` and ``kinds`` (training count by kind) over rows of (held_out, text); counted by task first."""
@@ -239,15 +335,44 @@ def _bucket(dot: np.ndarray) -> np.ndarray:
     return np.clip(np.rint(dot * 16 / 12) + 16, 0, BUCKETS - 1).astype(np.int64)
 
 
+class Mixer:
+    """Weights by gate and the adaptive map, with the curvature of what has been seen, which sets the steps (online Newton)."""
+
+    def __init__(self):
+        self.weights = np.full((GATES, len(BITS)), 0.25)
+        self.curve = np.tile(RIDGE * np.eye(len(BITS)), (GATES, 1, 1))
+        self.hits, self.tries = np.zeros((256, BUCKETS)), np.zeros((256, BUCKETS))
+
+    def mixed(self, inputs: np.ndarray, gate: np.ndarray) -> np.ndarray:
+        return np.clip((inputs * self.weights[gate]).sum(axis=1), -12, 12)
+
+    def learn(self, inputs: np.ndarray, gate: np.ndarray, bit: np.ndarray, node: np.ndarray, weight: np.ndarray) -> None:
+        """One step of the online pass: predict, then correct weights and map. A bit counts ``weight`` times."""
+        dot = self.mixed(inputs, gate)
+        p = 1 / (1 + np.exp(-dot))
+        error, cell = bit - p, node * BUCKETS + _bucket(dot)
+        self.hits += np.bincount(cell, weight * bit, self.hits.size).reshape(self.hits.shape)
+        self.tries += np.bincount(cell, weight, self.tries.size).reshape(self.tries.shape)
+        # Halfway between the expected curvature and the squared error, so that a surprise makes no wild step.
+        order = np.argsort(gate.astype(np.uint8), kind="stable")
+        x, slope, bend = inputs[order], (weight * error)[order], (weight * (p * (1 - p) + error * error) / 2)[order]
+        gates, first = np.unique(gate[order], return_index=True)
+        slopes = np.zeros((len(gates), len(BITS)))
+        for k, (g, at, to) in enumerate(zip(gates, first, [*first[1:], len(x)])):
+            part = x[at:to]
+            self.curve[g] += part.T @ (part * bend[at:to, None])
+            slopes[k] = slope[at:to] @ part
+        self.weights[gates] += np.linalg.solve(self.curve[gates], slopes[:, :, None])[:, :, 0]
+
+
 class Model:
     """Count tables as stretched probabilities and seen marks, with gate weights and the adaptive map."""
 
-    def __init__(self, tables: list[np.ndarray], kinds: Kinds):
+    def __init__(self, tables: list[np.ndarray], kinds: Kinds, mixer: Mixer):
         self.kinds = kinds
         self.stretched = [_stretch(t).astype(np.float16) for t in tables]
         self.seen = {k: _seen(tables[k]) for k in (2, 3, 4, 6)}
-        self.weights = np.full((GATES, len(BITS)), 0.25, np.float32)
-        self.hits, self.tries = np.zeros((256, BUCKETS)), np.zeros((256, BUCKETS))
+        self.weights, self.hits, self.tries = mixer.weights.astype(np.float32), mixer.hits, mixer.tries
 
     def mixed(self, inputs: np.ndarray, gate: np.ndarray) -> np.ndarray:
         return np.clip((inputs * self.weights[gate]).sum(axis=1), -12, 12)
@@ -257,16 +382,6 @@ class Model:
         p, bucket = 1 / (1 + np.exp(-dot)), _bucket(dot)
         return np.clip((p + (self.hits[node, bucket] + 16 * p) / (self.tries[node, bucket] + 16)) / 2, 1e-6, 1 - 1e-6)
 
-    def learn(self, inputs: np.ndarray, gate: np.ndarray, bit: np.ndarray, node: np.ndarray, rate: float) -> None:
-        """One step of the online pass: predict, then correct weights and map."""
-        dot = self.mixed(inputs, gate)
-        error = (bit - 1 / (1 + np.exp(-dot))).astype(np.float32)
-        step = np.zeros_like(self.weights)
-        np.add.at(step, gate, inputs * error[:, None])
-        self.weights += rate * step / np.sqrt(np.maximum(np.bincount(gate, minlength=GATES)[:, None], 1))
-        np.add.at(self.hits, (node, _bucket(dot)), bit)
-        np.add.at(self.tries, (node, _bucket(dot)), 1)
-
     def score(self, words: list[bytes]) -> np.ndarray:
         """log10 probability of each word with its closing space, by kind."""
         bits, out = Bits(words, share=True), np.zeros((len(words), KINDS))
@@ -287,22 +402,70 @@ class Model:
         return float(top + np.log10((10 ** (weighed - top)).sum()))
 
 
-def fit(tables: list[np.ndarray], kinds: Kinds, texts: list[str]) -> Model:
-    """Weights and map from one online pass over ``texts``, which are among the counted ones."""
-    model = Model(tables, kinds)
-    steps = [(words[at:at + 256], kind) for text in texts for words in [split(text)] for kind in [kinds.of(words)]
-             for at in range(0, len(words), 256)]
-    for done, (words, kind) in enumerate(steps):
-        bits = Bits(words)
-        now = np.stack([bits.bit == 0, bits.bit == 1], axis=1)
-        # Counts without the occurrence that is being coded.
-        counts = [np.maximum(t[x] - now, 0) for t, x in zip(tables, bits.shared() + bits.by_kind(kind))]
-        inputs = np.stack([_stretch(c) for c in counts], axis=1).astype(np.float32)
-        gate = _gate([_seen(counts[k]) for k in (2, 3, 4, 6)], bits.node)
-        for k in range(0, len(bits.bit), BATCH):
-            part = slice(k, k + BATCH)
-            model.learn(inputs[part], gate[part], bits.bit[part], bits.node[part], 0.02 / (1 + 4 * done / len(steps)))
-    return model
+def without_one(tables: list[np.ndarray]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """By predictor stretched probabilities and seen marks at (slot, bit), from counts without one occurrence of that bit."""
+    found = []
+    for table in tables:
+        stretched, seen = np.zeros(table.shape, np.float16), np.zeros(table.shape, np.uint8)
+        for bit in (0, 1):
+            counts = table.copy()
+            counts[:, bit] = np.maximum(counts[:, bit] - 1, 0)
+            stretched[:, bit], seen[:, bit] = _stretch(counts), _seen(counts)
+        found.append((stretched.ravel(), seen.ravel()))
+    return found
+
+
+def learn_words(mixer: Mixer, held: list[tuple[np.ndarray, np.ndarray]], words: list[bytes], by_kind: np.ndarray) -> None:
+    """An online step by kind over sorted words with their counts by kind (array [words, kinds]), which are among the counted ones."""
+    bits = Bits(words, share=True)
+    # Counts without the occurrence that is being coded.
+    slots = [slot * 2 + bits.bit for slot in bits.shared()]
+    inputs = np.stack([stretched[x] for (stretched, _), x in zip(held, slots)]).astype(np.float32)
+    seen = [held[k][1][slots[k]] for k in (2, 3, 4)]
+    for kind in np.flatnonzero(by_kind.any(axis=0)):
+        weight = bits.gather_bytes(by_kind[:, kind])
+        own = np.flatnonzero(weight)
+        at = (own[:, None] * 8 + np.arange(8)).ravel()
+        bit, node = bits.bit[at], bits.node[at]
+        part, last = (slot * 2 + bit for slot in bits.by_kind(int(kind), own))
+        gate = _gate([*(s[at] for s in seen), held[SHARED + 1][1][last]], node)
+        whole = np.column_stack([*inputs[:, at], held[SHARED][0][part], held[SHARED + 1][0][last]])
+        mixer.learn(whole, gate, bit, node, np.repeat(weight[own], 8))
+
+
+def fit_mixer(tables: list[np.ndarray], words: DataFrame, distinct: int) -> Mixer:
+    """Weights and map from an online pass by lane over all rows of (word, kinds, n) with n > 0; the tables hold their counts."""
+    held = words.sparkSession.sparkContext.broadcast(without_one(tables))
+    lanes = max(1, -(-distinct // LANE_WORDS))
+
+    def learn(lane: pd.DataFrame) -> pd.DataFrame:
+        lane, mixer = lane.sort_values("word", ignore_index=True), Mixer()
+        steps = -(-len(lane) // LEARN_WORDS)
+        for k in range(steps):  # each step has words from the whole alphabet
+            part = lane.iloc[k::steps]
+            learn_words(mixer, held.value, [w.encode("utf-8") for w in part["word"]], np.stack(part["kinds"]).astype(np.float64))
+        pulls = mixer.curve @ mixer.weights[:, :, None]
+        gates = np.concatenate([mixer.curve.reshape(GATES, -1), pulls.reshape(GATES, -1)], axis=1)
+        nodes = np.concatenate([mixer.hits, mixer.tries], axis=1)
+        return pd.DataFrame({"part": np.repeat([0, 1], [len(gates), len(nodes)]), "at": [*range(len(gates)), *range(len(nodes))],
+                             "sums": [row.tobytes() for row in [*gates, *nodes]]})
+
+    def add(pieces: pd.DataFrame) -> pd.DataFrame:
+        total = np.sum([np.frombuffer(p, "<f8") for p in pieces["sums"]], axis=0)
+        return pd.DataFrame({"part": pieces["part"][:1], "at": pieces["at"][:1], "sums": [total.tobytes()]})
+
+    schema, mixer, size = "part int, at int, sums binary", Mixer(), len(BITS)
+    dealt = words.where("n > 0").select("word", "kinds", F.pmod(F.xxhash64("word"), F.lit(lanes)).alias("lane"))
+    learned = dealt.groupBy("lane").applyInPandas(learn, schema)
+    for row in learned.groupBy("part", "at").applyInPandas(add, schema).collect():
+        sums = np.frombuffer(row["sums"], "<f8")
+        if row["part"] == 0:
+            mixer.curve[row["at"]] = sums[:size * size].reshape(size, size)
+            mixer.weights[row["at"]] = np.linalg.solve(mixer.curve[row["at"]], sums[size * size:])
+        else:
+            mixer.hits[row["at"]], mixer.tries[row["at"]] = np.split(sums, 2)
+    held.unpersist()
+    return mixer
 
 
 def score_documents(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", folds: int = FOLDS,
@@ -314,15 +477,14 @@ def score_documents(documents: DataFrame, doc_id: str = "doc_id", text: str = "t
     spark: SparkSession = documents.sparkSession
     rows = documents.select(F.col(doc_id).alias("doc_id"), (fold(F.col(doc_id), folds) == held_out).alias("held_out"),
                             plain(text).alias("text"))
-    order = rows.where(~F.col("held_out")).select("doc_id", "text").orderBy(F.xxhash64(F.lit(1), "doc_id"), "doc_id", "text")
-    sample = [r["text"] for r in order.limit(SAMPLE_DOCUMENTS).collect()]
-    kinds = Kinds(sample)
+    kinds = fit_kinds(rows.where(~F.col("held_out")))
     # In order, as neighbours share most of their bytes.
     words = stage(word_counts(rows, kinds).withColumn("n", F.aggregate("kinds", F.lit(0).cast("long"), lambda a, n: a + n))
                   .repartitionByRange("word").sortWithinPartitions("word"))
     total, distinct, all_words = words.agg(
         F.coalesce(F.sum("n"), F.lit(0)), F.count(F.when(F.col("n") > 0, 1)), F.coalesce(F.sum("n_all"), F.lit(0))).first()
-    model = spark.sparkContext.broadcast(fit(count_bits(words), kinds, sample))
+    tables = count_bits(words)
+    model = spark.sparkContext.broadcast(Model(tables, kinds, fit_mixer(tables, words, distinct)))
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:

@@ -265,6 +265,27 @@ def test_context_mixing_base_and_order(spark, odd, empty):
     assert {r["doc_id"]: r["score"] for r in found}[1001] > {r["doc_id"]: r["score"] for r in found}[8]
 
 
+def test_context_mixing_learns_from_every_training_text(spark, monkeypatch):
+    made, build = [], context_mixing.Model.__init__
+
+    def kept(self, *args):
+        build(self, *args)
+        made.append(self)
+
+    marks = [f"{a}{b}{c}" for a in "qxzjkv" for b in "qxzjkv" for c in "bcdfghlmnprstwy"]  # endings no other word has
+    rows = [(i, f"{PROSE} {i}{mark} {i}{mark}") for i, mark in enumerate(marks)] + [(None, BOATS), (7, None)]
+    monkeypatch.setattr(context_mixing.Model, "__init__", kept)
+    monkeypatch.setattr(context_mixing, "LANE_WORDS", 100, raising=False)
+    assert context_mixing.score_documents(spark.createDataFrame(rows, "doc_id long, text string")).count() == len(rows)
+    train = [t for i, t in rows if zlib.crc32(("" if i is None else str(i)).encode()) % 7 != 2]
+    assert len(train) > 400
+    model = made[-1]
+    # The map has met every bit of every training text, and each text's own ending is known to some kind.
+    assert model.tries.sum() == 8 * sum(len(w) + 1 for t in train for w in [*words(t), b""])
+    own = context_mixing.endings([mark.encode() for (i, t), mark in zip(rows, marks) if t in train])
+    assert (model.kinds.table[own].max(axis=1) > model.kinds.table.min() + 1).all()
+
+
 def test_secret_candidates_inside_words(spark):
     hexes = "0f3a9c" * 6 + "beef"
     found = {

@@ -13,7 +13,7 @@ far, mixed probability) refines the result.
   (``BITS`` slots) that tasks fill and Spark adds up in blocks. Words met once stay out of the whole-word tables, where they would
   only repeat themselves.
 * Clusters come from all training texts, by rounds of expectation-maximisation that tasks add up. They start from clusters of cells: the
-  summed texts that share their most frequent ending.
+  summed texts that share their two most frequent endings (hashed to ``CELLS``).
 * Weights and map come from all training texts too. As equal words of a kind bring equal bits, a distinct word enters once with its
   count. Words are dealt by hash to lanes of about ``LANE_WORDS``; each lane learns online, in order: bits are predicted before they are
   used, and the occurrence at hand is taken out of the counts first, so known words don't look better than they are. Lanes' maps are
@@ -44,7 +44,7 @@ BITS = (18, 19, 20, 20, 21, 19, 21)
 SHARED, WHOLE = 5, (4, 6)
 SLICE = 1 << 14
 LANE_WORDS, LEARN_WORDS, RIDGE = 50_000, 2000, 16.0
-ROUNDS, GAIN = 15, 1e-4
+CELLS, ROUNDS, GAIN = 1021, 15, 1e-4
 BLOCK_WORDS, FLUSH, PART = 4_000_000, 400_000, 10_000
 PLACES, BUCKETS = 8, 33
 GATES = 10 * PLACES
@@ -157,7 +157,7 @@ class Kinds:
 
 
 def _traits(texts: DataFrame) -> DataFrame:
-    """By text its distinct endings (ascending), their counts and its cell: the most frequent ending of its words."""
+    """By text its distinct endings (ascending), their counts and its cell: the two most frequent endings of its words."""
     end = int(endings([b""])[0])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -166,8 +166,11 @@ def _traits(texts: DataFrame) -> DataFrame:
             for text in batch["text"]:
                 met = np.bincount(endings(split(text)), minlength=ENDINGS)
                 at = np.flatnonzero(met)
+                counts = met[at].astype("<u4").tobytes()
                 met[end] -= 1
-                out.append((int(met.argmax()), at.astype("<u2").tobytes(), (met[at] + (at == end)).astype("<u4").tobytes()))
+                first = int(met.argmax())
+                met[first] = -1
+                out.append(((first * ENDINGS + int(met.argmax())) % CELLS, at.astype("<u2").tobytes(), counts))
             yield pd.DataFrame(out, columns=["cell", "at", "met"])
 
     return texts.select("text").mapInPandas(run, "cell int, at binary, met binary")
@@ -321,7 +324,7 @@ def _stretch(counts: np.ndarray) -> np.ndarray:
 
 
 def _seen(counts: np.ndarray) -> np.ndarray:
-    return np.minimum(15, np.ceil(np.log2(1 + counts.sum(axis=1)))).astype(np.uint8)
+    return np.minimum(15, np.ceil(np.log2(1 + counts[:, 0] + counts[:, 1]))).astype(np.uint8)
 
 
 def _gate(seen: list[np.ndarray], node: np.ndarray) -> np.ndarray:

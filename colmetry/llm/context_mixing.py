@@ -45,10 +45,14 @@ SHARED, WHOLE = 5, (4, 6)
 SLICE = 1 << 14
 LANE_WORDS, LEARN_WORDS, RIDGE = 50_000, 2000, 16.0
 CELLS, ROUNDS, GAIN = 1021, 15, 1e-4
-BLOCK_WORDS, FLUSH, PART = 4_000_000, 400_000, 10_000
+BLOCK_WORDS, FLUSH, PART, STEP = 4_000_000, 400_000, 10_000, 4096
 PLACES, BUCKETS = 8, 33
 GATES = 10 * PLACES
+# Predictors that choose the gate: what a context that has been seen counts for.
+LEVELS = {2: 1, 3: 2, 4: 3, 6: 4}
 _U = np.uint64
+# Every float16 as a float64: a lookup is several times faster than numpy's conversion.
+_HALVES = np.arange(1 << 16, dtype=np.uint16).view(np.float16).astype(np.float64)
 
 
 def split(text: str) -> list[bytes]:
@@ -61,11 +65,18 @@ def split(text: str) -> list[bytes]:
 def _hash(x: np.ndarray, bits: int) -> np.ndarray:
     x = x * _U(0xFF51AFD7ED558CCD)
     x ^= x >> _U(32)
-    return ((x * _U(0xC4CEB9FE1A85EC53)) >> _U(64 - bits)).astype(np.int64)
+    x *= _U(0xC4CEB9FE1A85EC53)
+    x >>= _U(64 - bits)
+    return x.view(np.int64)
+
+
+def _at(table: np.ndarray, index: np.ndarray) -> np.ndarray:
+    """table[index] for an index known to lie within the table, which numpy then need not test."""
+    return np.take(table, index, mode="clip")
 
 
 class Bits:
-    """The bits of words, each closed by a space, and the slots that predictors look at.
+    """The bits of words, each closed by a space, and the slots that predictors look at: arrays [place in the byte, held bytes].
 
     With ``share``, bytes that a word has in common with the start of the word before are held once: ``gather`` adds up what words
     bring to a byte, ``spread`` adds up bytes for each word. In sorted words most bytes are shared.
@@ -82,13 +93,13 @@ class Bits:
             other = np.where((word > 0) & (place < lengths[word - 1]), starts[word - 1] + place, -1)
             parts = np.where((other < 0) | (data != data[other]), place, len(data))
             new = place >= np.minimum.reduceat(parts, starts)[word]
-        self.words, self.byte_word = len(words), word
+        self.words = len(words)
         # Bytes by place, then word: a byte stands for those that follow it up to the next new one.
-        self.column = np.argsort(place, kind="stable")
-        fresh = new[self.column]
+        column = np.argsort(place, kind="stable")
+        self.owner, fresh = word[column], new[column]
         self.heads = np.flatnonzero(fresh)
         self.source = np.cumsum(fresh) - 1
-        held = self.column[self.heads]
+        held = column[self.heads]
         wide = data.astype(np.uint64) + _U(1)
         with np.errstate(over="ignore"):
             power = np.cumprod(np.concatenate(([1], np.full(int(lengths.max()), 0x5851F42D4C957F2D))).astype(np.uint64))
@@ -100,31 +111,28 @@ class Bits:
                 contexts.append(packed)
             whole = ((before[held] - before[starts][word[held]]) ^ at.astype(np.uint64) * _U(0x9E3779B97F4A7C15)) * _U(0xC2B2AE3D27D4EB4F)
         self.contexts = [*contexts[1:], whole]
-        own = data[held]
-        shifts = np.arange(8, 0, -1, dtype=np.uint8)
-        node = (1 << np.arange(8, dtype=np.uint16)) | (own[:, None].astype(np.uint16) >> shifts)
-        self.bit, self.node = ((own[:, None] >> (shifts - 1)) & 1).ravel(), node.ravel().astype(np.int64)
+        own, shifts = data[held], np.arange(8, 0, -1, dtype=np.uint8)[:, None]
+        node = (1 << np.arange(8, dtype=np.uint16))[:, None] | (own.astype(np.uint16) >> shifts)
+        self.bit = (own >> (shifts - 1)) & 1
+        self.code = node.astype(np.int64) * 2 + self.bit
         self.step = node.astype(np.uint64) * _U(0xD6E8FEB86659FD93)
 
-    def gather_bytes(self, weight: np.ndarray) -> np.ndarray:
-        """Weights of words, added up for each held byte."""
-        return np.add.reduceat(weight[self.byte_word][self.column], self.heads)
-
     def gather(self, weight: np.ndarray) -> np.ndarray:
-        """Weights of words, added up for each held bit."""
-        return np.repeat(self.gather_bytes(weight), 8)
+        """Weights of words, added up for each held byte."""
+        return np.add.reduceat(weight[self.owner], self.heads)
 
     def spread(self, values: np.ndarray) -> np.ndarray:
-        """Values of held bits, added up for each word."""
-        return np.bincount(self.byte_word[self.column], values.reshape(-1, 8).sum(axis=1)[self.source], self.words)
+        """Values of held bytes, added up for each word."""
+        return np.bincount(self.owner, values[self.source], self.words)
 
-    def shared(self) -> list[np.ndarray]:
-        return [_hash(c[:, None] + self.step, b).ravel() for c, b in zip(self.contexts, BITS)]
+    def shared(self, at: np.ndarray | slice = slice(None)) -> list[np.ndarray]:
+        return [_hash(c[at] + self.step[:, at], b) for c, b in zip(self.contexts, BITS)]
 
     def by_kind(self, kind: int, at: np.ndarray | slice = slice(None)) -> list[np.ndarray]:
         """Slots of the kind's predictors, for the held bytes ``at``."""
         own = _U((kind + 1) * 0xA0761D6478BD642F & 0xFFFFFFFFFFFFFFFF)
-        return [_hash((self.contexts[k][at] ^ own)[:, None] + self.step[at], b).ravel() for k, b in zip((1, 4), BITS[SHARED:])]
+        step = self.step[:, at]
+        return [_hash((self.contexts[k][at] ^ own) + step, b) for k, b in zip((1, 4), BITS[SHARED:])]
 
 
 def endings(words: list[bytes]) -> np.ndarray:
@@ -280,9 +288,9 @@ def add_bits(tables: list[np.ndarray], words: list[bytes], by_kind: np.ndarray)
     bits, once = Bits(words, share=True), total <= 1
 
     def enter(bits: Bits, slots: list[np.ndarray], first: int, weight: np.ndarray, once: np.ndarray) -> None:
-        every, often = bits.gather(weight), bits.gather(np.where(once, 0, weight))
+        every, often = (np.tile(bits.gather(w), 8) for w in (weight, np.where(once, 0, weight)))
         for k, slot in enumerate(slots, first):
-            np.add.at(tables[k], slot * 2 + bits.bit, often if k in WHOLE else every)
+            np.add.at(tables[k], (slot * 2 + bits.bit).ravel(), often if k in WHOLE else every)
 
     enter(bits, bits.shared(), 0, total, once)
     for kind in range(by_kind.shape[1]):
@@ -323,19 +331,19 @@ def _stretch(counts: np.ndarray) -> np.ndarray:
     return np.log((counts[:, 1] + 0.4) / (counts[:, 0] + 0.4))
 
 
-def _seen(counts: np.ndarray) -> np.ndarray:
-    return np.minimum(15, np.ceil(np.log2(1 + counts[:, 0] + counts[:, 1]))).astype(np.uint8)
+def _level(k: int, counts: np.ndarray) -> np.ndarray:
+    """Weight sets that predictor ``k`` asks for, of which the highest holds: whether it has seen its context, the last one how often."""
+    seen = counts[:, 0] + counts[:, 1]
+    return np.where(seen > 0, np.minimum(np.ceil(np.log2(1 + seen)) - 1 if k == 6 else 0, 5) + LEVELS[k], 0).astype(np.uint8)
 
 
-def _gate(seen: list[np.ndarray], node: np.ndarray) -> np.ndarray:
+def _gate(level: np.ndarray) -> np.ndarray:
     """Weight set: what the longest contexts have seen, and the place of the bit."""
-    four, five, whole, own = seen
-    level = np.where(own > 0, 3 + np.minimum(own, 6), np.where(whole > 0, 3, np.where(five > 0, 2, np.where(four > 0, 1, 0))))
-    return level.astype(np.int64) * PLACES + np.log2(node).astype(np.int64)
+    return level * np.uint8(PLACES) + np.arange(PLACES, dtype=np.uint8)[:, None]
 
 
 def _bucket(dot: np.ndarray) -> np.ndarray:
-    return np.clip(np.rint(dot * 16 / 12) + 16, 0, BUCKETS - 1).astype(np.int64)
+    return (np.rint(dot * 16 / 12) + 16).astype(np.int64)  # from 0 to BUCKETS - 1, as dot is clipped to 12
 
 
 class Mixer:
@@ -346,56 +354,76 @@ class Mixer:
         self.curve = np.tile(RIDGE * np.eye(len(BITS)), (GATES, 1, 1))
         self.hits, self.tries = np.zeros((256, BUCKETS)), np.zeros((256, BUCKETS))
 
-    def mixed(self, inputs: np.ndarray, gate: np.ndarray) -> np.ndarray:
-        return np.clip((inputs * self.weights[gate]).sum(axis=1), -12, 12)
-
-    def learn(self, inputs: np.ndarray, gate: np.ndarray, bit: np.ndarray, node: np.ndarray, weight: np.ndarray) -> None:
-        """One step of the online pass: predict, then correct weights and map. A bit counts ``weight`` times."""
-        dot = self.mixed(inputs, gate)
-        p = 1 / (1 + np.exp(-dot))
-        error, cell = bit - p, node * BUCKETS + _bucket(dot)
-        self.hits += np.bincount(cell, weight * bit, self.hits.size).reshape(self.hits.shape)
-        self.tries += np.bincount(cell, weight, self.tries.size).reshape(self.tries.shape)
+    def learn(self, inputs: np.ndarray, sizes: np.ndarray, code: np.ndarray, weight: np.ndarray) -> None:
+        """One step of the online pass: predict, then correct weights and map.
+
+        Columns of ``inputs`` [predictors, bits] are in order of their gates, ``sizes`` of each; a bit counts ``weight`` times.
+        """
+        ends, dot = np.cumsum(sizes), np.empty(len(code))
+        gates = np.flatnonzero(sizes)
+        spans = [(g, slice(ends[g] - sizes[g], ends[g])) for g in gates]
+        for g, span in spans:
+            np.matmul(self.weights[g], inputs[:, span], out=dot[span])
+        np.clip(dot, -12, 12, out=dot)
+        p, bit = 1 / (1 + np.exp(-dot)), code & 1
+        met = np.bincount(code * BUCKETS + _bucket(dot), weight, 512 * BUCKETS).reshape(256, 2, BUCKETS)
+        self.hits += met[:, 1]
+        self.tries += met.sum(axis=1)
         # Halfway between the expected curvature and the squared error, so that a surprise makes no wild step.
-        order = np.argsort(gate.astype(np.uint8), kind="stable")
-        x, slope, bend = inputs[order], (weight * error)[order], (weight * (p * (1 - p) + error * error) / 2)[order]
-        gates, first = np.unique(gate[order], return_index=True)
-        slopes = np.zeros((len(gates), len(BITS)))
-        for k, (g, at, to) in enumerate(zip(gates, first, [*first[1:], len(x)])):
-            part = x[at:to]
-            self.curve[g] += part.T @ (part * bend[at:to, None])
-            slopes[k] = slope[at:to] @ part
+        error = bit - p
+        slope, bend = weight * error, weight * (p * (1 - p) + error * error) / 2
+        bent, slopes = inputs * bend, np.zeros((len(gates), len(BITS)))
+        for k, (g, span) in enumerate(spans):
+            part = inputs[:, span]
+            self.curve[g] += bent[:, span] @ part.T
+            slopes[k] = part @ slope[span]
         self.weights[gates] += np.linalg.solve(self.curve[gates], slopes[:, :, None])[:, :, 0]
 
 
 class Model:
-    """Count tables as stretched probabilities and seen marks, with gate weights and the adaptive map."""
+    """Count tables as stretched probabilities and levels, with gate weights and the adaptive map."""
 
     def __init__(self, tables: list[np.ndarray], kinds: Kinds, mixer: Mixer):
         self.kinds = kinds
-        self.stretched = [_stretch(t).astype(np.float16) for t in tables]
-        self.seen = {k: _seen(tables[k]) for k in (2, 3, 4, 6)}
-        self.weights, self.hits, self.tries = mixer.weights.astype(np.float32), mixer.hits, mixer.tries
-
-    def mixed(self, inputs: np.ndarray, gate: np.ndarray) -> np.ndarray:
-        return np.clip((inputs * self.weights[gate]).sum(axis=1), -12, 12)
-
-    def refined(self, dot: np.ndarray, node: np.ndarray) -> np.ndarray:
-        """Probability of a one: the mean of the mixed probability and what the map has met for it."""
-        p, bucket = 1 / (1 + np.exp(-dot)), _bucket(dot)
-        return np.clip((p + (self.hits[node, bucket] + 16 * p) / (self.tries[node, bucket] + 16)) / 2, 1e-6, 1 - 1e-6)
+        self.stretched = [_stretch(t).astype(np.float16).astype(np.float32) for t in tables]
+        self.level = {k: _level(k, tables[k]) for k in LEVELS}
+        self.weights, self.hits, self.tries = mixer.weights.T.astype(np.float32), mixer.hits, mixer.tries
+        # The mean of the mixed probability and what the map has met for it is linear in the former: by (node, bit, bucket).
+        one = 0.5 + 8 / (self.tries + 16), self.hits / (self.tries + 16) / 2
+        self.slope, self.start = (np.stack([zero, x], axis=1).ravel() for zero, x in zip((-one[0], 1 - one[1]), one))
+
+    def refined(self, dot: np.ndarray, code: np.ndarray) -> np.ndarray:
+        """Probability of the coded bit."""
+        cell = _bucket(dot)
+        cell += code * BUCKETS
+        p = _at(self.slope, cell)
+        p *= 1 / (1 + np.exp(-dot))
+        p += _at(self.start, cell)
+        return np.clip(p, 1e-6, 1 - 1e-6, out=p)
 
     def score(self, words: list[bytes]) -> np.ndarray:
         """log10 probability of each word with its closing space, by kind."""
-        bits, out = Bits(words, share=True), np.zeros((len(words), KINDS))
-        shared = bits.shared()
-        fixed = [self.stretched[k][slots] for k, slots in enumerate(shared)]
-        seen = [self.seen[k][shared[k]] for k in (2, 3, 4)]
+        bits = Bits(words, share=True)
+        held = np.concatenate([self._score(bits, slice(at, at + STEP)) for at in range(0, len(bits.heads), STEP)], axis=1)
+        return np.stack([bits.spread(row) for row in held], axis=1)
+
+    def _score(self, bits: Bits, at: slice) -> np.ndarray:
+        """log10 probability of the held bytes ``at``, by kind: few enough for the processor's cache."""
+        shared, code = bits.shared(at), bits.code[:, at]
+        fixed = [_at(self.stretched[k], slots) for k, slots in enumerate(shared)]
+        level = np.maximum.reduce([_at(self.level[k], shared[k]) for k in LEVELS if k < SHARED])
+        out = np.zeros((KINDS, code.shape[1]))
         for kind in range(KINDS):
-            own = bits.by_kind(kind)
-            inputs = np.stack([*fixed, *(self.stretched[k][slots] for k, slots in enumerate(own, SHARED))], axis=1).astype(np.float32)
-            p = self.refined(self.mixed(inputs, _gate([*seen, self.seen[6][own[1]]], bits.node)), bits.node)
-            out[:, kind] = bits.spread(np.log10(np.where(bits.bit == 1, p, 1 - p)))
+            own = bits.by_kind(kind, at)
+            gate = _gate(np.maximum(level, _at(self.level[6], own[1]))).astype(np.intp)
+            dot = _at(self.weights[0], gate)
+            dot *= fixed[0]
+            for k in range(1, len(BITS)):
+                part = _at(self.weights[k], gate)
+                part *= fixed[k] if k < SHARED else _at(self.stretched[k], own[k - SHARED])
+                dot += part
+            np.clip(dot, -12, 12, out=dot)
+            out[kind] = np.log10(self.refined(dot, code).prod(axis=0))
         return out
 
     def total(self, by_kind: np.ndarray) -> float:
@@ -405,35 +433,43 @@ class Model:
         return float(top + np.log10((10 ** (weighed - top)).sum()))
 
 
-def without_one(tables: list[np.ndarray]) -> list[tuple[np.ndarray, np.ndarray]]:
-    """By predictor stretched probabilities and seen marks at (slot, bit), from counts without one occurrence of that bit."""
-    found = []
-    for table in tables:
-        stretched, seen = np.zeros(table.shape, np.float16), np.zeros(table.shape, np.uint8)
+def without_one(tables: list[np.ndarray]) -> tuple[list[np.ndarray], dict[int, np.ndarray]]:
+    """By predictor stretched probabilities and levels at (slot, bit), from counts without one occurrence of that bit."""
+    stretched, level = [np.zeros(t.size, np.float16) for t in tables], {k: np.zeros(tables[k].size, np.uint8) for k in LEVELS}
+    for k, table in enumerate(tables):
         for bit in (0, 1):
             counts = table.copy()
             counts[:, bit] = np.maximum(counts[:, bit] - 1, 0)
-            stretched[:, bit], seen[:, bit] = _stretch(counts), _seen(counts)
-        found.append((stretched.ravel(), seen.ravel()))
-    return found
+            stretched[k][bit::2] = _stretch(counts)
+            if k in LEVELS:
+                level[k][bit::2] = _level(k, counts)
+    return stretched, level
 
 
-def learn_words(mixer: Mixer, held: list[tuple[np.ndarray, np.ndarray]], words: list[bytes], by_kind: np.ndarray) -> None:
+def learn_words(mixer: Mixer, held: tuple[list[np.ndarray], dict[int, np.ndarray]], words: list[bytes], by_kind: np.ndarray) -> None:
     """An online step by kind over sorted words with their counts by kind (array [words, kinds]), which are among the counted ones."""
-    bits = Bits(words, share=True)
+    bits, (stretched, level) = Bits(words, share=True), held
+
+    def met(k: int, slots: np.ndarray) -> np.ndarray:
+        return _at(_HALVES, _at(stretched[k], slots).view(np.uint16))
+
     # Counts without the occurrence that is being coded.
     slots = [slot * 2 + bits.bit for slot in bits.shared()]
-    inputs = np.stack([stretched[x] for (stretched, _), x in zip(held, slots)]).astype(np.float32)
-    seen = [held[k][1][slots[k]] for k in (2, 3, 4)]
+    fixed = [met(k, x).ravel() for k, x in enumerate(slots)]
+    seen = np.maximum.reduce([_at(level[k], slots[k]) for k in LEVELS if k < SHARED])
+    code = bits.code.ravel()
     for kind in np.flatnonzero(by_kind.any(axis=0)):
-        weight = bits.gather_bytes(by_kind[:, kind])
+        weight = bits.gather(by_kind[:, kind])
         own = np.flatnonzero(weight)
-        at = (own[:, None] * 8 + np.arange(8)).ravel()
-        bit, node = bits.bit[at], bits.node[at]
-        part, last = (slot * 2 + bit for slot in bits.by_kind(int(kind), own))
-        gate = _gate([*(s[at] for s in seen), held[SHARED + 1][1][last]], node)
-        whole = np.column_stack([*inputs[:, at], held[SHARED][0][part], held[SHARED + 1][0][last]])
-        mixer.learn(whole, gate, bit, node, np.repeat(weight[own], 8))
+        part, last = (slot * 2 + bits.bit[:, own] for slot in bits.by_kind(int(kind), own))
+        gate = _gate(np.maximum(seen[:, own], _at(level[6], last))).ravel()
+        order = np.argsort(gate, kind="stable")
+        at = (np.arange(8)[:, None] * len(weight) + own).ravel()[order]
+        inputs = np.empty((len(BITS), len(at)))
+        for k, x in enumerate(fixed):
+            np.take(x, at, out=inputs[k], mode="clip")
+        inputs[SHARED], inputs[SHARED + 1] = met(SHARED, part.ravel()[order]), met(SHARED + 1, last.ravel()[order])
+        mixer.learn(inputs, np.bincount(gate, minlength=GATES), code[at], np.tile(weight[own], 8)[order])
 
 
 def fit_mixer(tables: list[np.ndarray], words: DataFrame, distinct: int) -> Mixer:

@@ -28,10 +28,12 @@ without training texts all counts are zero and every bit is even; an empty table
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -45,7 +47,9 @@ SHARED, WHOLE = 5, (4, 6)
 SLICE = 1 << 14
 LANE_WORDS, LEARN_WORDS, RIDGE = 50_000, 2000, 16.0
 CELLS, ROUNDS, GAIN = 1021, 15, 1e-4
-BLOCK_WORDS, FLUSH, PART, STEP = 4_000_000, 400_000, 10_000, 4096
+BLOCK_WORDS, PART, STEP = 4_000_000, 10_000, 4096
+# Bytes of texts split at a time, and of words (with 4 for each) counted at a time.
+PIECE, FLUSH = 4 << 20, 48 << 20
 PLACES, BUCKETS = 8, 33
 GATES = 10 * PLACES
 # Predictors that choose the gate: what a context that has been seen counts for.
@@ -55,11 +59,19 @@ _U = np.uint64
 _HALVES = np.arange(1 << 16, dtype=np.uint16).view(np.float16).astype(np.float64)
 
 
-def split(text: str) -> list[bytes]:
-    """Words in lower case (A-Z), then the end as an empty word."""
-    words = text.encode("utf-8").lower().split()
-    words.append(b"")
-    return words
+def split(texts: pa.Array) -> pa.ListArray:
+    """Of each text the words in lower case (A-Z), then the end as an empty word."""
+    texts = pc.ascii_trim_whitespace(pc.ascii_lower(texts))
+    closed = pc.if_else(pc.equal(pc.binary_length(texts), 0), texts, pc.binary_join_element_wise(texts, " ", ""))
+    return pc.ascii_split_whitespace(closed)
+
+
+def _pieces(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows with a ``text``, about ``PIECE`` bytes of texts at a time."""
+    for batch in batches:
+        rows = max(1, batch.num_rows * PIECE // max(PIECE, batch.column("text").nbytes))
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
 
 
 def _hash(x: np.ndarray, bits: int) -> np.ndarray:
@@ -70,9 +82,9 @@ def _hash(x: np.ndarray, bits: int) -> np.ndarray:
     return x.view(np.int64)
 
 
-def _at(table: np.ndarray, index: np.ndarray) -> np.ndarray:
+def _at(table: np.ndarray, index: np.ndarray, axis: int | None = None) -> np.ndarray:
     """table[index] for an index known to lie within the table, which numpy then need not test."""
-    return np.take(table, index, mode="clip")
+    return np.take(table, index, axis, mode="clip")
 
 
 class Bits:
@@ -135,12 +147,23 @@ class Bits:
         return [_hash((self.contexts[k][at] ^ own) + step, b) for k, b in zip((1, 4), BITS[SHARED:])]
 
 
+def _endings(words: pa.ListArray) -> list[np.ndarray]:
+    """Hashed last three bytes of each word of each text; a space stands before every word, and one more before the first."""
+    text = pc.binary_join_element_wise("  ", pc.binary_join(words, " "), " ", "")
+    data, ends = np.frombuffer(text.buffers()[2], np.uint8), np.cumsum(pc.binary_length(text).to_numpy(), dtype=np.int64)
+    starts, closing = np.concatenate(([0], ends[:-1])), data[:ends[-1]] == 32
+    closing[starts] = closing[starts + 1] = False
+    last = np.flatnonzero(closing) - 1
+    met = np.zeros(len(last), np.uint32)
+    for back, factor in enumerate((131, 31_337, 7_654_321)):
+        met += data[last - back] * np.uint32(factor)
+    met -= met // np.uint32(1_000_003) * np.uint32(1_000_003)
+    return np.split((met % np.uint32(ENDINGS)).astype(np.intp), np.cumsum(pc.list_value_length(words).to_numpy())[:-1])
+
+
 def endings(words: list[bytes]) -> np.ndarray:
     """Hashed last three bytes of each word."""
-    lengths = np.fromiter(map(len, words), np.int64, len(words)) + 1
-    data = np.frombuffer(b"  " + b" ".join(words) + b" ", np.uint8).astype(np.int64)
-    last = np.cumsum(lengths) + 1
-    return (data[last - 1] * 131 + data[last - 2] * 31_337 + data[last - 3] * 7_654_321) % 1_000_003 % ENDINGS
+    return _endings(pa.array([[w.decode("utf-8") for w in words]], pa.list_(pa.string())))[0]
 
 
 class Kinds:
@@ -152,8 +175,9 @@ class Kinds:
         met = met + 0.01
         self.table = np.log(met / met.sum(axis=1, keepdims=True)).T.astype(np.float32)
 
-    def of(self, words: list[bytes]) -> int:
-        return int((self.table[endings(words)].sum(axis=0) + self.prior).argmax())
+    def of(self, met: np.ndarray) -> int:
+        """Kind of a document, from the endings of its words."""
+        return int((_at(self.table, met, axis=0).sum(axis=0) + self.prior).argmax())
 
     def members(self, like: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Shares of kinds in documents, from the summed ``table`` rows of each, and the log-likelihood of each document."""
@@ -168,20 +192,22 @@ def _traits(texts: DataFrame) -> DataFrame:
     """By text its distinct endings (ascending), their counts and its cell: the two most frequent endings of its words."""
     end = int(endings([b""])[0])
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            out = []
-            for text in batch["text"]:
-                met = np.bincount(endings(split(text)), minlength=ENDINGS)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _pieces(batches):
+            cells, places, counts = [], [], []
+            for own in _endings(split(batch.column("text"))):
+                met = np.bincount(own, minlength=ENDINGS)
                 at = np.flatnonzero(met)
-                counts = met[at].astype("<u4").tobytes()
+                places.append(at.astype("<u2").tobytes())
+                counts.append(met[at].astype("<u4").tobytes())
                 met[end] -= 1
                 first = int(met.argmax())
                 met[first] = -1
-                out.append(((first * ENDINGS + int(met.argmax())) % CELLS, at.astype("<u2").tobytes(), counts))
-            yield pd.DataFrame(out, columns=["cell", "at", "met"])
+                cells.append((first * ENDINGS + int(met.argmax())) % CELLS)
+            yield pa.RecordBatch.from_arrays([pa.array(cells, pa.int32()), pa.array(places, pa.binary()), pa.array(counts, pa.binary())],
+                                             ["cell", "at", "met"])
 
-    return texts.select("text").mapInPandas(run, "cell int, at binary, met binary")
+    return texts.select("text").mapInArrow(run, "cell int, at binary, met binary")
 
 
 def _summed(parts: DataFrame) -> list:
@@ -260,24 +286,32 @@ def fit_kinds(texts: DataFrame) -> Kinds:
 
 def word_counts(documents: DataFrame, kinds: Kinds) -> DataFrame:
     """Columns ``word``, ``n_all`` and ``kinds`` (training count by kind) over rows of (held_out, text); counted by task first."""
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        counts = [Counter() for _ in range(KINDS + 1)]
-
-        def out() -> Iterator[pd.DataFrame]:
-            for k, counter in enumerate(counts):
-                if counter:
-                    yield pd.DataFrame({"word": [w.decode("utf-8") for w in counter], "kind": k, "n": list(counter.values())})
-                    counter.clear()
-
-        for batch in batches:
-            for held, text in zip(batch["held_out"], batch["text"]):
-                words = split(text)
-                counts[KINDS if held else kinds.of(words)].update(words)
-                if sum(map(len, counts)) > FLUSH:
-                    yield from out()
-        yield from out()
-
-    counted = documents.select("held_out", "text").mapInPandas(run, "word string, kind int, n long")
+    def counted_at_once(words: list[pa.Array], kind: list[np.ndarray]) -> pa.RecordBatch:
+        coded, size = pa.chunked_array(words).dictionary_encode().unify_dictionaries(), KINDS + 1
+        distinct = coded.chunk(0).dictionary
+        met, own, first = np.zeros(len(distinct) * size, np.int64), np.concatenate(kind), 0
+        for chunk in coded.chunks:
+            np.add.at(met, chunk.indices.to_numpy().astype(np.int64) * size + own[first:first + len(chunk)], 1)
+            first += len(chunk)
+        at = np.flatnonzero(met)
+        return pa.RecordBatch.from_arrays(
+            [distinct.take(pa.array(at // size)), pa.array(at % size, pa.int32()), pa.array(met[at])], ["word", "kind", "n"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, kind, held = [], [], 0
+        for batch in _pieces(batches):
+            lists = split(batch.column("text"))
+            own = [KINDS if out else kinds.of(met) for out, met in zip(batch.column("held_out").to_pylist(), _endings(lists))]
+            words.append(lists.flatten())
+            kind.append(np.repeat(np.array(own, np.uint8), pc.list_value_length(lists).to_numpy()))
+            held += words[-1].nbytes
+            if held > FLUSH:
+                yield counted_at_once(words, kind)
+                words, kind, held = [], [], 0
+        if words:
+            yield counted_at_once(words, kind)
+
+    counted = documents.select("held_out", "text").mapInArrow(run, "word string, kind int, n long")
     return counted.groupBy("word").agg(F.sum("n").alias("n_all"), F.array(*(
         F.sum(F.when(F.col("kind") == k, F.col("n")).otherwise(0)) for k in range(KINDS))).alias("kinds"))
 
@@ -537,33 +571,29 @@ def score_documents(documents: DataFrame, doc_id: str = "doc_id", text: str = "t
     dealt = rows.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int")).select(
         "block", "doc_id", "held_out", "text")
 
-    def ask(block: pd.DataFrame) -> pd.DataFrame:
-        own: set[bytes] = set()
-        for t in block["text"]:
-            own.update(split(t))
-        return pd.DataFrame({"word": [w.decode("utf-8") for w in own], "block": block["block"].iloc[0]})
+    def ask(block: pa.Table) -> pa.Table:
+        own = pc.unique(pa.chunked_array([pc.unique(split(b.column("text")).flatten()) for b in _pieces(block.to_batches())]))
+        return pa.table({"word": own, "block": pa.array(np.full(len(own), block.column("block")[0].as_py(), np.int32))})
 
-    asked = dealt.groupBy("block").applyInPandas(ask, "word string, block int")
+    asked = dealt.groupBy("block").applyInArrow(ask, "word string, block int")
     answered = asked.join(scored, "word")
     unit = 1 / (total + distinct + 1)
 
-    def add(answers: pd.DataFrame, texts: pd.DataFrame) -> pd.DataFrame:
-        place = {w.encode("utf-8"): k for k, w in enumerate(answers["word"])}
-        n = answers["n"].to_numpy()
-        own = np.frombuffer(b"".join(answers["scores"]), "<f4").reshape(-1, KINDS)
-        base, out = np.log10((n + 1) * unit), []
-        for t in texts["text"]:
-            tokens = split(t)
-            at = np.fromiter(map(place.__getitem__, tokens), np.int64, len(tokens))
-            out.append((len(tokens), int((n[at] > 0).sum()), float(base[at].sum()),
-                        model.value.total(own[at].sum(axis=0, dtype=np.float64)), sum(map(len, tokens)) + len(tokens)))
-        made = pd.DataFrame(out, columns=["n_tokens", "n_known", "base_score", "score", "n_bytes"])
-        made.insert(0, "held_out", texts["held_out"].to_numpy())
-        made.insert(0, "doc_id", texts["doc_id"].to_numpy())
-        return made
+    def add(answers: pa.Table, texts: pa.Table) -> pa.Table:
+        n, names = answers.column("n").to_numpy(), answers.column("word").combine_chunks()
+        scores = np.frombuffer(b"".join(answers.column("scores").to_pylist()), "<f4").reshape(-1, KINDS)
+        each = np.column_stack([scores, np.log10((n + 1) * unit), n > 0, pc.binary_length(names).to_numpy() + 1])
+        lists = [split(b.column("text")) for b in _pieces(texts.to_batches())]
+        places, out = pc.index_in(pa.chunked_array([own.flatten() for own in lists]), value_set=names).to_numpy(), []
+        for at in np.split(places, np.cumsum(np.concatenate([pc.list_value_length(own).to_numpy() for own in lists]))[:-1]):
+            sums = np.ones(len(at)) @ _at(each, at, axis=0)
+            out.append((len(at), sums[KINDS + 1], sums[KINDS], model.value.total(sums[:KINDS]), sums[KINDS + 2]))
+        tokens, known, base, score, size = np.array(out).T
+        return pa.table({"doc_id": texts.column("doc_id"), "held_out": texts.column("held_out"), "n_tokens": tokens.astype(np.int64),
+                         "n_known": known.astype(np.int64), "base_score": base, "score": score, "n_bytes": size.astype(np.int64)})
 
     ids = documents.schema[doc_id].dataType.simpleString()
-    found = answered.groupBy("block").cogroup(dealt.groupBy("block")).applyInPandas(
+    found = answered.groupBy("block").cogroup(dealt.groupBy("block")).applyInArrow(
         add, f"doc_id {ids}, held_out boolean, n_tokens long, n_known long, base_score double, score double, n_bytes long")
     return found.select(
         F.col("doc_id").alias(doc_id), "held_out", "n_tokens", "n_known", F.lit(int(total)).cast("long").alias("train_tokens"),

@@ -5,6 +5,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -286,6 +287,57 @@ def test_context_mixing_learns_from_every_training_text(spark, monkeypatch):
     assert (model.kinds.table[own].max(axis=1) > model.kinds.table.min() + 1).all()
 
 
+def test_context_mixing_splits_whole_batches():
+    texts = ["", " ", "a", " a\t\n b  ", "\x0b\x0c\u00c4b C\x1c d\x85e f g", "A  B\r\n\u0130", "\n\n", "x\x00y z", "end ", "a bc def i am"]
+    plain = [[*t.encode().lower().split(), b""] for t in texts]
+    for first in (0, 3):  # also where an array does not begin at its buffers
+        lists = context_mixing.split(pa.array(texts).slice(first))
+        assert lists.to_pylist() == [[w.decode() for w in own] for own in plain[first:]]
+        for own, met in zip(plain[first:], context_mixing._endings(lists), strict=True):
+            data = b"  " + b" ".join(own) + b" "
+            lasts = np.cumsum([len(w) + 1 for w in own]) + 1
+            assert met.tolist() == [(data[x - 1] * 131 + data[x - 2] * 31_337 + data[x - 3] * 7_654_321) % 1_000_003 % 4096 for x in lasts]
+
+
+def test_context_mixing_scores_like_a_plain_sum():
+    rng, words = np.random.default_rng(5), sorted({f"{a}{b}" for a in range(40) for b in "aeiou"} | {"", "x" * 30})
+    words, by_kind = [w.encode() for w in words], rng.integers(0, 3, (len(words), context_mixing.KINDS))
+    by_kind[by_kind.sum(axis=1) == 0, 0] = 1
+    tables = [np.zeros(2 << b, np.float32) for b in context_mixing.BITS]
+    context_mixing.add_bits(tables, words, by_kind.astype(np.float32))
+    tables, mixer = [t.reshape(-1, 2) for t in tables], context_mixing.Mixer()
+    assert [t.sum() for t in tables[:4]] == [8 * sum(n * (len(w) + 1) for w, n in zip(words, by_kind.sum(axis=1)))] * 4
+    context_mixing.learn_words(mixer, context_mixing.without_one(tables), words, by_kind.astype(float))
+    assert mixer.tries.sum() == tables[0].sum() and 0 < mixer.hits.sum() < mixer.tries.sum()
+    ones = np.ones((context_mixing.KINDS, context_mixing.ENDINGS))
+    model = context_mixing.Model(tables, context_mixing.Kinds(np.ones(context_mixing.KINDS), ones), mixer)
+    found, bits = model.score(words), context_mixing.Bits(words, share=True)
+    shared, place = bits.shared(), np.repeat(np.arange(8), bits.bit.shape[1]).reshape(8, -1)
+    for kind in range(context_mixing.KINDS):
+        slots = [*shared, *bits.by_kind(kind)]
+        seen = [tables[k][slots[k]].sum(axis=-1) for k in (2, 3, 4, 6)]
+        level = np.where(seen[3] > 0, 3 + np.minimum(6, np.ceil(np.log2(1 + seen[3]))), np.where(
+            seen[2] > 0, 3, np.where(seen[1] > 0, 2, seen[0] > 0))).astype(int)
+        inputs = np.stack([context_mixing._stretch(tables[k])[slots[k]].astype(np.float16).astype(float) for k in range(7)], axis=-1)
+        dot = np.clip((inputs * mixer.weights[level * 8 + place]).sum(axis=-1), -12, 12)
+        p, cell = 1 / (1 + np.exp(-dot)), (bits.code >> 1, np.rint(dot * 16 / 12).astype(int) + 16)
+        p = np.clip((p + (mixer.hits[cell] + 16 * p) / (mixer.tries[cell] + 16)) / 2, 1e-6, 1 - 1e-6)
+        logs = np.log10(np.where(bits.bit == 1, p, 1 - p)).sum(axis=0)
+        assert found[:, kind] == pytest.approx(bits.spread(logs), rel=1e-3)
+
+
+def test_context_mixing_long_texts(spark):
+    rows = [(i, f"{PROSE} one{i} Two " * 12_000) for i in range(5)]  # several pieces of one block
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    assert len(rows[0][1]) > context_mixing.PIECE // 4
+    found = {r["doc_id"]: r for r in context_mixing.score_documents(frame).collect()}
+    assert sorted(found) == list(range(5))
+    for i, text in rows:
+        own = text.split()
+        assert (found[i]["n_tokens"], found[i]["n_bytes"]) == (len(own) + 1, len(" ".join(own).encode()) + 2)
+        assert found[i]["train_tokens"] == sum(r["n_tokens"] for r in found.values() if not r["held_out"])
+
+
 def test_secret_candidates_inside_words(spark):
     hexes = "0f3a9c" * 6 + "beef"
     found = {

@@ -289,11 +289,15 @@ def word_counts(documents: DataFrame, kinds: Kinds) -> DataFrame:
     def counted_at_once(words: list[pa.Array], kind: list[np.ndarray]) -> pa.RecordBatch:
         coded, size = pa.chunked_array(words).dictionary_encode().unify_dictionaries(), KINDS + 1
         distinct = coded.chunk(0).dictionary
-        met, own, first = np.zeros(len(distinct) * size, np.int64), np.concatenate(kind), 0
-        for chunk in coded.chunks:
-            np.add.at(met, chunk.indices.to_numpy().astype(np.int64) * size + own[first:first + len(chunk)], 1)
-            first += len(chunk)
+        met, first = np.zeros((2, len(distinct) * size), np.int64)
+        own, start = np.concatenate(kind), len(coded)
+        for chunk in reversed(coded.chunks):  # so that the first place of a word stays
+            start -= len(chunk)
+            cell = chunk.indices.to_numpy().astype(np.int64) * size + own[start:start + len(chunk)]
+            np.add.at(met, cell, 1)
+            first[cell[::-1]] = np.arange(start + len(chunk) - 1, start - 1, -1)
         at = np.flatnonzero(met)
+        at = at[np.argsort(at % size * len(coded) + first[at])]  # by kind as met, which sets the sample that deals words to ranges
         return pa.RecordBatch.from_arrays(
             [distinct.take(pa.array(at // size)), pa.array(at % size, pa.int32()), pa.array(met[at])], ["word", "kind", "n"])
 
